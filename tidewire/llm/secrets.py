@@ -78,8 +78,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "endpoint": _only_if(t.contains("://") | (fields & t.rlike("(?i)host|endpoint|server")), located(t, ENDPOINT)),
         "weak_secret": _only_if(t.rlike("[A-Za-z0-9+/]{32}"), located(t, WEAK_SECRET)),
     })
-    for kind in ("assign", "access"):
-        out = out.withColumn(kind, F.filter(kind, lambda x, least=LEAST[kind]: x["size"] >= least))
+    out = out.withColumn("assign", F.filter("assign", lambda x: x["size"] >= LEAST["assign"]))
+    out = out.withColumn("access", F.filter("access", lambda x: x["size"] >= LEAST["access"]))
     # a bare string that a base span covers is no weak part of its own
     known = F.concat("assign", "access", "hex")
     out = out.withColumn("weak_secret", F.filter("weak_secret", lambda w: ~F.exists(known, lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))))
