@@ -129,8 +129,13 @@ NOTICES = (
     ("terms", r"subject to (?:the|our) (?:license|terms of (?:use|service))", 15, 0.5),
 )
 
-#: A word of a rule's literal text that gates it: the longest of these in the regex.
-KEYWORDS = ("license", "licence", "licens", "copyright", "reserved", "public domain", "proprietary", "prohibited", "commercial", "permission", "redistribut", "creative commons", "internal use", "no part of", "terms of", "(c)", "©", "spdx", "://", "cc by", "cc-by", "cc0", "gpl", "mit", "bsd", "unlicense", "openrail", "cecill", "contributors", "author")
+#: Every detection holds one of these; a rule is gated by the longest of them in its literal text.
+KEYWORDS = ("licen", "license", "licens", "copyright", "reserved", "public domain", "proprietary", "prohibited", "commercial", "permission", "redistribut", "creative commons", "internal use", "no part of", "terms of", "contributors", "(c)", "©", "spdx", "://", "cc by", "cc-by", "cc0", "gpl", "bsd", "openrail", "open rail")
+
+
+#: A match is at most this far from a keyword that it holds.
+REACH = 240
+_GAP = re.compile(r"\s")
 
 
 @cache
@@ -142,42 +147,53 @@ def rules() -> list[tuple[str, re.Pattern, int, float, tuple[str, ...]]]:
         terms = {"name": names, "spdx": spdx, "url": urls}
         for kind, form, priority, confidence in FORMS:
             for term in terms[kind].split(" ; "):
-                gates = {"spdx": ("spdx",) if "spdx" in form else ("licens",), "url": ("://",), "name": ("licens",) if "licensed" in form else ()}[kind]
-                out.append((label, re.compile(form.replace("@@", f"(?:{term})")), priority, confidence, gates or _gates(term)))
+                out.append((label, re.compile(form.replace("@@", f"(?:{term})")), priority, confidence, _gates(form.replace("@@", "()")) + _gates(term)))
     out += [(label, re.compile(rule), priority, confidence, _gates(rule)) for label, rule, priority, confidence in NOTICES]
     return sorted(out, key=lambda r: -r[2])
 
 
 def _gates(rule: str) -> tuple[str, ...]:
-    """A keyword that every match has, or any keyword at all."""
-    bare = re.sub(r"\(\?[:!=<][^()]*\)[?*]?|\[[^]]*\]|\\.", "|", rule)
+    """The longest keyword in what is literal in every match of the rule: outside groups, classes, escapes and optional characters."""
+    bare, last = re.sub(r"\\.|\[[^]]*\]", "|", rule.replace(r"\.", ".")), ""
+    while bare != last:
+        bare, last = re.sub(r"\([^()]*\)[?*]?", "|", bare), bare
+    bare = re.sub(r".[?*]|.\{0", "|", bare)
     whole = [k for k in KEYWORDS if k in bare]
     return (max(whole, key=len),) if whole else ()
 
 
-@cache
-def gate() -> re.Pattern:
-    names = {re.match(r"[a-z0-9]+", re.sub(r"^\(\?:(?:the )?", "", n.strip())) for line in FAMILIES.strip().splitlines() for n in line.split(" | ")[1].split(" ; ")}
-    heads = {m[0] for m in names if m and len(m[0]) > 3}
-    return re.compile("|".join(sorted(map(re.escape, {*KEYWORDS, *heads} - {"mit", "bsd", "author", "open", "common", "public"}), key=len, reverse=True)) + r"|\bmit\b|\bbsd\b")
-
-
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _EDGE = rb"[^0-9a-z\x80-\xff]"
 _PHRASES = {p: re.compile(rb"(?<![0-9a-z\x80-\xff])" + (_EDGE + b"+").join(p.encode().split()) + rb"(?![0-9a-z\x80-\xff])") for p in BASE}
 
 
+def passages(text: str) -> list[tuple[int, int, set[str]]]:
+    """Disjoint stretches of REACH characters around keywords, run on to the next white space, with their keywords."""
+    spots = []
+    for k in KEYWORDS:
+        at = text.find(k)
+        while at >= 0:
+            spots.append((at, k))
+            at = text.find(k, at + 1)
+    out: list[tuple[int, int, set[str]]] = []
+    for at, k in sorted(spots):
+        end = _GAP.search(text, min(len(text), at + REACH))
+        low, high = max(0, at - REACH), end.start() if end else len(text)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]), out[-1][2] | {k})
+        else:
+            out.append((low, high, {k}))
+    return out
+
+
 def detections(text: str) -> list[tuple[int, int, str, int, float]]:
     """Surviving detections in lower-cased text: start, stop, label, priority, confidence."""
-    seen = set(gate().findall(text))
-    if not seen:
-        return []
-    has = {k: k in text for k in KEYWORDS}
     found = []
-    for label, rule, priority, confidence, gates in rules():
-        if all(has[k] for k in gates):
-            found += [(m.start(), m.end(), label, priority, confidence) for m in rule.finditer(text)]
+    for low, high, seen in passages(text):
+        for label, rule, priority, confidence, gates in rules():
+            if all(k in seen for k in gates):
+                found += [(m.start(), m.end(), label, priority, confidence) for m in rule.finditer(text, low, high)]
     found.sort(key=lambda d: (-d[3], d[0], -d[1], d[2]))
     kept: list[tuple[int, int, str, int, float]] = []
     for _, group in groupby(found, key=lambda d: d[3]):

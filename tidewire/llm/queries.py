@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import licenses, packing, pii, secrets
+from tidewire.llm import ann, decontamination, licenses, ngram_join, packing, pii, quality, secrets, toxicity, url_filters
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pii.op1_pii, packing.op5_packing, licenses.op9_licenses, secrets.op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+        pii.op1_pii, toxicity.op2_toxicity, decontamination.op3_decontamination, ngram_join.op4_ngram_join, packing.op5_packing,
+        ann.op6_ann, quality.op7_quality, url_filters.op8_url_filters, licenses.op9_licenses, secrets.op10_secrets,
+    )}
+ORACLE_SQL: dict[str, str] = {"op8_url_filters": url_filters.SQL}
