@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -48,6 +50,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Stored:
+    """A table in the checkpoint folder, compact and read by column, until drop()."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{checkpoint_folder(self.spark)}/stored-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # Vectorised word and shingle hashes ---------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut_lineage, mix, shingles, ship, table, word_hashes
+from tidewire.llm.common import Stored, cut_lineage, mix, release, shingles, ship, table, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Words of a parity bitmap.
-BITMAP_WORDS = 32
+BITMAP_WORDS = 16
 #: Positions in a block of a list.
 BLOCK = 16
 #: A token in more prefixes than this goes last in the order, the commonest HEAVY_TOKENS at most (what is broadcast).
-HEAVY, HEAVY_TOKENS = 64, 1 << 17
+HEAVY, HEAVY_TOKENS = 8, 1 << 19
 #: Bits of the filter over the ids of documents that are counted exactly: bounds what is broadcast, lets more through when full.
 FILTER_BITS = 1 << 22
 
@@ -87,7 +87,8 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sum of sizes and a lower bound of the symmetric difference."""
     left, right = sets.selectExpr("sid a", "n na", "bits bits_a"), sets.selectExpr("sid b", "n nb", "bits bits_b")
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), F.greatest(apart, F.abs(F.col("na") - F.col("nb"))).alias("low"))
+    out = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.col("na"), F.col("nb")))
+    return out.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), F.greatest(apart, F.abs(F.col("na") - F.col("nb"))).alias("low"))
 
 
 def _counted(bounded: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -134,11 +135,14 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         t = token_set(text)
         return set_id(t), len(t), t[: prefix_size(len(t))].view(np.int64).tolist() if len(t) else []
 
-    seen = cut_lineage(_mapped(docs, first_look, "doc_id long, sid long, n long, prefix array<long>"))
-    rows = seen.select("doc_id", "sid", "n")
+    spark = docs.sparkSession
+    seen = Stored(_mapped(docs, first_look, "doc_id long, sid long, n long, prefix array<long>"))
+    rows = cut_lineage(seen.rows.select("doc_id", "sid", "n"))
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    crowded = seen.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HEAVY)
-    heavy = np.sort(np.array([r.token for r in crowded.orderBy(F.desc("count"), "token").limit(HEAVY_TOKENS).collect()], np.int64).view(np.uint64))
+    crowded = seen.rows.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HEAVY)
+    heavy = np.sort(crowded.orderBy(F.desc("count"), "token").limit(HEAVY_TOKENS).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
+    seen.drop()
+    release(spark)
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def index(doc_id: int, text: str | None) -> tuple | None:
@@ -157,14 +161,11 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = cut_lineage(sets.drop("doc_id").dropDuplicates(["sid"]))
 
     entries = sets.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n")
-    centres = entries.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("sid", "n", "pos")).alias("c")).where("members > 1")
-    centres = centres.select("token", F.col("c.sid").alias("c"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"))
-    lists = entries.join(centres, "token").where("sid <> c")
-    tested = _sizes_fit(F.col("n"), F.col("cn")) & (F.col("pos") + F.col("cpos") <= _most_apart(F.col("n"), F.col("cn")))
-    lists = cut_lineage(lists.select("token", "pos", "sid", "n", "c", tested.alias("tested")))
-
-    first = _bounded(lists.where("tested").select(F.col("sid").alias("a"), F.col("c").alias("b")).distinct(), sets)
-    first = cut_lineage(first)
+    centres = entries.groupBy("token").agg(F.min("sid").alias("c"), F.max("sid").alias("_last")).where("c <> _last").select("token", "c")
+    lists = Stored(entries.join(centres, "token").where("sid <> c"))
+    release(spark)
+
+    first = cut_lineage(_bounded(lists.rows.select(F.col("sid").alias("a"), F.col("c").alias("b")).distinct(), sets))
     exact = cut_lineage(_counted(first, docs, classes))
     known = first.join(exact.select("a", "b", "difference"), ["a", "b"], "left").select(
         F.col("a").alias("sid"), F.col("b").alias("c"),
@@ -174,7 +175,7 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
     # the second round: members that do not link to the centre, against what the distances and positions leave
-    members = lists.join(known, ["sid", "c"], "left").select("token", "pos", "sid", "n", F.coalesce("link", F.lit(False)).alias("link"), F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(1.0)).alias("most"))
+    members = lists.rows.join(known, ["sid", "c"], "left").select("token", "pos", "sid", "n", F.coalesce("link", F.lit(False)).alias("link"), F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(1.0)).alias("most"))
     reach = F.floor((_most_apart(F.col("n"), F.ceil(F.col("n") * 100 / PERCENT)) - F.col("pos")) / BLOCK)
     asking = members.where(~F.col("link")).select("token", F.col("pos").alias("pos_x"), F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("least").alias("least_x"), F.col("most").alias("most_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(reach, F.lit(0)).cast("long"))).alias("block"))
     answering = members.select("token", "pos", "sid", "n", "link", "least", "most", F.floor(F.col("pos") / BLOCK).alias("block"))
@@ -188,7 +189,10 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         & (F.col("least_x") - F.col("most") <= wide)
     )
     second = asking.join(answering, ["token", "block"]).where(possible).select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b")).distinct()
-    more = _counted(cut_lineage(_bounded(second, sets)), docs, classes)
+    second = cut_lineage(_bounded(second, sets))
+    lists.drop()
+    release(spark)
+    more = _counted(second, docs, classes)
     links = exact.unionByName(more).where(F.col("difference") <= F.floor(3 * F.col("sizes") / 37)).select("a", "b")
     return rows, links
 
