@@ -564,7 +564,7 @@ def st_late_dedup(spark, sf):
 
 _BREAKER = f"""WITH {FE}, i AS (SELECT *, sum(CASE WHEN status < 400 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY "at", id) AS island FROM fetches),
 f AS (SELECT *, sum(CASE WHEN status >= 400 THEN 1 ELSE 0 END) OVER (PARTITION BY host, island ORDER BY "at", id) AS failures FROM i),
-t AS (SELECT *, CASE WHEN status >= 400 AND (status IN (403, 429, 503, 999) OR failures >= 3) THEN "at" + coalesce(greatest(least(retry_after, 300.0), 1.0), 60.0) END AS trip FROM f)
+t AS (SELECT *, CASE WHEN status >= 400 AND (status IN (403, 429, 503, 999) OR failures >= 3) THEN "at" + CASE WHEN retry_after IS NULL THEN 60.0 ELSE greatest(least(retry_after, 300.0), 1.0) END END AS trip FROM f)
 SELECT host, id, CAST(failures AS BIGINT) AS failures, coalesce(last_value(trip IGNORE NULLS) OVER (PARTITION BY host, island ORDER BY "at", id), 0.0) AS blocked_until FROM t"""
 
 

@@ -73,7 +73,7 @@ def breaker_batch(fetches: DataFrame) -> DataFrame:
     rows = fetches.withColumn("island", F.sum((F.col("status") < 400).cast("int")).over(order))
     inside = Window.partitionBy("host", "island").orderBy("at", "id")
     rows = rows.withColumn("failures", F.sum((F.col("status") >= 400).cast("long")).over(inside))
-    wait = F.coalesce(F.greatest(F.least("retry_after", F.lit(MOST_WAIT)), F.lit(LEAST_WAIT)), F.lit(COOLDOWN))
+    wait = F.when(F.col("retry_after").isNull(), COOLDOWN).otherwise(F.greatest(F.least("retry_after", F.lit(MOST_WAIT)), F.lit(LEAST_WAIT)))
     trips = (F.col("status") >= 400) & (F.col("status").isin(*TRIP_AT_ONCE) | (F.col("failures") >= TRIP_AFTER))
     until = F.coalesce(F.last(F.when(trips, F.col("at") + wait), ignorenulls=True).over(inside), F.lit(0.0))
     return rows.select("host", "id", "failures", until.alias("blocked_until"))
