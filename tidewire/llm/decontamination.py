@@ -5,8 +5,8 @@ as many words as an item has is a copy of the item when their edit distance in w
 TOLERANCE of the item's words.
 
 1. Windows worth embedding: an item and a copy of it with k edits share all but 2k of the item's pairs
-   of neighbouring words. Windows with fewer pairs that any item of their size has are passed over;
-   this loses no copy.
+   of neighbouring words. Windows of the item's size with fewer of its pairs are passed over; this loses
+   no copy.
 2. CGK random walks map a window to a string in which a copy of the item differs in few places: a walk
    writes its current word and moves on, or stays, by a random bit of the step and the word.
 3. Bit sampling: each table keys a walk by PLACES of its places; an item is a candidate of a window that
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import mix, ship, table, word_hashes
 
 TOLERANCE = 0.2
-WALKS, TABLES, PLACES = 8, 6, 2
+WALKS, TABLES, PLACES = 5, 10, 2
 BLOCK_ITEMS, ITEM_WORDS = 2048, 256
+#: Windows embedded at once.
+LOT = 8192
 
 _BREAKS = np.ones(256, bool)
 _BREAKS[48:58] = _BREAKS[65:91] = _BREAKS[97:123] = _BREAKS[128:] = False
@@ -51,33 +54,30 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[1:]))
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings of equally long word sequences, a row each: 3n places, nought past the end."""
-    count, n = windows.shape
-    padded = np.hstack([windows, np.zeros((count, 1), np.uint64)])
-    at, out, rows = np.zeros(count, int), np.empty((count, 3 * n), np.uint64), np.arange(count)
-    for step in range(3 * n):
-        word = padded[rows, at]
-        out[:, step] = word
-        move = mix(word ^ np.uint64((seed * 1_000_003 + step * 7919 + 1) & 0xFFFFFFFF)) & np.uint64(1)
-        at = np.minimum(at + move.astype(int), n)
-    return out
-
+def keys(windows: np.ndarray, sizes: np.ndarray, walks: int = WALKS, tables: int = TABLES, places: int = PLACES) -> np.ndarray:
+    """A row of walks * tables keys for each word sequence; rows are filled up with noughts beyond their size.
 
-def keys(windows: np.ndarray, walks: int = WALKS, tables: int = TABLES, places: int = PLACES) -> np.ndarray:
-    """A row of walks * tables keys for each window."""
-    n = windows.shape[1]
-    rng = np.random.default_rng(n)
-    out = []
-    for w in range(walks):
-        embedded = walk(windows, w)
-        for t in range(tables):
-            key = np.full(len(windows), np.uint64(w * tables + t + 1))
-            # early places are reached by every walk, the last third may be past the end
-            for place in rng.integers(0, max(1, 2 * n), places):
-                key = mix(key ^ embedded[:, place]) + np.uint64(0x632BE59BD9B4E019)
-            out.append(key)
-    return np.stack(out, 1)
+    A walk of 3n steps over n words writes its current word and moves on if the highest bit of the word's product with the step's odd number is set.
+    """
+    count, width = windows.shape
+    padded = np.hstack([windows, np.zeros((count, 1), np.uint64)])
+    rows, out = np.arange(count), []
+    for number in range(walks):
+        odd = np.random.default_rng(number).integers(1, 1 << 63, 3 * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        at, embedded = np.zeros(count, np.int64), np.empty((3 * width, count), np.uint64)
+        for step in range(3 * width):
+            word = embedded[step] = padded[rows, at]
+            at += ((word * odd[step]) >> np.uint64(63)).view(np.int64)
+            np.minimum(at, sizes, out=at)
+        found = np.empty((count, tables), np.uint64)
+        for n in np.unique(sizes):
+            mine = np.flatnonzero(sizes == n)
+            rng = np.random.default_rng((int(n), number))
+            # the last third of the places may be past the end
+            sampled, weights = rng.integers(0, max(1, 2 * n), (tables, places)), rng.integers(1, 1 << 63, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            found[mine] = (embedded[sampled[:, :, None], mine] * weights[:, None]).sum(1, dtype=np.uint64).T
+        out.append(found)
+    return np.concatenate(out, 1)
 
 
 def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -95,64 +95,86 @@ def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of items by their number of words, with LSH tables."""
+    """A block of items with their LSH keys, and a list of items for each pair of neighbouring words."""
 
     def __init__(self, items: list[tuple[int, str | None]], tolerance: float = TOLERANCE):
-        self.tolerance = tolerance
-        self.by_size: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
-        groups: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for item_id, text in items:
-            if len(w := words_of(text)):
-                groups.setdefault(len(w), []).append((item_id, w))
-        pairs = [np.empty(0, np.uint64)]
-        for n, group in sorted(groups.items()):
-            matrix = np.stack([w for _, w in group])
-            self.by_size[n] = ([i for i, _ in group], matrix, keys(matrix))
-            pairs += [_pairs(w) for _, w in group if n > 1]
-        self.pairs = np.unique(np.concatenate(pairs))
-
-    def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """item_id, first word of its best window, edits, words of the item; one for each item found."""
-        words = words_of(text)
-        if not len(words) or not self.by_size:
-            return []
-        out = []
-        hits = np.zeros(len(words), np.int64)
-        if len(self.pairs) and len(words) > 1:
-            pairs = _pairs(words)
-            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-            hits[:-1] = self.pairs[at] == pairs
-        if not hits.any() and min(self.by_size) > 1:
-            return []
-        sums = np.concatenate([[0], np.cumsum(hits)])
-        for n, (ids, matrix, item_keys) in self.by_size.items():
-            if n > len(words):
-                # a shorter text may still be within the tolerance: it is padded with a word that is none
-                if len(words) < n - allowed(n, self.tolerance):
-                    continue
-                windows, starts = np.concatenate([words, np.zeros(n - len(words), np.uint64)])[None], np.array([0])
-                if sums[-1] < n - 1 - 2 * allowed(n, self.tolerance):
-                    continue
-            else:
-                if n == 1:
-                    starts = np.flatnonzero(np.isin(words, matrix[:, 0]))
-                else:
-                    inside = sums[n - 1 : len(words)] - sums[: len(words) - n + 1]
-                    starts = np.flatnonzero(inside >= n - 1 - 2 * allowed(n, self.tolerance))
-                if not len(starts):
-                    continue
-                windows = np.lib.stride_tricks.sliding_window_view(words, n)[starts]
-            window_keys = keys(windows)
-            for row, item_id in enumerate(ids):
-                same = np.flatnonzero((window_keys == item_keys[row]).any(1))
-                if not len(same):
-                    continue
-                edits = edit_distances(windows[same], matrix[row])
-                best = int(edits.argmin())
-                if edits[best] <= allowed(n, self.tolerance):
-                    out.append((item_id, int(starts[same[best]]), int(edits[best]), n))
+        self.items = [(item_id, w) for item_id, text in items if len(w := words_of(text))]
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.keys = keys(_stacked([w for _, w in self.items]), self.sizes) if self.items else np.empty((0, 0), np.uint64)
+        self.edits = [allowed(len(w), tolerance) for _, w in self.items]
+        self.needed = np.array([len(w) - 1 - 2 * k for (_, w), k in zip(self.items, self.edits, strict=True)], np.int64)
+        pairs = [np.unique(_pairs(w)) for _, w in self.items]
+        flat, owner = np.concatenate([np.empty(0, np.uint64), *pairs]), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        order = np.argsort(flat, kind="stable")
+        self.pairs, first = np.unique(flat[order], return_index=True)
+        self.owners, self.bounds = owner[order], np.append(first, len(flat))
+        self.single = [i for i, (_, w) in enumerate(self.items) if len(w) == 1]
+
+    def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items with the starts of windows that hold as many of their pairs as a copy must."""
+        for i in self.single:
+            if len(starts := np.flatnonzero(words == self.items[i][1][0])):
+                yield i, starts
+        if len(words) < 2 or not len(self.pairs):
+            return
+        pairs = _pairs(words)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        spots = np.flatnonzero(self.pairs[at] == pairs)
+        if not len(spots):
+            return
+        found = [self.owners[self.bounds[j] : self.bounds[j + 1]] for j in at[spots]]
+        owners, places = np.concatenate(found), np.repeat(spots, [len(x) for x in found])
+        counts = np.bincount(owners, minlength=len(self.items))
+        for i in np.flatnonzero((counts >= self.needed) & (counts > 0)):
+            n, mine = len(self.items[i][1]), places[owners == i]
+            if n == 1 or len(words) < n - self.edits[i]:
+                continue
+            starts = np.arange(max(0, mine[0] - n + 1), max(0, min(len(words) - n, mine[-1])) + 1)
+            inside = np.searchsorted(mine, starts + n - 1) - np.searchsorted(mine, starts)
+            if len(starts := starts[inside >= self.needed[i]]):
+                yield int(i), starts
+
+    def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text: item_id, first word of its best window, edits, words of the item; one for each item found."""
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        lot: list[tuple[int, int, int, np.ndarray]] = []  # text, item, start, window
+        for k, text in enumerate(texts):
+            words = words_of(text)
+            for i, starts in self.windows(words):
+                n = len(self.items[i][1])
+                # a text shorter than the item is filled up with a word that is none
+                padded = np.concatenate([words, np.zeros(max(0, n - len(words)), np.uint64)])
+                lot += [(k, i, int(s), padded[s : s + n]) for s in starts]
+                if len(lot) >= LOT:  # all of a text's windows of an item are judged together
+                    self._judge(lot, out)
+                    lot = []
+        self._judge(lot, out)
         return out
 
+    def _judge(self, lot: list[tuple[int, int, int, np.ndarray]], out: list[list[tuple[int, int, int, int]]]) -> None:
+        """LSH over all windows at once, then the exact distances of those that share a key with their item."""
+        if not lot:
+            return
+        owner = np.array([i for _, i, _, _ in lot])
+        same = (keys(_stacked([w for *_, w in lot]), self.sizes[owner]) == self.keys[owner]).any(1)
+        by_pair: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for j in np.flatnonzero(same):
+            by_pair.setdefault(lot[j][:2], []).append(lot[j][2:])
+        for (k, i), windows in by_pair.items():
+            item_id, item = self.items[i]
+            edits = edit_distances(np.stack([w for _, w in windows]), item)
+            best = int(edits.argmin())
+            if edits[best] <= self.edits[i]:
+                out[k].append((item_id, windows[best][0], int(edits[best]), len(item)))
+
+
+def _stacked(sequences: list[np.ndarray]) -> np.ndarray:
+    """Sequences as rows, filled up with noughts."""
+    out = np.zeros((len(sequences), max(map(len, sequences))), np.uint64)
+    for row, s in zip(out, sequences, strict=True):
+        row[: len(s)] = s
+    return out
+
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str | None]]]:
     """Items in blocks of bounded size, one at a time on the driver."""
@@ -178,7 +200,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(key, *hit) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in shared.value.search(text)]
+                rows = [(key, *hit) for key, hits in zip(batch.column(0).to_pylist(), shared.value.search(batch.column(1).to_pylist()), strict=True) for hit in hits]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (batch.schema.field(0).type, *[pa.int64()] * 4), strict=True)], names=[id_col, "item_id", "start_word", "edits", "item_words"])
 
         found = found.unionByName(docs.select(id_col, text_col).mapInArrow(run, schema))
@@ -194,7 +216,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") ->
         shared = spark.sparkContext.broadcast(Items(block))
 
         def clean(texts, shared=shared):
-            return texts.map(lambda t: not shared.value.search(t)).astype(bool)
+            return pd.Series([not hits for hits in shared.value.search(list(texts))], dtype=bool)
 
         clean.__annotations__ = {}
         docs = docs.where(pandas_udf(clean, "boolean", functionType=200)(text_col))  # SCALAR
