@@ -6,14 +6,15 @@ A document's set is its distinct 4-word shingles (64-bit hashes); two sets link
 1. Index. A set of n tokens, in one global order, needs only its first n - ceil(0.85 n) + 1 tokens
    in the inverted lists. The order is by hash, with tokens that stand in many prefixes last, so that
    passages which many documents share stay out of the lists. (The order decides cost, not results.)
-2. Round one. Each list has a centre, its least set; every member is compared with it: one pair for
-   each member, not one for each two.
+2. Round one. Each list has a centre, the set with the smallest part of tokens of its own (of near
+   copies, the text they were made from); every member is compared with it: one pair for each member.
 3. Round two, answers from a similar set's answers. What links to the centre is joined to it, and two
-   such sets need no comparison. A set that does not link to the centre is compared only with members
-   that the known distances to the centre leave possible (Jaccard distance is a metric), and only in
-   those blocks of the list whose positions it can match: before their first common token two linked
-   sets have at most 3/37 of their tokens, so blocks further down are skipped unread.
-4. Each pair is first bounded by the Hamming distance of parity bitmaps, then counted exactly.
+   such sets need no comparison. The rest of a list is dealt into tiles of bounded size, ordered by
+   position. Before their first common token two linked sets have at most 3/37 of their tokens, so a
+   set skips the list's end beyond that position unread; of what is left, the known distances to the
+   centre must leave a link possible (Jaccard distance is a metric), and so must the Hamming distance of
+   parity bitmaps. Only pairs that pass leave a tile.
+4. Those pairs are counted exactly.
 5. Components of the links, by least label and pointer jumping.
 
 Nulls and texts without words have empty sets and link with nothing. Fewer than four words are one
@@ -35,8 +36,8 @@ from tidewire.llm.common import Stored, cut_lineage, mix, release, shingles, shi
 WIDTH, PERCENT = 4, 85
 #: Words of a parity bitmap.
 BITMAP_WORDS = 16
-#: Positions in a block of a list.
-BLOCK = 16
+#: Sets on either side of a tile of a list, about; pairs of a tile that are looked at together.
+TILE, LOT = 512, 1 << 17
 #: A token in more prefixes than this goes last in the order, the commonest HEAVY_TOKENS at most (what is broadcast).
 HEAVY, HEAVY_TOKENS = 8, 1 << 19
 #: Bits of the filter over the ids of documents that are counted exactly: bounds what is broadcast, lets more through when full.
@@ -69,11 +70,6 @@ def _mapped(docs: DataFrame, make, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _most_apart(a: Column, b: Column) -> Column:
-    """The largest symmetric difference of linked sets of these sizes."""
-    return F.floor(3 * (a + b) / 37)
-
-
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
@@ -83,6 +79,66 @@ def _apart(difference: Column, sizes: Column) -> Column:
     return 2 * difference / (sizes + difference)
 
 
+_TILED = "a long, b long, sizes long, low long"
+
+
+def _tiled(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members of a list, not both linked to its centre, that positions, distances to the centre and bitmaps leave possible.
+
+    A list is dealt by hash into sides of about TILE sets, and every two sides meet in a tile; most lists are one tile.
+    """
+    sides = F.ceil(F.col("m") / TILE).cast("int")
+    side = F.pmod(F.xxhash64("sid", F.lit("side")), sides).cast("int")
+    tiles = members.join(sets.select("sid", "bits"), "sid").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    tiles = tiles.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "pos", "side", "sid", "n", "link", "least", "most", "bits")
+    return tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "pos").mapInArrow(_open_pairs, _TILED)
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs over tiles that stand together; the last tile of a batch waits for the next one."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+        keys = [rows[c].to_numpy() for c in ("token", "i", "j")]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if rows.num_rows else np.array([0])
+        yield from _compared(rows.slice(0, starts[-1]), starts[:-1])
+        rest = rows.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield from _compared(rest, np.array([0]))
+
+
+def _compared(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs within the tiles that begin at `starts`, whose rows rise by position."""
+    count = rows.num_rows
+    if not count:
+        return
+    i, j, pos, side, sid, n, link, least, most = (rows[c].to_numpy() for c in ("i", "j", "pos", "side", "sid", "n", "link", "least", "most"))
+    pos = pos.astype(np.int64)
+    bits = rows["bits"].combine_chunks().flatten().to_numpy().reshape(count, BITMAP_WORDS).view(np.uint64)
+    tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, count)))
+    span = int(pos.max()) + 2
+    reach = 3 * (n + n * 100 // PERCENT + 1) // 37 - pos  # the last position at which a partner can stand
+    ends = np.searchsorted(tile * span + pos, tile * span + np.clip(reach, -1, span - 2), side="right")
+    partners = np.maximum(0, ends - np.arange(count) - 1)
+    before = np.concatenate([[0], np.cumsum(partners)])
+    for at in range(0, int(before[-1]), LOT):
+        number = np.arange(at, min(at + LOT, int(before[-1])))
+        x = np.searchsorted(before, number, side="right") - 1
+        y = x + 1 + number - before[x]
+        far = 3 * (n[x] + n[y]) // 37
+        ok = (sid[x] != sid[y]) & ~(link[x] & link[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+        ok &= (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * PERCENT) & (pos[x] + pos[y] <= far)
+        wide = 1 - PERCENT / 100 + 1e-9
+        ok &= (least[x] - most[y] <= wide) & (least[y] - most[x] <= wide)
+        x, y, far = x[ok], y[ok], far[ok]
+        low = np.maximum(np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64), np.abs(n[x] - n[y]))
+        ok = low <= far
+        x, y, low = x[ok], y[ok], low[ok]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), n[x] + n[y], low)], names=["a", "b", "sizes", "low"])
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sum of sizes and a lower bound of the symmetric difference."""
     left, right = sets.selectExpr("sid a", "n na", "bits bits_a"), sets.selectExpr("sid b", "n nb", "bits bits_b")
@@ -153,16 +209,18 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if len(shared.value):
             at = np.minimum(np.searchsorted(shared.value, t), len(shared.value) - 1)
             last = shared.value[at] == t
-        order = np.concatenate([t[~last], t[last]])[: prefix_size(len(t))]
+        size = prefix_size(len(t))
+        order = np.concatenate([t[~last], t[last]])[:size]
+        own = int(1_000_000 * (1 - last[:size].mean()))
         odd = np.bincount((t & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64), minlength=BITMAP_WORDS * 64) & 1
-        return set_id(t), len(t), order.view(np.int64).tolist(), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+        return set_id(t), len(t), own, order.view(np.int64).tolist(), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
-    sets = _mapped(docs, index, "doc_id long, sid long, n long, prefix array<long>, bits array<long>")
+    sets = _mapped(docs, index, "doc_id long, sid long, n long, own long, prefix array<long>, bits array<long>")
     sets = cut_lineage(sets.drop("doc_id").dropDuplicates(["sid"]))
 
-    entries = sets.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n")
-    centres = entries.groupBy("token").agg(F.min("sid").alias("c"), F.max("sid").alias("_last")).where("c <> _last").select("token", "c")
-    lists = Stored(entries.join(centres, "token").where("sid <> c"))
+    entries = sets.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n", "own")
+    centres = entries.groupBy("token").agg(F.min(F.struct("own", "sid")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "c.sid", "m").withColumnRenamed("sid", "c")
+    lists = Stored(entries.drop("own").join(centres, "token").where("sid <> c"))
     release(spark)
 
     first = cut_lineage(_bounded(lists.rows.select(F.col("sid").alias("a"), F.col("c").alias("b")).distinct(), sets))
@@ -174,25 +232,15 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("difference").isNotNull(), _apart(F.col("difference"), F.col("sizes"))).otherwise(1.0).alias("most"),
     )
 
-    # the second round: members that do not link to the centre, against what the distances and positions leave
-    members = lists.rows.join(known, ["sid", "c"], "left").select("token", "pos", "sid", "n", F.coalesce("link", F.lit(False)).alias("link"), F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(1.0)).alias("most"))
-    reach = F.floor((_most_apart(F.col("n"), F.ceil(F.col("n") * 100 / PERCENT)) - F.col("pos")) / BLOCK)
-    asking = members.where(~F.col("link")).select("token", F.col("pos").alias("pos_x"), F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("least").alias("least_x"), F.col("most").alias("most_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(reach, F.lit(0)).cast("long"))).alias("block"))
-    answering = members.select("token", "pos", "sid", "n", "link", "least", "most", F.floor(F.col("pos") / BLOCK).alias("block"))
-    wide = (1 - PERCENT / 100) + 1e-9
-    possible = (
-        (F.col("x") != F.col("sid"))
-        & (F.col("link") | (F.col("x") < F.col("sid")))
-        & _sizes_fit(F.col("nx"), F.col("n"))
-        & (F.col("pos_x") + F.col("pos") <= _most_apart(F.col("nx"), F.col("n")))
-        & (F.col("least") - F.col("most_x") <= wide)
-        & (F.col("least_x") - F.col("most") <= wide)
-    )
-    second = asking.join(answering, ["token", "block"]).where(possible).select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b")).distinct()
-    second = cut_lineage(_bounded(second, sets))
+    # the second round: members that do not link to the centre, and who stands in a list with one
+    members = lists.rows.where("m > 2").join(known, ["sid", "c"], "left").select("token", "m", "pos", "sid", "n", F.coalesce("link", F.lit(False)).alias("link"), F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(1.0)).alias("most"))
+    members = Stored(members)
     lists.drop()
+    asking = members.rows.where(~F.col("link")).select("token").distinct()
+    second = Stored(_tiled(members.rows.join(asking, "token"), sets).dropDuplicates(["a", "b"]))
+    members.drop()
     release(spark)
-    more = _counted(second, docs, classes)
+    more = _counted(second.rows, docs, classes)
     links = exact.unionByName(more).where(F.col("difference") <= F.floor(3 * F.col("sizes") / 37)).select("a", "b")
     return rows, links
 
