@@ -14,7 +14,8 @@ A document's set is its distinct 4-word shingles (64-bit hashes); two sets link
    set skips the list's end beyond that position unread; of what is left, the known distances to the
    centre must leave a link possible (Jaccard distance is a metric), and so must the Hamming distance of
    parity bitmaps. Only pairs that pass leave a tile.
-4. Those pairs are counted exactly.
+4. Each set's most promising pair is counted exactly; then all pairs whose sets those links have not
+   joined. What is left out says nothing new: its sets are in one component.
 5. Components of the links, by least label and pointer jumping.
 
 Nulls and texts without words have empty sets and link with nothing. Fewer than four words are one
@@ -182,8 +183,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("vertex", "label")
 
 
+def _links(counted: DataFrame) -> DataFrame:
+    return counted.where(F.col("difference") <= F.floor(3 * F.col("sizes") / 37)).select("a", "b")
+
+
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid, n) for each row, and the links (a, b) between different sets that span the components."""
+    """(doc_id, sid, n) for each row, and pairs (a, b) of different sets that span the components of the links."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
 
@@ -240,9 +245,16 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     second = Stored(_tiled(members.rows.join(asking, "token"), sets).dropDuplicates(["a", "b"]))
     members.drop()
     release(spark)
-    more = _counted(second.rows, docs, classes)
-    links = exact.unionByName(more).where(F.col("difference") <= F.floor(3 * F.col("sizes") / 37)).select("a", "b")
-    return rows, links
+    ends = second.rows.selectExpr("a x", "b y", "sizes", "low").union(second.rows.selectExpr("b x", "a y", "sizes", "low"))
+    best = ends.groupBy("x").agg(F.min(F.struct("low", "y", "sizes")).alias("best"))
+    best = cut_lineage(best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b"), "best.sizes", "best.low").distinct())
+    roots = components(_links(exact).union(_links(_counted(best, docs, classes))))
+    left, right = roots.selectExpr("vertex a", "label root_a"), roots.selectExpr("vertex b", "label root_b")
+    apart = second.rows.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "sizes", "low")
+    more = _links(_counted(cut_lineage(apart), docs, classes))
+    second.drop()
+    # a component so far is a star around its least set
+    return rows, more.union(roots.where("vertex <> label").selectExpr("vertex a", "label b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
