@@ -13,9 +13,10 @@ A document's set is its distinct 4-word shingles (64-bit hashes); two sets link
    position. Before their first common token two linked sets have at most 3/37 of their tokens, so a
    set skips the list's end beyond that position unread; of what is left, the known distances to the
    centre must leave a link possible (Jaccard distance is a metric), and so must the Hamming distance of
-   parity bitmaps. Only pairs that pass leave a tile.
-4. Each set's most promising pair is counted exactly; then all pairs whose sets those links have not
-   joined. What is left out says nothing new: its sets are in one component.
+   parity bitmaps. Of the pairs that pass, each set's most promising one leaves the tile.
+4. Those pairs are counted exactly. A second pass over the tiles lets out all pairs that pass and whose
+   sets the links so far have not joined, and these are counted too. What stays inside says nothing new:
+   its sets are in one component.
 5. Components of the links, by least label and pointer jumping.
 
 Nulls and texts without words have empty sets and link with nothing. Fewer than four words are one
@@ -83,19 +84,20 @@ def _apart(difference: Column, sizes: Column) -> Column:
 _TILED = "a long, b long, sizes long, low long"
 
 
-def _tiled(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of members of a list, not both linked to its centre, that positions, distances to the centre and bitmaps leave possible.
+def _tiled(members: DataFrame, sets: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    """Pairs of members of a list, of different roots, that positions, distances to the centre and bitmaps leave possible; best: one for each member at most.
 
     A list is dealt by hash into sides of about TILE sets, and every two sides meet in a tile; most lists are one tile.
     """
     sides = F.ceil(F.col("m") / TILE).cast("int")
     side = F.pmod(F.xxhash64("sid", F.lit("side")), sides).cast("int")
-    tiles = members.join(sets.select("sid", "bits"), "sid").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    tiles = tiles.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "pos", "side", "sid", "n", "link", "least", "most", "bits")
-    return tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "pos").mapInArrow(_open_pairs, _TILED)
+    known = sets.select("sid", "bits").join(roots.selectExpr("vertex sid", "label"), "sid", "left").select("sid", "bits", F.coalesce("label", "sid").alias("root"))
+    tiles = members.join(known, "sid").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    tiles = tiles.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "pos", "side", "sid", "n", "root", "least", "most", "bits")
+    return tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "pos").mapInArrow(lambda batches: _open_pairs(batches, best), _TILED)
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_pairs(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
     """Runs over tiles that stand together; the last tile of a batch waits for the next one."""
     rest: pa.Table | None = None
     for batch in batches:
@@ -103,18 +105,18 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.concat_tables([rest, rows]) if rest is not None else rows
         keys = [rows[c].to_numpy() for c in ("token", "i", "j")]
         starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if rows.num_rows else np.array([0])
-        yield from _compared(rows.slice(0, starts[-1]), starts[:-1])
+        yield from _compared(rows.slice(0, starts[-1]), starts[:-1], best)
         rest = rows.slice(starts[-1])
     if rest is not None and rest.num_rows:
-        yield from _compared(rest, np.array([0]))
+        yield from _compared(rest, np.array([0]), best)
 
 
-def _compared(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _compared(rows: pa.Table, starts: np.ndarray, best: bool) -> Iterator[pa.RecordBatch]:
     """Pairs within the tiles that begin at `starts`, whose rows rise by position."""
     count = rows.num_rows
     if not count:
         return
-    i, j, pos, side, sid, n, link, least, most = (rows[c].to_numpy() for c in ("i", "j", "pos", "side", "sid", "n", "link", "least", "most"))
+    i, j, pos, side, sid, n, root, least, most = (rows[c].to_numpy() for c in ("i", "j", "pos", "side", "sid", "n", "root", "least", "most"))
     pos = pos.astype(np.int64)
     bits = rows["bits"].combine_chunks().flatten().to_numpy().reshape(count, BITMAP_WORDS).view(np.uint64)
     tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, count)))
@@ -123,12 +125,18 @@ def _compared(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     ends = np.searchsorted(tile * span + pos, tile * span + np.clip(reach, -1, span - 2), side="right")
     partners = np.maximum(0, ends - np.arange(count) - 1)
     before = np.concatenate([[0], np.cumsum(partners)])
+    none = np.iinfo(np.int64).max
+    chosen = np.full(count, none)
+
+    def pairs(x: np.ndarray, y: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), n[x] + n[y], low)], names=["a", "b", "sizes", "low"])
+
     for at in range(0, int(before[-1]), LOT):
         number = np.arange(at, min(at + LOT, int(before[-1])))
         x = np.searchsorted(before, number, side="right") - 1
         y = x + 1 + number - before[x]
         far = 3 * (n[x] + n[y]) // 37
-        ok = (sid[x] != sid[y]) & ~(link[x] & link[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+        ok = (root[x] != root[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
         ok &= (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * PERCENT) & (pos[x] + pos[y] <= far)
         wide = 1 - PERCENT / 100 + 1e-9
         ok &= (least[x] - most[y] <= wide) & (least[y] - most[x] <= wide)
@@ -136,8 +144,14 @@ def _compared(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         low = np.maximum(np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64), np.abs(n[x] - n[y]))
         ok = low <= far
         x, y, low = x[ok], y[ok], low[ok]
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), n[x] + n[y], low)], names=["a", "b", "sizes", "low"])
+        if best:  # the least bound of each row so far, with the other row
+            for own, other in ((x, y), (y, x)):
+                np.minimum.at(chosen, own, (low << 32) | other)
+        elif len(x):
+            yield pairs(x, y, low)
+    x = np.flatnonzero(chosen < none)
+    if len(x):
+        yield pairs(x, chosen[x] & 0xFFFFFFFF, chosen[x] >> 32)
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,17 +256,19 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = Stored(members)
     lists.drop()
     asking = members.rows.where(~F.col("link")).select("token").distinct()
-    second = Stored(_tiled(members.rows.join(asking, "token"), sets).dropDuplicates(["a", "b"]))
+    work = Stored(members.rows.join(asking, "token").drop("link"))
     members.drop()
+    roots = components(_links(exact))
+    near = cut_lineage(_tiled(work.rows, sets, roots, best=True).dropDuplicates(["a", "b"]))
     release(spark)
-    ends = second.rows.selectExpr("a x", "b y", "sizes", "low").union(second.rows.selectExpr("b x", "a y", "sizes", "low"))
+    ends = near.selectExpr("a x", "b y", "sizes", "low").union(near.selectExpr("b x", "a y", "sizes", "low"))
     best = ends.groupBy("x").agg(F.min(F.struct("low", "y", "sizes")).alias("best"))
     best = cut_lineage(best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b"), "best.sizes", "best.low").distinct())
-    roots = components(_links(exact).union(_links(_counted(best, docs, classes))))
-    left, right = roots.selectExpr("vertex a", "label root_a"), roots.selectExpr("vertex b", "label root_b")
-    apart = second.rows.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "sizes", "low")
-    more = _links(_counted(cut_lineage(apart), docs, classes))
-    second.drop()
+    roots = components(roots.selectExpr("vertex a", "label b").union(_links(_counted(best, docs, classes))))
+    apart = cut_lineage(_tiled(work.rows, sets, roots, best=False).dropDuplicates(["a", "b"]))
+    work.drop()
+    release(spark)
+    more = _links(_counted(apart, docs, classes))
     # a component so far is a star around its least set
     return rows, more.union(roots.where("vertex <> label").selectExpr("vertex a", "label b"))
 
