@@ -67,6 +67,29 @@ def test_neighbour_ties_and_odd_vectors(spark):
     assert [(r.rank, r.vec_id) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 21), (2, 22)]
 
 
+@pytest.mark.parametrize("n", [10, 15, 20, 21])
+def test_small_tables_lose_no_pair(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(0, 20 * n, 20)]
+    frame, got = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), {}
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in found] for q, found in plain_nearest(rows).items()}
+
+
+def test_isolated_queries_get_their_nearest(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 32)) * 5
+    rows = [(i + 1, (centres[i % 12] + rng.normal(size=32) * 0.05).tolist()) for i in range(1999) if (i + 1) % 20]
+    rows += [(20 * i, (rng.normal(size=32) * 5).tolist()) for i in range(1, 9)]
+    frame, got = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), {}
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = plain_nearest(rows)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(want, 20)
+    assert all(len(set(got[q]) & {i for i, _ in want[q]}) >= 18 for q in want)
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

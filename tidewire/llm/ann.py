@@ -7,7 +7,8 @@ within Hamming distance R of a query has, by pigeonhole, some substring within i
 probing the values within that share in each list retrieves every such code; the survivors of the exact
 Hamming test are ranked by inner product in double precision on the original vectors. R is the TARGET
 quantile of distances from the sample's vectors to their true neighbours in the sample, which are
-further away than in the whole table.
+further away than in the whole table. A query with fewer than min(k, candidates) rows within R (an
+outlier, a small table) goes through all blocks again, by inner product alone.
 
 Equal vectors are one entry with their least ids (as many as an answer can hold), so a vector with a
 third of all rows costs one. The index is dealt into blocks by hash, the stated query set too, and each
@@ -20,6 +21,8 @@ of which is a candidate for a query with that id. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -108,35 +111,50 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_col: str = "vec_id", vec
     if not len(sample):
         return spark.createDataFrame([], result)
     coder = spark.sparkContext.broadcast(Coder(sample, k))
-    index_blocks, query_blocks = max(1, -(-index.count() // INDEX_BLOCK)), max(1, -(-questions.count() // QUERY_BLOCK))
-
-    def probe(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(block) and len(asking):
-            block = block.assign(least=block["ids"].map(lambda i: i[0])).sort_values("least", ignore_index=True)
-            multi = MultiIndex(coder.value, np.stack(block["v"].to_numpy()))
-            points = np.stack(asking["point"].to_numpy())
-            for q, point, code in zip(asking["q"], points, coder.value.codes(points), strict=True):
-                found = multi.within(code)
-                score = multi.vectors[found] @ point
-                if len(found) > k + 1:  # all that tie with the last stay in
-                    some = score >= np.partition(score, -(k + 1))[-(k + 1)]
-                    found, score = found[some], score[some]
-                best = np.lexsort((found, -score))[: k + 1]
-                out += [(q, block["ids"][found[i]], float(score[i])) for i in best]
-        return pd.DataFrame(out, columns=["q", "ids", "score"])
+    index_blocks = max(1, -(-index.count() // INDEX_BLOCK))
+    total = index.agg(F.sum(F.size("ids"))).first()[0]  # no more than k + 1 of equal vectors
+
+    def best_of(block: pd.DataFrame, score: np.ndarray, found: np.ndarray) -> Iterator[tuple[list, float]]:
+        if len(found) > k + 1:  # all that tie with the last stay in
+            some = score >= np.partition(score, -(k + 1))[-(k + 1)]
+            found, score = found[some], score[some]
+        for i in np.lexsort((found, -score))[: k + 1]:
+            yield block["ids"][found[i]], float(score[i])
+
+    def prober(exact: bool):
+        def probe(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(block) and len(asking):
+                block = block.assign(least=block["ids"].map(lambda i: i[0])).sort_values("least", ignore_index=True)
+                vectors, points = np.stack(block["v"].to_numpy()), np.stack(asking["point"].to_numpy())
+                multi = None if exact else MultiIndex(coder.value, vectors)
+                codes = [None] * len(points) if exact else coder.value.codes(points)
+                for q, point, code in zip(asking["q"], points, codes, strict=True):
+                    found = np.arange(len(vectors)) if exact else multi.within(code)
+                    out += [(q, *hit) for hit in best_of(block, vectors[found] @ point, found)]
+            return pd.DataFrame(out, columns=["q", "ids", "score"])
+
+        return probe
 
     def dealt(frame: DataFrame, vector: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
         return frame.select("*", F.pmod(F.xxhash64(vector), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
-    left = dealt(index, "v", "ib", index_blocks, "qb", query_blocks).groupBy("ib", "qb")
-    right = dealt(questions.select("q", F.col("v").alias("point")), "point", "qb", query_blocks, "ib", index_blocks).groupBy("ib", "qb")
-    found = left.cogroup(right).applyInPandas(probe, "q long, ids array<long>, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    flat = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    found = found.select("q", F.explode("ids").alias("vec_id"), "score").withColumn("n", F.row_number().over(flat)).where(F.col("n") <= k + 1)
-    answers = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
+    def answered(questions: DataFrame, exact: bool) -> DataFrame:
+        """q, found: the k + 1 best of each question among the vectors within the radius, or among all."""
+        query_blocks = max(1, -(-questions.count() // QUERY_BLOCK))
+        left = dealt(index, "v", "ib", index_blocks, "qb", query_blocks).groupBy("ib", "qb")
+        right = dealt(questions.select("q", F.col("v").alias("point")), "point", "qb", query_blocks, "ib", index_blocks).groupBy("ib", "qb")
+        found = left.cogroup(right).applyInPandas(prober(exact), "q long, ids array<long>, score double")
+        best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
+        found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+        flat = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        found = found.select("q", F.explode("ids").alias("vec_id"), "score").withColumn("n", F.row_number().over(flat)).where(F.col("n") <= k + 1)
+        return found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
+
+    answers = cut_lineage(answered(questions, exact=False))
+    whole = answers.where(F.size("found") >= min(k + 1, total))
+    lacking = cut_lineage(questions.join(whole, "q", "left_anti"))
+    answers = answers if lacking.isEmpty() else whole.unionByName(answered(lacking, exact=True))
     named = asked.join(questions, "v").select(F.col("vec_id").alias("query_id"), "q").join(answers, "q")
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = named.select("query_id", F.posexplode(others).alias("at", "x"))
