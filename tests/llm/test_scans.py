@@ -97,6 +97,26 @@ def test_trees_add_what_no_base_rule_has():
     assert not any(base.values()) and spans == [("local_phone", 12, 24)]
 
 
+RARE = {"iban": "DE89 3704 0044 0532 0130 00", "ssn": "212-45-6789", "mail_words": "jane [at] host [dot] example"}
+
+
+def test_rare_kinds_are_selected(spark):
+    rows = [(2 * i, f"call +1 212 555 {1000 + i}, order 10.1.{i % 200}.7 of a@b{i}.example") for i in range(400)]
+    rows += [(10_000 + 2 * i, f"write to {s} please") for i, s in enumerate(RARE.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    selector = pii.fit_selector(docs)
+    spans = {r.doc_id: r.spans for r in pii.find_pii(docs, selector).collect()}
+    assert [kind in spans[10_000 + 2 * i] for i, kind in enumerate(RARE)] == [True] * 3
+    clean = {r.doc_id: r.text for r in pii.redacted(docs, selector).collect()}
+    assert clean[10_000] == "write to <IBAN> please" and clean[10_002] == "write to <SSN> please" and "jane" not in clean[10_004]
+
+
+def test_mails_in_words_are_sampled_without_a_digit(spark):
+    docs = spark.createDataFrame([(2 * i, f"write to jane{chr(97 + i % 26)} [at] host [dot] example please") for i in range(200)], "doc_id long, text string")
+    selector = pii.fit_selector(docs)
+    assert "mail_words" in pii.find_pii(docs, selector).first().spans
+
+
 def test_redact_overlaps():
     assert pii.redact("abcdefgh", [(1, 4, "ip"), (2, 3, "card"), (5, 6, "email")]) == "a<IP>e<EMAIL>gh"
 
