@@ -136,6 +136,29 @@ def test_recall_at_the_tolerance():
     assert found / total >= 0.98
 
 
+@pytest.mark.parametrize("edits", [5, 6, 8])
+@pytest.mark.parametrize("kind", ["inserted", "dropped"])
+def test_inserted_and_dropped_words(kind, edits):
+    rng = np.random.default_rng(edits)
+    item = [f"w{x}" for x in rng.choice(3000, 40, replace=False)]
+    block = decontamination.Items([(1, " ".join(item))])
+    for _ in range(20):
+        v = list(item)
+        for p in sorted(rng.choice(np.arange(1, 39), edits, replace=False), reverse=True):
+            v[p:p + (kind == "dropped")] = ["extra"] * (kind == "inserted")
+        doc = " ".join([f"z{x}" for x in range(40)] + v + [f"z{x}" for x in range(40)])
+        (item_id, _, fewest, n), = block.search([doc])[0]
+        assert (item_id, n) == (1, 40) and fewest <= edits
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=14), st.lists(st.integers(1, 4), min_size=1, max_size=8))
+def test_best_stretch(words, item):
+    edits, start = decontamination.best_stretch(np.array(words, np.uint64), np.array(item, np.uint64))
+    least = {(a, b): edit(words[a:b], item) for a in range(len(words) + 1) for b in range(a, len(words) + 1)}
+    assert edits == min(least.values()) and any(a == start and d == edits for (a, _), d in least.items())
+
+
 def test_leaks_match_brute_force(spark, sf, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id): r.edits for r in decontamination.op3_decontamination(spark, sf).collect()}

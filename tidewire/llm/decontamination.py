@@ -1,17 +1,18 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
-Text is compared in words (runs of letters, digits and bytes beyond ASCII, A-Z lower-cased). A window of
-as many words as an item has is a copy of the item when their edit distance in words is at most
-TOLERANCE of the item's words.
+Text is compared in words (runs of letters, digits and bytes beyond ASCII, A-Z lower-cased). A stretch of
+a text is a copy of the item when their edit distance in words is at most TOLERANCE of the item's words.
 
-1. Windows worth embedding: an item and a copy of it with k edits share all but 2k of the item's pairs
-   of neighbouring words. Windows of the item's size with fewer of its pairs are passed over; this loses
-   no copy.
+1. Places worth a look: an item of n words and a copy of it with k edits share all but 2k of the item's
+   pairs of neighbouring words. Stretches of n + k words with fewer of its pairs are passed over; this
+   loses no copy. Of the rest, the windows of n words with as many of its pairs are embedded.
 2. CGK random walks map a window to a string in which a copy of the item differs in few places: a walk
    writes its current word and moves on, or stays, by a random bit of the step and the word.
 3. Bit sampling: each table keys a walk by PLACES of its places; an item is a candidate of a window that
-   shares a key with it. WALKS and TABLES are set for a recall above 0.99 at the tolerance (see tests).
-4. Exact edit distance decides.
+   shares a key with it. WALKS and TABLES are set for a recall above 0.99 of substitutions at the
+   tolerance (see tests).
+4. Exact edit distance of the best-fitting stretch decides: around the candidates first, and over all places
+   of step 1 for an item that is not found there (inserted and dropped words shift the windows).
 
 Items are searched for in blocks of at most BLOCK_ITEMS with ITEM_WORDS words each on average, so what
 each task gets is bounded however many there are. Items without words match nothing; items of one word
@@ -80,10 +81,10 @@ def keys(windows: np.ndarray, sizes: np.ndarray, walks: int = WALKS, tables: int
     return np.concatenate(out, 1)
 
 
-def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Edit distance in words of each window to the item."""
+def _last_row(windows: np.ndarray, item: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Edit distances of the item to each window's beginnings of each length, where none of the item costs `first`."""
     count, n = windows.shape
-    row = np.broadcast_to(np.arange(n + 1), (count, n + 1)).copy()
+    row = np.broadcast_to(first, (count, n + 1)).copy()
     steps = np.arange(n + 1)
     for i, word in enumerate(item):
         change = row[:, :-1] + (windows != word)
@@ -91,7 +92,27 @@ def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
         best[:, 0] = i + 1
         best[:, 1:] = np.minimum(change, row[:, 1:] + 1)
         row = np.minimum.accumulate(best - steps, axis=1) + steps  # inserted words, all at once
-    return row[:, -1]
+    return row
+
+
+def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Edit distance in words of each window to the item."""
+    return _last_row(windows, item, np.arange(windows.shape[1] + 1))[:, -1]
+
+
+def best_stretch(words: np.ndarray, item: np.ndarray) -> tuple[int, int]:
+    """Least edit distance of the item to any stretch of the words, and the first such stretch's start."""
+    row = _last_row(words[None], item, np.zeros(len(words) + 1, np.int64))[0]
+    end = int(row.argmin())
+    before = words[max(0, end - 2 * len(item)) : end][::-1]  # a longer stretch has more edits than all words of the item
+    lengths = np.flatnonzero((back := _last_row(before[None], item[::-1], np.arange(len(before) + 1))[0]) == back.min())
+    return int(row[end]), end - int(lengths[np.abs(lengths - len(item)).argmin()])
+
+
+def _merged(starts: np.ndarray, width: int, size: int) -> list[tuple[int, int]]:
+    """Stretches of a text of `size` words that `width` words from each of the rising starts cover."""
+    cut = np.flatnonzero(np.diff(starts) > width) + 1
+    return [(max(0, int(s[0])), min(size, int(s[-1]) + width)) for s in np.split(starts, cut)]
 
 
 class Items:
@@ -110,11 +131,11 @@ class Items:
         self.owners, self.bounds = owner[order], np.append(first, len(flat))
         self.single = [i for i, (_, w) in enumerate(self.items) if len(w) == 1]
 
-    def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Items with the starts of windows that hold as many of their pairs as a copy must."""
+    def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int]]]]:
+        """Items with the starts of windows, and all stretches, that hold as many of their pairs as a copy must."""
         for i in self.single:
             if len(starts := np.flatnonzero(words == self.items[i][1][0])):
-                yield i, starts
+                yield i, starts[:1], [(int(starts[0]), int(starts[0]) + 1)]
         if len(words) < 2 or not len(self.pairs):
             return
         pairs = _pairs(words)
@@ -129,43 +150,51 @@ class Items:
             n, mine = len(self.items[i][1]), places[owners == i]
             if n == 1 or len(words) < n - self.edits[i]:
                 continue
-            starts = np.arange(max(0, mine[0] - n + 1), max(0, min(len(words) - n, mine[-1])) + 1)
-            inside = np.searchsorted(mine, starts + n - 1) - np.searchsorted(mine, starts)
-            if len(starts := starts[inside >= self.needed[i]]):
-                yield int(i), starts
+            def holding(width: int, last: int, i=i, mine=mine) -> np.ndarray:
+                starts = np.arange(max(0, mine[0] - width + 1), max(0, min(last, mine[-1])) + 1)
+                inside = np.searchsorted(mine, starts + width - 1) - np.searchsorted(mine, starts)
+                return starts[inside >= self.needed[i]]
+
+            width = n + self.edits[i]
+            if len(wide := holding(width, len(words))):
+                yield int(i), holding(n, len(words) - n), _merged(wide, width, len(words))
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text: item_id, first word of its best window, edits, words of the item; one for each item found."""
+        """For each text: item_id, first word of its best stretch, edits, words of the item; one for each item found."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         lot: list[tuple[int, int, int, np.ndarray]] = []  # text, item, start, window
+        places: dict[tuple[int, int], tuple[np.ndarray, list[tuple[int, int]]]] = {}  # text, item: words, stretches
         for k, text in enumerate(texts):
             words = words_of(text)
-            for i, starts in self.windows(words):
+            for i, starts, stretches in self.windows(words):
                 n = len(self.items[i][1])
                 # a text shorter than the item is filled up with a word that is none
                 padded = np.concatenate([words, np.zeros(max(0, n - len(words)), np.uint64)])
                 lot += [(k, i, int(s), padded[s : s + n]) for s in starts]
-                if len(lot) >= LOT:  # all of a text's windows of an item are judged together
-                    self._judge(lot, out)
-                    lot = []
-        self._judge(lot, out)
+                places[k, i] = words, stretches
+                if len(lot) >= LOT or len(places) >= LOT:  # all of a text's windows of an item are judged together
+                    self._judge(lot, places, out)
+                    lot, places = [], {}
+        self._judge(lot, places, out)
         return out
 
-    def _judge(self, lot: list[tuple[int, int, int, np.ndarray]], out: list[list[tuple[int, int, int, int]]]) -> None:
-        """LSH over all windows at once, then the exact distances of those that share a key with their item."""
-        if not lot:
-            return
-        owner = np.array([i for _, i, _, _ in lot])
-        same = (keys(_stacked([w for *_, w in lot]), self.sizes[owner]) == self.keys[owner]).any(1)
-        by_pair: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        for j in np.flatnonzero(same):
-            by_pair.setdefault(lot[j][:2], []).append(lot[j][2:])
-        for (k, i), windows in by_pair.items():
+    def _judge(self, lot: list[tuple[int, int, int, np.ndarray]], places: dict[tuple[int, int], tuple[np.ndarray, list[tuple[int, int]]]], out: list[list[tuple[int, int, int, int]]]) -> None:
+        """LSH over all windows at once, then the exact distances around those that share a key with their item, or else of all places."""
+        near: dict[tuple[int, int], list[int]] = {}
+        if lot:
+            owner = np.array([i for _, i, _, _ in lot])
+            same = (keys(_stacked([w for *_, w in lot]), self.sizes[owner]) == self.keys[owner]).any(1)
+            for j in np.flatnonzero(same):
+                near.setdefault(lot[j][:2], []).append(lot[j][2])
+        for (k, i), (words, stretches) in places.items():
             item_id, item = self.items[i]
-            edits = edit_distances(np.stack([w for _, w in windows]), item)
-            best = int(edits.argmin())
-            if edits[best] <= self.edits[i]:
-                out[k].append((item_id, windows[best][0], int(edits[best]), len(item)))
+            around = _merged(np.array(near[k, i]) - self.edits[i], len(item) + 2 * self.edits[i], len(words)) if (k, i) in near else []
+            for some in (around, stretches):
+                found = [(edits, a + start) for a, b in some for edits, start in [best_stretch(words[a:b], item)]]
+                edits, start = min(found, default=(len(item), 0))
+                if found and edits <= self.edits[i]:
+                    out[k].append((item_id, start, edits, len(item)))
+                    break
 
 
 def _stacked(sequences: list[np.ndarray]) -> np.ndarray:
