@@ -50,6 +50,14 @@ def test_ids_are_those_of_the_tokenizers_file(texts, reference_ids):
         assert packing.token_ids(t).tolist() == reference_ids(t)
 
 
+def test_very_long_white_space(spark, reference_ids):
+    text = "a" + " " * 1_100_000 + "b <|endoftext|>"
+    want = reference_ids(text)
+    assert packing.token_ids(text).tolist() == want
+    rows = packing.pack_documents(spark.createDataFrame([(1, text), (2, "one")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {1: len(want), 2: 2}
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = packing.pack_documents(odd_docs).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in odd_docs.select("doc_id").collect()}

@@ -49,9 +49,25 @@ def encoding(ranks_path: str | None = None):
     return _encodings[ranks_path]
 
 
+def slow_encoding():
+    """The tokenizers file itself, with ordinary text only."""
+    if "slow" not in _encodings:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        _encodings["slow"] = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        _encodings["slow"].encode_special_tokens = True
+    return _encodings["slow"]
+
+
 def token_ids(text: str | None, ranks_path: str | None = None) -> np.ndarray:
     """Little-endian ids of a text and the end id."""
-    ids = encoding(ranks_path).encode_to_numpy(text) if text else np.empty(0, np.uint32)
+    try:
+        ids = encoding(ranks_path).encode_to_numpy(text) if text else np.empty(0, np.uint32)
+    except ValueError:  # tiktoken's pattern runs out of stack on about a million white spaces in a row
+        if ranks_path is not None:
+            raise
+        ids = np.array(slow_encoding().encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(ids, np.uint32(END_ID)).astype("<u4")
 
 
