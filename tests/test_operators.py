@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import cascade, dedup, feed, similarity, store
+from tidewire.plans import catalog
 from tidewire.sources import readers, writers
 from tidewire.streaming import jobs
 
@@ -54,6 +55,17 @@ def test_cascade_matches_a_sequential_scan(spark, seed):
     assert got == sequential(rows, near, same=same)
 
 
+def test_cascade_query_with_a_group_of_near_copies(spark, tmp_path):
+    rng = random.Random(4)
+    vectors = [[1.0, 0.0, 0.0, 0.0]] + [[1.0, *(rng.uniform(-0.8, 0.8) for _ in range(3))] for _ in range(49)]
+    spark.createDataFrame([(i, f"w{i}", "s") for i in range(50)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    near = [(a, b, s) for a in range(50) for s, b in sorted(((cosine(vectors[a], vectors[b]), b) for b in range(a)), reverse=True)[:10]]
+    got = {r.rowid: (r.status, r.layer) for r in catalog.QUERIES["dd5_cascade"](spark, str(tmp_path)).collect()}
+    assert got == sequential([(i, f"h{i}", f"t{i}", f"w{i}") for i in range(50)], near)
+
+
 def test_first_similar_matches_brute_force(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(25)]

@@ -45,8 +45,8 @@ def first_similar(items: DataFrame, over: float = 0.4, id_col: str = "rowid", te
     return rows.join(earliest, "own").where("match < id").select("id", "match")
 
 
-def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """query_id, vec_id, score, rank: each query's k most similar of all vectors, itself left out, ties to the smaller id.
+def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, earlier: bool = False) -> DataFrame:
+    """query_id, vec_id, score, rank: each query's k most similar of all vectors (`earlier`: of those with smaller ids), itself left out, ties to the smaller id.
 
     queries and vectors: vec_id, embedding. The stated query set goes to every vector in blocks of a bounded size; vectors without length take no part.
     """
@@ -68,7 +68,7 @@ def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024
                 own = batch["vec_id"].to_numpy()
                 v = np.stack(batch["embedding"].to_numpy()).astype(float)
                 score = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                score[ids[:, None] == own[None, :]] = -np.inf
+                score[ids[:, None] <= own[None, :] if earlier else ids[:, None] == own[None, :]] = -np.inf
                 for i, row in enumerate(score):
                     few = np.lexsort((own, -row))[:k]
                     few = few[np.isfinite(row[few])]

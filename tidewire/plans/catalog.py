@@ -321,7 +321,7 @@ def win_rrf(spark, sf):
 def dd5_cascade(spark, sf):
     """The whole cascade with neighbours from the vectors; held against a sequential scan in the tests."""
     v = views.read(spark, sf, "embeddings")
-    near = similarity.top_cosine(v, v, 10).where("vec_id < query_id").selectExpr("query_id a", "vec_id b", "score")
+    near = similarity.top_cosine(v, v, 10, earlier=True).selectExpr("query_id a", "vec_id b", "score")
     return cascade.resolve(views.items(spark, sf), near)
 
 
