@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Rows in an Arrow batch: texts may be long, and a worker holds one batch at a time.
+#: Rows that a mapper turns into Python objects at once. (Spark bounds a batch's bytes by spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set.)
 BATCH_ROWS = 500
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, and keep Arrow batches small."""
+    """Let Python workers import this package from where the driver has it."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows; an empty batch as it is."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that none of the columns begins with, whatever their case."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,24 +67,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 class Stored:
-    """A table in the checkpoint folder, compact and read by column, until drop()."""
+    """A table in the checkpoint folder, compact and read by column, until drop() or the end of the driver."""
+
+    kept: set[Stored] = set()
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{checkpoint_folder(self.spark)}/stored-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+        Stored.kept.add(self)
 
     def drop(self) -> None:
+        Stored.kept.discard(self)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps, which it does when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+@atexit.register
+def _drop_kept() -> None:
+    """What results still read when the driver ends; a session that has ended keeps its files."""
+    for stored in list(Stored.kept):
+        with contextlib.suppress(Exception):
+            stored.drop()
 
 
 # Vectorised word and shingle hashes ---------------------------------------------------------

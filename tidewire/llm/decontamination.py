@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import mix, ship, table, word_hashes
+from tidewire.llm.common import mix, ship, sliced, table, word_hashes
 
 TOLERANCE = 0.2
 WALKS, TABLES, PLACES = 5, 10, 2
@@ -228,7 +228,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         shared = spark.sparkContext.broadcast(Items(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = [(key, *hit) for key, hits in zip(batch.column(0).to_pylist(), shared.value.search(batch.column(1).to_pylist()), strict=True) for hit in hits]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (batch.schema.field(0).type, *[pa.int64()] * 4), strict=True)], names=[id_col, "item_id", "start_word", "edits", "item_words"])
 

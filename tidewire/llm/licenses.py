@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm.common import ship, table
+from tidewire.llm.common import ship, sliced, table
 
 #: Base phrases and labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -235,7 +235,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("label", pa.string()), ("priority", pa.int64()), ("confidence", pa.float64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = list(zip(*map(scan, batch.column(1).to_pylist()), strict=True)) or [[]] * 8
             rows[7] = [[dict(zip(("start", "stop", "label", "priority", "confidence"), d, strict=True)) for d in x] for x in rows[7]]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=[x.split()[0] for x in schema.split(", ")])

@@ -6,22 +6,24 @@ A document's set is its distinct 4-word shingles (64-bit hashes); two sets link
 1. Index. A set of n tokens, in one global order, needs only its first n - ceil(0.85 n) + 1 tokens
    in the inverted lists. The order is by hash, with tokens that stand in many prefixes last, so that
    passages which many documents share stay out of the lists. (The order decides cost, not results.)
-2. Round one. Each list has a centre, the set with the smallest part of tokens of its own (of near
-   copies, the text they were made from); every member is compared with it: one pair for each member.
-3. Round two, answers from a similar set's answers. What links to the centre is joined to it, and two
-   such sets need no comparison. The rest of a list is dealt into tiles of bounded size, ordered by
-   position. Before their first common token two linked sets have at most 3/37 of their tokens, so a
-   set skips the list's end beyond that position unread; of what is left, the known distances to the
-   centre must leave a link possible (Jaccard distance is a metric), and so must the Hamming distance of
-   parity bitmaps. Of the pairs that pass, each set's most promising one leaves the tile.
-4. Those pairs are counted exactly. A second pass over the tiles lets out all pairs that pass and whose
-   sets the links so far have not joined, and these are counted too. What stays inside says nothing new:
-   its sets are in one component.
-5. Components of the links, by least label and pointer jumping.
+2. The answers of one set in each list. Each list has a centre, the set with the smallest part of tokens
+   of its own (of near copies, the text they were made from); every other member is compared with it: one
+   pair for each member. Sizes, positions and the Hamming distance of parity bitmaps, a lower bound of the
+   symmetric difference, leave few pairs to count exactly. A list of two sets is finished by that.
+3. The others' answers from the centre's. Two sets that link to one centre are joined and are not compared;
+   a list whose sets are all joined is skipped whole. Of the rest, the known distances to the centre must
+   leave a link possible (Jaccard distance is a metric). Before their first common token two linked sets
+   have at most 3/37 of their tokens, so lists are sorted by position, and a set skips the block of a list
+   beyond that position unread. The pairs that sizes and bitmaps leave open are counted exactly.
+4. Components of the links, by least label and pointer jumping.
+
+A long list is dealt by hash. Its largest group of joined sets is dealt into chunks of about TILE sets, each of
+which meets only the sets outside that group; these meet each other in tiles. So a token of a third of all
+rows, whose sets are mostly joined to one centre, costs in proportion to them.
 
 Nulls and texts without words have empty sets and link with nothing. Fewer than four words are one
-shingle. Rows with the same id are sets of their own; the component is the least id among them. Other
-columns are not read. An empty table gives no rows.
+shingle. Rows with the same id are sets of their own; the component is the least id among them. Very long
+texts are one set like others. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,17 +35,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import Stored, cut_lineage, mix, release, shingles, ship, table, word_hashes
+from tidewire.llm.common import Stored, free_name, mix, shingles, ship, sliced, table, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Words of a parity bitmap.
 BITMAP_WORDS = 16
-#: Sets on either side of a tile of a list, about; pairs of a tile that are looked at together.
+#: Sets on either side of a tile of a long list, about; pairs of a tile that are looked at together.
 TILE, LOT = 512, 1 << 17
 #: A token in more prefixes than this goes last in the order, the commonest HEAVY_TOKENS at most (what is broadcast).
 HEAVY, HEAVY_TOKENS = 8, 1 << 19
-#: Bits of the filter over the ids of documents that are counted exactly: bounds what is broadcast, lets more through when full.
-FILTER_BITS = 1 << 22
+#: Entries of one list that one task reads, about: longer lists are salted.
+SPLIT = 1 << 16
+#: Ids that are broadcast to pick documents out, at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def token_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -60,14 +64,17 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def _mapped(docs: DataFrame, make, schema: str) -> DataFrame:
-    """make(text) gives a tuple of values, or None to drop the row; the first column goes through."""
+    """docs: a key, further columns that go through, and last the text. make(text) gives the other values of the schema."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[x.split()[1]] for x in schema.split(", ")]
+    through = len(docs.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(key, *made) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (made := make(key, text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
+        for batch in sliced(batches):
+            made = [make(text) for text in batch.column(through).to_pylist()]
+            more = zip(*made, strict=True) if made else [[]] * (len(kinds) - through)
+            columns = [*batch.columns[:through], *more]
+            yield pa.RecordBatch.from_arrays([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -76,47 +83,122 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _most(sizes: Column) -> Column:
+    """The greatest symmetric difference of linked sets whose sizes add up to this."""
+    return F.floor(3 * sizes / 37)
+
+
 def _apart(difference: Column, sizes: Column) -> Column:
     """Jaccard distance of sets with this symmetric difference and sum of sizes."""
     return 2 * difference / (sizes + difference)
 
 
-_TILED = "a long, b long, sizes long, low long"
+_LISTS = "token long, sid long, pos long, n long, c long, cpos long, cn long, whole boolean"
 
 
-def _tiled(members: DataFrame, sets: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-    """Pairs of members of a list, of different roots, that positions, distances to the centre and bitmaps leave possible; best: one for each member at most.
+def _entries_by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by token and own, a list's first entry is its centre. Lists of one set go; of two sets, the other one with the centre stays (whole);
+    of more, all entries with the centre. `salted` entries are part of a longer list, and stay. What is held is a batch and two entries."""
+    columns = ("token", "sid", "pos", "n", "salted")
+    held = np.empty((0, 5), np.int64)  # the last list so far, while it has two entries or fewer
+    centre: np.ndarray | None = None  # of the last list, once it has more
 
-    A list is dealt by hash into sides of about TILE sets, and every two sides meet in a tile; most lists are one tile.
-    """
-    sides = F.ceil(F.col("m") / TILE).cast("int")
-    side = F.pmod(F.xxhash64("sid", F.lit("side")), sides).cast("int")
-    known = sets.select("sid", "bits").join(roots.selectExpr("vertex sid", "label"), "sid", "left").select("sid", "bits", F.coalesce("label", "sid").alias("root"))
-    tiles = members.join(known, "sid").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    tiles = tiles.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "pos", "side", "sid", "n", "root", "least", "most", "bits")
-    return tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "pos").mapInArrow(lambda batches: _open_pairs(batches, best), _TILED)
+    def given(rows: np.ndarray, centres: np.ndarray, whole: bool) -> pa.RecordBatch:
+        parts = [*rows[:, :4].T, *centres[:, 1:4].T]
+        return pa.RecordBatch.from_arrays([*(pa.array(p, pa.int64()) for p in parts), pa.array(np.full(len(rows), whole))], names=[x.split()[0] for x in _LISTS.split(", ")])
+
+    def finished(rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(np.append(starts, len(rows)))
+        long = (sizes > 2) | (rows[starts, 4] > 0)
+        two = starts[(sizes == 2) & ~long]
+        if len(two):
+            yield given(rows[two + 1], rows[two], True)
+        of = np.repeat(starts, sizes)
+        mine = np.repeat(long, sizes)
+        if mine.any():
+            yield given(rows[mine], rows[of[mine]], False)
 
+    for batch in batches:
+        rows = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
+        if centre is not None:
+            same = int((rows[:, 0] == centre[0]).argmin()) if (rows[:, 0] != centre[0]).any() else len(rows)
+            if same:
+                yield given(rows[:same], np.broadcast_to(centre, (same, 5)), False)
+            rows = rows[same:]
+            if len(rows):
+                centre = None
+        rows = np.concatenate([held, rows])
+        held = rows[:0]
+        if not len(rows):
+            continue
+        starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        last = starts[-1]
+        if last:
+            yield from finished(rows[:last], starts[:-1])
+        if len(rows) - last <= 2:
+            held = rows[last:].copy()
+        else:
+            centre = rows[last].copy()
+            yield given(rows[last:], np.broadcast_to(centre, (len(rows) - last, 5)), False)
+    if len(held):
+        yield from finished(held, np.array([0]))
+
+
+def _lists(seen: DataFrame, hot: DataFrame) -> DataFrame:
+    """Entries of lists with two sets or more. hot: token, parts; entries of these tokens are salted."""
+    sets = seen.where("n > 0").select("sid", "n", "own", "prefix").dropDuplicates(["sid"])
+    entries = sets.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n", "own").join(F.broadcast(hot), "token", "left")
+    entries = entries.withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("sid"), F.col("parts"))))
+    entries = entries.select("token", "sid", "pos", "n", "own", F.coalesce("salt", F.lit(0)).cast("int").alias("salt"), F.col("salt").isNotNull().cast("int").alias("salted"))
+    dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "own", "sid")
+    # salts of a token that meet in one task run on as one list
+    return dealt.select("token", "sid", "pos", "n", "salted").mapInArrow(_entries_by_list, _LISTS)
+
+
+def _tiled(lists: DataFrame, sets: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of sets of a list, of different roots, that positions, distances to the centre and bitmaps leave open."""
+    own = lists.join(roots.selectExpr("vertex sid", "label"), "sid", "left").withColumn("root", F.coalesce("label", "sid")).drop("label")
+    groups = own.groupBy("token", "root").agg(F.count("*").alias("m"))
+    tokens = groups.groupBy("token").agg(F.max(F.struct("m", "root")).alias("largest"), F.sum("m").alias("m"), F.count("*").alias("roots"))
+    tokens = tokens.where("roots > 1").select("token", F.col("largest.root").alias("main"), F.col("largest.m").alias("inside"), (F.col("m") - F.col("largest.m")).alias("outside"))
+    work = own.join(tokens, "token").join(known, ["sid", "c"], "left").join(sets.select("sid", "bits"), "sid")
+    # one tile for a short list; of a long one, chunks of the main group with chunks of the others, and these with each other
+    short = F.col("inside") + F.col("outside") <= TILE
+    into = lambda size: F.when(short, 1).otherwise(F.ceil(F.col(size) / TILE)).cast("int")
+    work = work.withColumn("chunks", into("inside")).withColumn("others", into("outside")).withColumn("main", ~short & (F.col("root") == F.col("main")))
+    work = work.withColumn("mine", F.pmod(F.xxhash64("sid", F.lit("chunk")), F.when(F.col("main"), F.col("chunks")).otherwise(F.col("others"))).cast("int"))
+    tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    mine, all_of = F.col("mine"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    beside = F.transform(all_of("others"), lambda j: tile(1, F.least(mine, j), F.greatest(mine, j)))
+    across = F.when(short, F.array(tile(1, mine, mine))).otherwise(F.concat(F.transform(all_of("chunks"), lambda i: tile(0, i, mine)), beside))
+    tiles = F.when(F.col("main"), F.transform(all_of("others"), lambda j: tile(0, mine, j))).otherwise(across)
+    work = work.withColumn("tile", F.explode(tiles)).select(
+        "token", "tile.kind", "tile.i", "tile.j", "pos", "main", "mine", "sid", "n", "root",
+        F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(1.0)).alias("most"), F.col("c").alias("centre"), "bits",
+    )
+    return work.repartition("token", "kind", "i", "j").sortWithinPartitions("token", "kind", "i", "j", "pos").mapInArrow(_open_pairs, "a long, b long, sizes long, low long")
 
-def _open_pairs(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs over tiles that stand together; the last tile of a batch waits for the next one."""
     rest: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-        keys = [rows[c].to_numpy() for c in ("token", "i", "j")]
+        keys = [rows[c].to_numpy() for c in ("token", "kind", "i", "j")]
         starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if rows.num_rows else np.array([0])
-        yield from _compared(rows.slice(0, starts[-1]), starts[:-1], best)
+        yield from _compared(rows.slice(0, starts[-1]), starts[:-1])
         rest = rows.slice(starts[-1])
     if rest is not None and rest.num_rows:
-        yield from _compared(rest, np.array([0]), best)
+        yield from _compared(rest, np.array([0]))
 
 
-def _compared(rows: pa.Table, starts: np.ndarray, best: bool) -> Iterator[pa.RecordBatch]:
+def _compared(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs within the tiles that begin at `starts`, whose rows rise by position."""
     count = rows.num_rows
     if not count:
         return
-    i, j, pos, side, sid, n, root, least, most = (rows[c].to_numpy() for c in ("i", "j", "pos", "side", "sid", "n", "root", "least", "most"))
+    kind, i, j, pos, main, mine, sid, n, root, least, most, centre = (rows[c].to_numpy() for c in ("kind", "i", "j", "pos", "main", "mine", "sid", "n", "root", "least", "most", "centre"))
     pos = pos.astype(np.int64)
     bits = rows["bits"].combine_chunks().flatten().to_numpy().reshape(count, BITMAP_WORDS).view(np.uint64)
     tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, count)))
@@ -125,105 +207,125 @@ def _compared(rows: pa.Table, starts: np.ndarray, best: bool) -> Iterator[pa.Rec
     ends = np.searchsorted(tile * span + pos, tile * span + np.clip(reach, -1, span - 2), side="right")
     partners = np.maximum(0, ends - np.arange(count) - 1)
     before = np.concatenate([[0], np.cumsum(partners)])
-    none = np.iinfo(np.int64).max
-    chosen = np.full(count, none)
-
-    def pairs(x: np.ndarray, y: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), n[x] + n[y], low)], names=["a", "b", "sizes", "low"])
-
+    wide = 1 - PERCENT / 100 + 1e-9
+    found: list[np.ndarray] = []
     for at in range(0, int(before[-1]), LOT):
         number = np.arange(at, min(at + LOT, int(before[-1])))
         x = np.searchsorted(before, number, side="right") - 1
         y = x + 1 + number - before[x]
         far = 3 * (n[x] + n[y]) // 37
-        ok = (root[x] != root[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+        # a tile of kind 0 is between the main group and the others; one of kind 1 between two chunks, or within one
+        ok = (root[x] != root[y]) & np.where(kind[x] == 0, main[x] != main[y], (i[x] == j[x]) | (mine[x] != mine[y]))
         ok &= (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * PERCENT) & (pos[x] + pos[y] <= far)
-        wide = 1 - PERCENT / 100 + 1e-9
-        ok &= (least[x] - most[y] <= wide) & (least[y] - most[x] <= wide)
+        # entries of one list may know different centres, as salts have their own
+        ok &= (centre[x] != centre[y]) | ((least[x] - most[y] <= wide) & (least[y] - most[x] <= wide))
         x, y, far = x[ok], y[ok], far[ok]
         low = np.maximum(np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64), np.abs(n[x] - n[y]))
         ok = low <= far
         x, y, low = x[ok], y[ok], low[ok]
-        if best:  # the least bound of each row so far, with the other row
-            for own, other in ((x, y), (y, x)):
-                np.minimum.at(chosen, own, (low << 32) | other)
-        elif len(x):
-            yield pairs(x, y, low)
-    x = np.flatnonzero(chosen < none)
-    if len(x):
-        yield pairs(x, chosen[x] & 0xFFFFFFFF, chosen[x] >> 32)
+        found.append(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), n[x] + n[y], low], axis=1))
+        if sum(map(len, found)) >= LOT or at + LOT >= before[-1]:  # near copies meet in many lists of a batch
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs.T], names=["a", "b", "sizes", "low"])
+            found = []
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sum of sizes and a lower bound of the symmetric difference."""
+    """Pairs (a, b) with the sum of sizes and a lower bound of the symmetric difference that allows a link."""
     left, right = sets.selectExpr("sid a", "n na", "bits bits_a"), sets.selectExpr("sid b", "n nb", "bits bits_b")
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    out = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.col("na"), F.col("nb")))
-    return out.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), F.greatest(apart, F.abs(F.col("na") - F.col("nb"))).alias("low"))
-
-
-def _counted(bounded: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose bound allows a link, with their exact symmetric difference."""
-    open_pairs = bounded.where(F.col("low") <= F.floor(3 * F.col("sizes") / 37))
-    needed = open_pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "doc_id"), "sid")
-    needed = cut_lineage(needed)
-    # a bit for each id that is needed, at most FILTER_BITS: the texts of other documents are not shuffled
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = needed.select(F.shiftright(bit, 6).cast("int").alias("word"), (bit % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    lot = docs.withColumn("word", F.shiftright(bit, 6).cast("int")).join(F.broadcast(words), "word")
-    lot = lot.where(F.expr(f"(shiftright(mask, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int)) & 1) = 1")).select("doc_id", "text")
-
-    def tokens(sid: int, text: str | None) -> tuple | None:
+    out = pairs.join(left, "a").join(right, "b")
+    out = out.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), F.greatest(apart, F.abs(F.col("na") - F.col("nb"))).alias("low"))
+    return out.where(F.col("low") <= _most(F.col("sizes")))
+
+
+def _picked(docs: DataFrame, wanted: DataFrame, count: int, keys: list[str], how: str) -> DataFrame:
+    """docs joined with `wanted` by null-safe keys of the same names: broadcast up to BROADCAST_IDS rows, else by a shuffle."""
+    own = wanted.select(*(F.col(k).alias(f"{k}_wanted") for k in keys), *(c for c in wanted.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_wanted"))
+    return docs.join(F.broadcast(own) if count <= BROADCAST_IDS else own, same, how)
+
+
+def _counted(open_pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> Stored:
+    """open_pairs: a, b, sizes. a, b, sizes, difference: the exact symmetric difference. docs: doc_id, place, text."""
+    needed = Stored(open_pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "doc_id", "place"), "sid"))
+    texts = _picked(docs, needed.rows, needed.rows.count(), ["doc_id", "place"], "inner")
+
+    def tokens(text: str | None) -> tuple[int, list[int]]:
         t = token_set(text)
-        return (t.view(np.int64).tolist(),) if set_id(t) == sid else None
+        return set_id(t), t.view(np.int64).tolist()
 
-    full = _mapped(lot.join(needed, "doc_id").select("sid", "text"), tokens, "sid long, tokens array<long>").dropDuplicates(["sid"])
-    full = cut_lineage(full)
-    both = open_pairs.join(full.selectExpr("sid a", "tokens ta"), "a").join(full.selectExpr("sid b", "tokens tb"), "b")
-    return both.select("a", "b", "sizes", (F.col("sizes") - 2 * F.size(F.array_intersect("ta", "tb"))).alias("difference"))
+    full = _mapped(texts.select("sid", "text"), tokens, "sid long, found long, tokens array<long>").where("sid = found")
+    full = Stored(full.select("sid", "tokens").dropDuplicates(["sid"]))  # rows with equal ids and texts
+    both = open_pairs.join(full.rows.selectExpr("sid a", "tokens ta"), "a").join(full.rows.selectExpr("sid b", "tokens tb"), "b")
+    out = Stored(both.select("a", "b", "sizes", (F.col("sizes") - 2 * F.size(F.array_intersect("ta", "tb"))).alias("difference")))
+    needed.drop()
+    full.drop()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
+    return _components(edges).rows
+
+
+def _components(edges: DataFrame) -> Stored:
     """vertex, label: the least vertex that edges (a, b) connect it with. Least labels of neighbours, then the label's label, until nothing changes."""
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("label")))
+    both = Stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = Stored(both.rows.groupBy(F.col("a").alias("vertex")).agg(F.min(F.least("a", "b")).alias("label")).withColumn("was", F.lit(None).cast("long")))
     while True:
-        seen = both.join(labels.withColumnRenamed("vertex", "b"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("seen"))
-        nearer = labels.join(seen, "vertex").select("vertex", F.least("label", "seen").alias("near"), F.col("label").alias("was"))
-        jump = labels.select(F.col("vertex").alias("near"), F.col("label").alias("far"))
-        after = cut_lineage(nearer.join(jump, "near").select("vertex", F.least("near", "far").alias("label"), "was"))
-        if after.where("label <> was").isEmpty():
-            return after.select("vertex", "label")
-        labels = after.select("vertex", "label")
+        now = labels.rows.select("vertex", "label")
+        seen = both.rows.join(now.withColumnRenamed("vertex", "b"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("seen"))
+        nearer = now.join(seen, "vertex").select("vertex", F.least("label", "seen").alias("near"), F.col("label").alias("was"))
+        jump = now.select(F.col("vertex").alias("near"), F.col("label").alias("far"))
+        after = Stored(nearer.join(jump, "near").select("vertex", F.least("near", "far").alias("label"), "was"))
+        labels.drop()
+        labels = after
+        if after.rows.where("label <> was").isEmpty():
+            both.drop()
+            return labels
 
 
 def _links(counted: DataFrame) -> DataFrame:
-    return counted.where(F.col("difference") <= F.floor(3 * F.col("sizes") / 37)).select("a", "b")
+    return counted.where(F.col("difference") <= _most(F.col("sizes"))).select("a", "b")
+
+
+def _heavy(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest tokens of the prefixes by hash alone, and in how many rows' prefixes they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            prefixes = [t[: prefix_size(len(t))] for t in map(token_set, batch.column(0).to_pylist()) if len(t)]
+            if prefixes:
+                tokens, counts = np.unique(np.concatenate(prefixes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
+
+    crowded = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
+    found = crowded.orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).toArrow()
+    tokens, counts = found["token"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
 
 
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid, n) for each row, and pairs (a, b) of different sets that span the components of the links."""
-    ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    """(doc_id, place, sid, n) for each row, and pairs (a, b) of different sets that span the components of the links."""
+    seen, links, _ = _linked(docs)
+    return seen.rows.select("doc_id", "place", "sid", "n"), links
 
-    def first_look(doc_id: int, text: str | None) -> tuple:
-        t = token_set(text)
-        return set_id(t), len(t), t[: prefix_size(len(t))].view(np.int64).tolist() if len(t) else []
-
-    spark = docs.sparkSession
-    seen = Stored(_mapped(docs, first_look, "doc_id long, sid long, n long, prefix array<long>"))
-    rows = cut_lineage(seen.rows.select("doc_id", "sid", "n"))
-    classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    crowded = seen.rows.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > HEAVY)
-    heavy = np.sort(crowded.orderBy(F.desc("count"), "token").limit(HEAVY_TOKENS).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
-    seen.drop()
-    release(spark)
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-
-    def index(doc_id: int, text: str | None) -> tuple | None:
+
+def _linked(docs: DataFrame) -> tuple[Stored, DataFrame, list[Stored]]:
+    """Rows with doc_id, place (a hash of the text), sid and n; pairs (a, b); and the tables to drop when both are read."""
+    spark = ship(docs.sparkSession)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("place"), "text")
+    heavy, often = _heavy(docs)
+    hot = spark.createDataFrame([(t, int(-(-c // SPLIT))) for t, c in zip(heavy.view(np.int64).tolist(), often.tolist(), strict=True) if c > SPLIT], "token long, parts int")
+    shared = spark.sparkContext.broadcast(heavy)
+
+    def index(text: str | None) -> tuple:
         t = token_set(text)
         if not len(t):
-            return None
+            return 0, 0, None, None, None
         last = np.zeros(len(t), bool)
         if len(shared.value):
             at = np.minimum(np.searchsorted(shared.value, t), len(shared.value) - 1)
@@ -232,73 +334,81 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         order = np.concatenate([t[~last], t[last]])[:size]
         own = int(1_000_000 * (1 - last[:size].mean()))
         odd = np.bincount((t & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64), minlength=BITMAP_WORDS * 64) & 1
-        return set_id(t), len(t), own, order.view(np.int64).tolist(), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-
-    sets = _mapped(docs, index, "doc_id long, sid long, n long, own long, prefix array<long>, bits array<long>")
-    sets = cut_lineage(sets.drop("doc_id").dropDuplicates(["sid"]))
-
-    entries = sets.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n", "own")
-    centres = entries.groupBy("token").agg(F.min(F.struct("own", "sid")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "c.sid", "m").withColumnRenamed("sid", "c")
-    lists = Stored(entries.drop("own").join(centres, "token").where("sid <> c"))
-    release(spark)
-
-    first = cut_lineage(_bounded(lists.rows.select(F.col("sid").alias("a"), F.col("c").alias("b")).distinct(), sets))
-    exact = cut_lineage(_counted(first, docs, classes))
-    known = first.join(exact.select("a", "b", "difference"), ["a", "b"], "left").select(
-        F.col("a").alias("sid"), F.col("b").alias("c"),
-        F.coalesce(F.col("difference") <= F.floor(3 * F.col("sizes") / 37), F.lit(False)).alias("link"),
-        _apart(F.coalesce("difference", "low"), F.col("sizes")).alias("least"),
-        F.when(F.col("difference").isNotNull(), _apart(F.col("difference"), F.col("sizes"))).otherwise(1.0).alias("most"),
-    )
-
-    # the second round: members that do not link to the centre, and who stands in a list with one
-    members = lists.rows.where("m > 2").join(known, ["sid", "c"], "left").select("token", "m", "pos", "sid", "n", F.coalesce("link", F.lit(False)).alias("link"), F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(1.0)).alias("most"))
-    members = Stored(members)
+        return set_id(t), len(t), own, order.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"doc_id is {kind}; it must be an integer")
+    seen = Stored(_mapped(docs.withColumn("doc_id", F.col("doc_id").cast("long")), index, "doc_id long, place long, sid long, n long, own long, prefix array<long>, bits array<long>"))
+    lists = Stored(_lists(seen.rows, hot))
+    shared.destroy()
+    some = seen.rows.where("n > 0").select("sid", "n", "doc_id", "place", "bits").join(lists.rows.select("sid").union(lists.rows.select("c")).distinct(), "sid", "left_semi")
+    sets = Stored(some.groupBy("sid", "n").agg(F.min(F.struct("doc_id", "place")).alias("one"), F.first("bits").alias("bits")).select("sid", "n", "one.doc_id", "one.place", "bits"))
+
+    fits = _sizes_fit(F.col("n"), F.col("cn")) & (F.col("pos") + F.col("cpos") <= _most(F.col("n") + F.col("cn")))
+    stars = lists.rows.where((F.col("sid") != F.col("c")) & fits).select(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b")).distinct()
+    stars = Stored(_bounded(stars, sets.rows))
+    first = _counted(stars.rows.select("a", "b", "sizes"), docs, sets.rows)
+    stars.drop()
+    roots = _components(_links(first.rows))
+    apart = _apart(F.col("difference"), F.col("sizes")).alias("least")
+    known = first.rows.select(F.col("a").alias("sid"), F.col("b").alias("c"), apart).union(first.rows.select(F.col("b").alias("sid"), F.col("a").alias("c"), apart)).withColumn("most", F.col("least"))
+    open_pairs = Stored(_tiled(lists.rows.where("not whole"), sets.rows, roots.rows, known).groupBy("a", "b", "sizes").agg(F.min("low").alias("low")))
     lists.drop()
-    asking = members.rows.where(~F.col("link")).select("token").distinct()
-    work = Stored(members.rows.join(asking, "token").drop("link"))
-    members.drop()
-    roots = components(_links(exact))
-    near = cut_lineage(_tiled(work.rows, sets, roots, best=True).dropDuplicates(["a", "b"]))
-    release(spark)
-    ends = near.selectExpr("a x", "b y", "sizes", "low").union(near.selectExpr("b x", "a y", "sizes", "low"))
-    best = ends.groupBy("x").agg(F.min(F.struct("low", "y", "sizes")).alias("best"))
-    best = cut_lineage(best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b"), "best.sizes", "best.low").distinct())
-    roots = components(roots.selectExpr("vertex a", "label b").union(_links(_counted(best, docs, classes))))
-    apart = cut_lineage(_tiled(work.rows, sets, roots, best=False).dropDuplicates(["a", "b"]))
-    work.drop()
-    release(spark)
-    more = _links(_counted(apart, docs, classes))
+    more = _counted(open_pairs.rows.select("a", "b", "sizes"), docs, sets.rows)
+    open_pairs.drop()
+    sets.drop()
     # a component so far is a star around its least set
-    return rows, more.union(roots.where("vertex <> label").selectExpr("vertex a", "label b"))
+    links = _links(more.rows).union(roots.rows.where("vertex <> label").selectExpr("vertex a", "label b"))
+    return seen, links, [seen, first, roots, more]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, and sid, which equal sets share."""
-    rows, links = linked_sets(docs)
-    roots = components(links)
+    """A row for each document: doc_id, n_shingles, component_id, and what tells rows with the same id apart: sid, which equal sets share, and place, a hash of the text."""
+    seen, links, held = _linked(docs)
+    roots = _components(links)
+    rows = seen.rows.select("doc_id", "place", "sid", "n")
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots, classes.sid == roots.vertex, "left").select("sid", "least", F.coalesce("label", "sid").alias("root"))
+    classes = classes.join(roots.rows, classes.sid == roots.rows.vertex, "left").select("sid", "least", F.coalesce("label", "sid").alias("root"))
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(whole, "root").select("sid", "component_id", F.lit(True).alias("worded"))
+    named = classes.join(whole, "root").select("sid", "component_id")
+    # a copied set with a third of all rows is one key: most sets stand alone, and Spark splits what is left
     out = rows.join(named, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sid")
+    out = Stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sid", "place"))
+    for table_ in [*held, roots]:
+        table_.drop()
+    return out.rows
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of the least id of each component, one of those with equal id and set; same columns."""
-    ship(docs.sparkSession)
-    named = near_duplicates(docs.select("doc_id", "text"))
-    keep = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("sid").alias("_keep")).distinct()
+    """The rows of the least id of each component, one of those with equal id and set; same columns. A row without an id stands for its component if no row of it has one.
 
-    def ids(texts):
-        return texts.map(lambda t: set_id(token_set(t))).astype("int64")
-
-    ids.__annotations__ = {}
-    marked = docs.withColumn("_sid", F.pandas_udf(ids, "long", functionType=200)("text"))  # SCALAR
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sid") == F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sid"]).select(*docs.columns)
+    Rows go by a join with the ids to drop; the texts are shuffled only if these are more than BROADCAST_IDS.
+    """
+    named = near_duplicates(docs.select("doc_id", "text"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # of the rows with one id and set, those of one text stay, and of these one
+    first = named.where(kept).groupBy("doc_id", "sid").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    again = Stored(first.where("n > 1").select("doc_id", "sid", F.col("place").alias("stays")))
+    many = again.rows.count()
+    gone = named.where(~kept).select("doc_id", "place")
+    repeated = None
+    if many:
+        of = _picked(named.where(kept).select("doc_id", "sid", "place"), again.rows, many, ["doc_id", "sid"], "inner").select("doc_id", "place", (F.col("place") == F.col("stays")).alias("stays"))
+        repeated = Stored(of.distinct())
+        gone = gone.union(repeated.rows.where("not stays").select("doc_id", "place"))
+    gone = Stored(gone.distinct())
+    key, hashed = free_name(docs, "key"), free_name(docs, "hash")
+    marked = docs.withColumns({key: F.col("doc_id").cast("long"), hashed: F.xxhash64("text")})
+    names = [key, hashed]
+    left = _picked(marked, gone.rows.toDF(*names), gone.rows.count(), names, "left_anti")
+    if repeated is not None:
+        stays = repeated.rows.where("stays").select("doc_id", "place").toDF(*names)
+        twice = stays.count()
+        of_these = _picked(left, stays, twice, names, "left_semi").dropDuplicates(names)
+        left = _picked(left, stays, twice, names, "left_anti").union(of_these)
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("sid")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("sid", "place")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut_lineage, ship, table
+from tidewire.llm.common import cut_lineage, ship, sliced, table
 
 WINDOW, END_ID = 2048, 1
 #: What is left of a document after its whole windows is cut into pieces of at most this many tokens.
@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, ranks_path: str | None = None, window: int = W
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = token_ids(text, ranks_path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import ship, table, word_hashes
+from tidewire.llm.common import ship, sliced, table, word_hashes
 
 TRAIN_DOCS = 6000
 BUCKETS = 1 << 16
@@ -116,7 +116,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, train_docs
     lot = lot.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(train_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in made], pa.binary()), batch.column(2)], names=["doc_id", "i", "v", "grade"])
 
@@ -130,7 +130,7 @@ def score_quality(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id"
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             above = np.array([model.above(*features(t)) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(1), pa.float64()), pa.array(above[:, tail - 1], pa.float64())], names=[id_col, "expected_grade", "tail_prob"])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut_lineage, ship, shingles, table, word_hashes
+from tidewire.llm.common import cut_lineage, ship, shingles, sliced, table, word_hashes
 
 TRAIN_DOCS = 12_000
 #: Candidates and entries of the learned lexicon, at most.
@@ -138,7 +138,7 @@ def _counts(docs: DataFrame, toxic: int, wanted: frozenset[str] | None) -> DataF
     """Rows (mark, n): in how many of these documents each mark stands, those wanted only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             count: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 marks = {m for w in set(_WORDS.findall((text or "").lower())) for m in _marks(w)}
@@ -156,7 +156,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The least hash of five-word shingles: near copies mostly share it, and one of them teaches."""
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             least = [int(s[0].astype(np.int64)) if len(s := shingles(word_hashes(t or ""), 5)) else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "text", "toxic", "least"])
@@ -185,7 +185,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
     lexicon = Lexicon({m[:-1]: kept[m] for m in best if m.endswith(".")}, {m: kept[m] for m in best if not m.endswith(".")})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [lexicon.matches(t)[0] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
@@ -198,7 +198,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [grammar.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
