@@ -14,7 +14,8 @@ A document's set is its distinct 4-word shingles (64-bit hashes); two sets link
    a list whose sets are all joined is skipped whole. Of the rest, the known distances to the centre must
    leave a link possible (Jaccard distance is a metric). Before their first common token two linked sets
    have at most 3/37 of their tokens, so lists are sorted by position, and a set skips the block of a list
-   beyond that position unread. The pairs that sizes and bitmaps leave open are counted exactly.
+   beyond that position unread. Of the pairs that sizes and bitmaps leave open, each group of joined sets has
+   its most promising one counted exactly; then all between groups that are still apart are.
 4. Components of the links, by least label and pointer jumping.
 
 A long list is dealt by hash. Its largest group of joined sets is dealt into chunks of about TILE sets, each of
@@ -155,8 +156,8 @@ def _lists(seen: DataFrame, hot: DataFrame) -> DataFrame:
     return dealt.select("token", "sid", "pos", "n", "salted").mapInArrow(_entries_by_list, _LISTS)
 
 
-def _tiled(lists: DataFrame, sets: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of sets of a list, of different roots, that positions, distances to the centre and bitmaps leave open."""
+def _tiled(lists: DataFrame, sets: DataFrame, roots: DataFrame, known: DataFrame, best: bool) -> DataFrame:
+    """Pairs of sets of a list, of different roots, that positions, distances to the centre and bitmaps leave open; best: of each root's pairs only the most promising."""
     own = lists.join(roots.selectExpr("vertex sid", "label"), "sid", "left").withColumn("root", F.coalesce("label", "sid")).drop("label")
     groups = own.groupBy("token", "root").agg(F.count("*").alias("m"))
     tokens = groups.groupBy("token").agg(F.max(F.struct("m", "root")).alias("largest"), F.sum("m").alias("m"), F.count("*").alias("roots"))
@@ -176,10 +177,14 @@ def _tiled(lists: DataFrame, sets: DataFrame, roots: DataFrame, known: DataFrame
         "token", "tile.kind", "tile.i", "tile.j", "pos", "main", "mine", "sid", "n", "root",
         F.coalesce("least", F.lit(0.0)).alias("least"), F.coalesce("most", F.lit(1.0)).alias("most"), F.col("c").alias("centre"), "bits",
     )
-    return work.repartition("token", "kind", "i", "j").sortWithinPartitions("token", "kind", "i", "j", "pos").mapInArrow(_open_pairs, "a long, b long, sizes long, low long")
+    dealt = work.repartition("token", "kind", "i", "j").sortWithinPartitions("token", "kind", "i", "j", "pos")
+    found = dealt.mapInArrow(lambda batches: _open_pairs(batches, best), "root long, low long, a long, b long, sizes long")
+    if best:
+        found = found.groupBy("root").agg(F.min(F.struct("low", "a", "b", "sizes")).alias("x")).select("x.*")
+    return found.select("a", "b", "sizes").distinct()
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_pairs(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
     """Runs over tiles that stand together; the last tile of a batch waits for the next one."""
     rest: pa.Table | None = None
     for batch in batches:
@@ -187,14 +192,14 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.concat_tables([rest, rows]) if rest is not None else rows
         keys = [rows[c].to_numpy() for c in ("token", "kind", "i", "j")]
         starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if rows.num_rows else np.array([0])
-        yield from _compared(rows.slice(0, starts[-1]), starts[:-1])
+        yield from _compared(rows.slice(0, starts[-1]), starts[:-1], best)
         rest = rows.slice(starts[-1])
     if rest is not None and rest.num_rows:
-        yield from _compared(rest, np.array([0]))
+        yield from _compared(rest, np.array([0]), best)
 
 
-def _compared(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs within the tiles that begin at `starts`, whose rows rise by position."""
+def _compared(rows: pa.Table, starts: np.ndarray, best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs within the tiles that begin at `starts`, whose rows rise by position; best: a row for each root, else all, with no root."""
     count = rows.num_rows
     if not count:
         return
@@ -223,13 +228,24 @@ def _compared(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         low = np.maximum(np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64), np.abs(n[x] - n[y]))
         ok = low <= far
         x, y, low = x[ok], y[ok], low[ok]
-        found.append(np.stack([np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), n[x] + n[y], low], axis=1))
-        if sum(map(len, found)) >= LOT or at + LOT >= before[-1]:  # near copies meet in many lists of a batch
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs.T], names=["a", "b", "sizes", "low"])
+        pairs = np.stack([low, np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), n[x] + n[y]])
+        if best:
+            found.append(_least_by_root(np.hstack([*found, np.vstack([root[x], pairs]), np.vstack([root[y], pairs])])))
+            del found[:-1]
+        else:
+            found.append(np.vstack([np.zeros(len(x), np.int64), pairs]))
+        if at + LOT >= before[-1] or not best and sum(f.shape[1] for f in found) >= LOT:
+            out = np.unique(np.hstack(found), axis=1)  # near copies meet in many lists of a batch
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["root", "low", "a", "b", "sizes"])
             found = []
 
 
+def _least_by_root(found: np.ndarray) -> np.ndarray:
+    """Of columns (root, low, a, b, sizes), the least of each root."""
+    found = found[:, np.lexsort(found[3::-1])]
+    return found[:, np.flatnonzero(np.append(True, found[0, 1:] != found[0, :-1]))] if found.shape[1] else found
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sum of sizes and a lower bound of the symmetric difference that allows a link."""
     left, right = sets.selectExpr("sid a", "n na", "bits bits_a"), sets.selectExpr("sid b", "n nb", "bits bits_b")
@@ -332,7 +348,7 @@ def _linked(docs: DataFrame) -> tuple[Stored, DataFrame, list[Stored]]:
             last = shared.value[at] == t
         size = prefix_size(len(t))
         order = np.concatenate([t[~last], t[last]])[:size]
-        own = int(1_000_000 * (1 - last[:size].mean()))
+        own = int(1_000_000 * (1 - last.mean()))
         odd = np.bincount((t & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64), minlength=BITMAP_WORDS * 64) & 1
         return set_id(t), len(t), own, order.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -353,14 +369,23 @@ def _linked(docs: DataFrame) -> tuple[Stored, DataFrame, list[Stored]]:
     roots = _components(_links(first.rows))
     apart = _apart(F.col("difference"), F.col("sizes")).alias("least")
     known = first.rows.select(F.col("a").alias("sid"), F.col("b").alias("c"), apart).union(first.rows.select(F.col("b").alias("sid"), F.col("a").alias("c"), apart)).withColumn("most", F.col("least"))
-    open_pairs = Stored(_tiled(lists.rows.where("not whole"), sets.rows, roots.rows, known).groupBy("a", "b", "sizes").agg(F.min("low").alias("low")))
+    links = _links(first.rows)
+    held = [seen, first, roots]
+    for best in (True, False):
+        open_pairs = Stored(_tiled(lists.rows.where("not whole"), sets.rows, held[-1].rows, known, best))
+        if open_pairs.rows.isEmpty():
+            open_pairs.drop()
+            break
+        counted = _counted(open_pairs.rows, docs, sets.rows)
+        open_pairs.drop()
+        # a component so far is a star around its least set
+        links = _links(counted.rows).union(held[-1].rows.where("vertex <> label").selectExpr("vertex a", "label b"))
+        held.append(counted)
+        if best:
+            held.append(_components(links))
     lists.drop()
-    more = _counted(open_pairs.rows.select("a", "b", "sizes"), docs, sets.rows)
-    open_pairs.drop()
     sets.drop()
-    # a component so far is a star around its least set
-    links = _links(more.rows).union(roots.rows.where("vertex <> label").selectExpr("vertex a", "label b"))
-    return seen, links, [seen, first, roots, more]
+    return seen, links, held
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
