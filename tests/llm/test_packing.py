@@ -14,7 +14,6 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*(t.encode(text, add_special_tokens=False).ids if text else []), packing.END_ID]
 
 
@@ -50,6 +49,17 @@ def test_ids_are_those_of_the_tokenizers_file(texts, reference_ids):
         assert packing.token_ids(t).tolist() == reference_ids(t)
 
 
+def test_added_token_has_its_id():
+    assert packing.token_ids("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995, packing.END_ID]
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    """Rows with one id and text make no large group."""
+    docs = spark.range(0, 4000).selectExpr("cast(null as long) doc_id", "repeat('some words ', 180) text")
+    groups = packing.pack(packing.token_pieces(docs), group_windows=64).selectExpr("shiftright(sequence_id, 24) g").groupBy("g").count().collect()
+    assert len(groups) > 5 and max(r["count"] for r in groups) < 2 * min(r["count"] for r in groups)
+
+
 def test_very_long_white_space(spark, reference_ids):
     text = "a" + " " * 1_100_000 + "b <|endoftext|>"
     want = reference_ids(text)

@@ -209,6 +209,16 @@ def test_url_intervals_and_odd_rows(spark):
     assert out.count() == len(rows)
 
 
+@pytest.mark.parametrize("most", [url_filters.BROADCAST_SPANS, 0])
+def test_url_names_that_clash(spark, monkeypatch, most):
+    """Result columns win over columns of their name in any case; others go through; by broadcast or by a salted shuffle."""
+    monkeypatch.setattr(url_filters, "BROADCAST_SPANS", most)
+    entries = spark.createDataFrame([("l", "bad.example", "add", 10, "x")], "list string, pattern string, action string, effective long, category string")
+    captures = spark.createDataFrame([("http://a.bad.example/", 12, "h", "s", 7)] * 40, "url string, fetched_at long, Host string, spans string, SALT long")
+    rows = url_filters.judge(captures, entries).collect()
+    assert [tuple(r) for r in rows] == [("http://a.bad.example/", 12, "s", 7, "a.bad.example", 1, "x", True)] * 40
+
+
 @pytest.mark.parametrize("url, host", [("http://A.b/c", "a.b"), ("ftp://x.y:21", "x.y"), ("//a.b", None), ("", None)])
 def test_host(spark, url, host):
     assert spark.createDataFrame([(url,)], "u string").select(url_filters.host_of(F.col("u"))).first()[0] == host

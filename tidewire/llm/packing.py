@@ -2,8 +2,8 @@
 
 `token_pieces` tokenises every whole text and cuts it: whole windows stay whole, the rest is cut
 into pieces small enough for differencing to balance. `pack` deals the pieces into groups of a
-bounded number of windows by a hash of (doc_id, start), so that no document, source or partition
-makes a large group, and splits each group into near-equal windows; while the fullest window of a
+bounded number of windows by a hash of (doc_id, start, place in the stored table), so that no document,
+source, partition or repeated row makes a large group, and splits each group into near-equal windows; while the fullest window of a
 group is over capacity, the group gets another window.
 
 Nulls and empty texts are documents of the end id alone. Rows with the same doc_id are documents of
@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut_lineage, ship, sliced, table
+from tidewire.llm.common import Stored, ship, sliced, table
 
 WINDOW, END_ID = 2048, 1
+#: Fixed value: the token that the tokenizers file adds, which a text may hold.
+ADDED = {"<|endoftext|>": 50256}
 #: What is left of a document after its whole windows is cut into pieces of at most this many tokens.
 PIECE = 512
 #: Windows that one task balances at once.
@@ -35,9 +37,9 @@ _encodings: dict = {}
 
 
 def encoding(ranks_path: str | None = None):
-    """The byte-level BPE with ordinary text only; `ranks_path` names a file of base64 tokens and ranks.
+    """The byte-level BPE; `ranks_path` names a file of base64 tokens and ranks, of ordinary text only.
 
-    The ids are those of the tokenizers file byte_bpe_50k.json (the same vocabulary as ranks), found faster; the tests hold the two against each other.
+    The ids are those of the tokenizers file byte_bpe_50k.json (the same vocabulary as ranks, and the token that the file adds), found faster; the tests hold the two against each other.
     """
     if ranks_path not in _encodings:
         import public_tokenizers
@@ -45,25 +47,24 @@ def encoding(ranks_path: str | None = None):
 
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[ranks_path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encodings[ranks_path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={} if ranks_path else ADDED)
     return _encodings[ranks_path]
 
 
 def slow_encoding():
-    """The tokenizers file itself, with ordinary text only."""
+    """The tokenizers file itself."""
     if "slow" not in _encodings:
         import public_tokenizers
         from tokenizers import Tokenizer
 
         _encodings["slow"] = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        _encodings["slow"].encode_special_tokens = True
     return _encodings["slow"]
 
 
 def token_ids(text: str | None, ranks_path: str | None = None) -> np.ndarray:
     """Little-endian ids of a text and the end id."""
     try:
-        ids = encoding(ranks_path).encode_to_numpy(text) if text else np.empty(0, np.uint32)
+        ids = encoding(ranks_path).encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
     except ValueError:  # tiktoken's pattern runs out of stack on about a million white spaces in a row
         if ranks_path is not None:
             raise
@@ -156,7 +157,7 @@ def windows(sizes: np.ndarray, capacity: int = WINDOW) -> list[list[int]]:
 
 def pack(pieces: DataFrame, window: int = WINDOW, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most `window` tokens."""
-    pieces = cut_lineage(pieces)
+    pieces = Stored(pieces).rows
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, round(total / (group_windows * window)))
 
@@ -170,7 +171,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_windows: int = GROUP_WIN
             sequence[part], offset[part] = k, np.cumsum(sizes[part]) - sizes[part]
         return frame.assign(sequence_id=(frame.pop("bucket").to_numpy().astype(np.int64) << 24) + sequence, offset=offset)
 
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("bucket")
+    # the place in the stored table deals repeated rows apart; it is the same whenever a task runs again
+    bucket = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)).alias("bucket")
     return pieces.select("*", bucket).groupBy("bucket").applyInPandas(balance, PIECES + ", sequence_id long, offset long")
 
 

@@ -3,13 +3,14 @@
 Dated list entries (list, pattern, action, effective, category) become validity intervals: at a time
 the latest entry of a list and pattern holds, and an `add` lists it. A capture is judged against the
 intervals open at its fetch time, for every domain suffix of its host. Hosts are joined once each, not
-once for each capture, so a host with a third of all captures meets the lists once; the captures then
-join their host's intervals, one row each, and Spark may split or broadcast that join by measured size.
+once for each capture, so a host with a third of all captures meets the lists once. What the lists say of
+the hosts is then joined to the captures: broadcast while it has at most BROADCAST_SPANS intervals, else by
+a shuffle that deals each host's captures to SALTS tasks.
 
 Entries of one list and pattern with the same time: the last by action, then category (`remove` after
 `add`), holds. Captures without a URL, host or time match nothing. Repeated captures and ids are judged
-one by one. Extra columns of captures go through unless they have the name of a result column, which
-then wins. An empty list filters nothing; no captures give no rows.
+one by one. Extra columns of captures go through unless they have the name of a result column in any
+case, which then wins. An empty list filters nothing; no captures give no rows.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import table
+from tidewire.llm.common import Stored, free_name, table
 
 #: Fixed values of the query's list: names, suffixes with their turn, categories.
 NAMES = (("spam-farm", "spam"), ("cheap-pills", "spam"), ("casino-win", "gambling"), ("free-bets", "gambling"), ("ads-track", "tracking"), ("adult-x", "adult"))
 SUFFIXES = ("example.com", "example.net", "example.org")
 START, HOUR, DAY = 1_704_067_200, 3600, 86_400  # 2024-01-01 00:00:00 UTC
 
+#: Intervals of listed hosts that are broadcast, at most; beyond, captures and hosts meet by a salted shuffle.
+BROADCAST_SPANS, SALTS = 1 << 18, 16
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
@@ -42,17 +46,24 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """Captures with host, n_entries (active at the fetch time), categories (distinct, sorted, comma-joined) and blocked."""
-    own = [c for c in captures.columns if c not in ("host", "n_entries", "categories", "blocked", "_spans")]
-    captures = captures.select(*own, host_of(F.col(url_col)).alias("host"))
+    own = [c for c in captures.columns if c.lower() not in ("host", "n_entries", "categories", "blocked")]
+    spans, salt = free_name(captures, "spans"), free_name(captures, "salt")
+    captures = captures.select(*own, host_of(F.col(url_col)).alias("host"), F.col(time_col).alias(spans + "_at"))
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = captures.where("host is not null").select("host").distinct().select("host", F.explode(ends).alias("pattern"))
-    listed = hosts.join(intervals(entries), "pattern").groupBy("host").agg(F.collect_list(F.struct("since", "until", "category")).alias("_spans"))
-    t = F.col(time_col)
-    active = F.filter(F.coalesce("_spans", F.array()), lambda s: (s["since"] <= t) & (s["until"].isNull() | (t < s["until"])))
-    out = captures.join(listed, "host", "left").withColumn("_spans", F.when(t.isNotNull(), active).otherwise(F.array()))
-    categories = F.array_join(F.array_sort(F.array_distinct(F.transform("_spans", lambda s: s["category"]))), ",")
-    return out.select(*own, "host", F.size("_spans").cast("long").alias("n_entries"), categories.alias("categories"), (F.size("_spans") > 0).alias("blocked"))
+    listed = hosts.join(intervals(entries), "pattern").groupBy("host").agg(F.collect_list(F.struct("since", "until", "category")).alias(spans))
+    listed = Stored(listed).rows
+    if (listed.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_SPANS:
+        out = captures.join(F.broadcast(listed), "host", "left")
+    else:  # a host with a third of all captures is dealt to SALTS tasks
+        salted = captures.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        out = salted.join(listed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", salt], "left").drop(salt)
+    t = F.col(spans + "_at")
+    active = F.filter(F.coalesce(spans, F.array()), lambda s: (s["since"] <= t) & (s["until"].isNull() | (t < s["until"])))
+    out = out.withColumn(spans, F.when(t.isNotNull(), active).otherwise(F.array()))
+    categories = F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["category"]))), ",")
+    return out.select(*own, "host", F.size(spans).cast("long").alias("n_entries"), categories.alias("categories"), (F.size(spans) > 0).alias("blocked"))
 
 
 def query_entries(spark: SparkSession) -> DataFrame:
