@@ -259,6 +259,33 @@ def test_license_gate_loses_nothing(texts):
         assert bool(gated) == bool(free), t
 
 
+def plain_detections(low):
+    """Every rule over the whole text, and every pair for containment."""
+    found = sorted({(m.start(), m.end(), label, priority, confidence) for label, rule, priority, confidence, *_ in licenses.rules() for m in rule.finditer(low)}, key=lambda d: (-d[3], d[0], -d[1], d[2]))
+    kept = []
+    for d in found:
+        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+            kept.append(d)
+    return sorted(kept)
+
+
+def test_license_rules_match_brute_force(texts):
+    """The same detections as without keywords, passages and lines."""
+    low = sorted((t.lower() for t in texts.values() if t), key=len)[:40]
+    low += [f"x {'y ' * 300} spdx-license-identifier: {'foo or ' * 80}mit and {'z ' * 200}", f"license{' ' * 500}=  'mit'\nlicense: \"isc\" bare mit no attribution", "https://www.apache.org/licenses/license-2.0" + "/x" * 400 + " end", f"{'w ' * 400} released under the mit license. {'w ' * 400} mit no attribution"]
+    for t in low:
+        assert licenses.detections(t) == plain_detections(t), t
+    assert {d[2] for d in licenses.detections(low[-4])} == {"mit"}
+
+
+def test_only_wide_rules_are_long():
+    """Beside the wide ones, only rules that end in a run without white space may match more than REACH characters."""
+    for _, rule, _, _, gates, wide in licenses.rules():
+        longest = re._parser.parse(rule.pattern).getwidth()[1]
+        assert wide or longest <= licenses.REACH or "://" in gates, rule.pattern
+        assert not wide or "\n" not in rule.pattern and r"\s" not in rule.pattern
+
+
 def test_license_odd_rows(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs).count() == odd_docs.count()
     assert licenses.scan_licenses(no_docs).count() == 0

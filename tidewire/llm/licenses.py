@@ -3,7 +3,10 @@
 Each rule is a regex with a label, a priority and a keyword gate: a document is searched for all
 keywords at once, and only rules whose keyword occurs run. Where detections overlap, one contained
 in another of a higher priority, or of the same priority and longer, is suppressed; base phrases are
-never suppressed. Nulls are empty texts. Rows are scanned one by one.
+never suppressed. A rule runs on the passages around its keywords, and one whose matches may be of any
+length on the whole lines that hold its beginning, so a match is found however long it is; the time grows
+as the text. Nulls are empty texts. Rows are scanned one by one, so repeated rows give repeated results; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ llama | llama \d(?:\.\d)? community license | llama\d | (?:ai|llama)\.meta\.com/
 
 #: Templates around a name, an SPDX identifier or a URL, which @@ stands for: kind, regex, priority, confidence.
 FORMS = (
-    ("name", r"(?:(?:re)?licensed|released|distributed|published|made available|available|covered|provided)(?: \w+){0,3}? (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:gnu )?@@(?: license)?", 40, 0.95),
+    ("name", r"(?:(?:re)?licensed|released|distributed|published|made available|available|covered|provided)(?: \w{1,20}){0,3}? (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:gnu )?@@(?: license)?", 40, 0.95),
     ("name", r"(?<![\w-])@@(?![\w-])", 20, 0.7),
     ("name", r"dual[- ]licensed under [^\n]{0,80}?@@", 38, 0.9),
     ("spdx", r"spdx-license-identifier: *\(?(?:[\w.+-]+ (?:or|and|with) )*@@(?![\w.+-])", 50, 1.0),
@@ -106,9 +109,9 @@ FORMS = (
 #: label | regex | priority | confidence: what no family has.
 NOTICES = (
     ("reserved", r"all rights reserved(?! except)", 30, 0.8),
-    ("copyright-notice", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d(?:[-, ]+(?:19|20)?\d\d)*(?: by)? [^\n.]{2,60}", 25, 0.6),
-    ("copyright-notice", r"(?:\(c\)|©) ?(?:19|20)\d\d(?:[-, ]+(?:19|20)?\d\d)* [^\n.]{2,60}", 24, 0.6),
-    ("public-domain", r"(?:released|dedicated|placed)(?: \w+)? (?:in|in ?to|to) the public domain", 35, 0.9),
+    ("copyright-notice", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d(?:[-, ]{1,3}(?:19|20)?\d\d){0,20}(?: by)? [^\n.]{2,60}", 25, 0.6),
+    ("copyright-notice", r"(?:\(c\)|©) ?(?:19|20)\d\d(?:[-, ]{1,3}(?:19|20)?\d\d){0,20} [^\n.]{2,60}", 24, 0.6),
+    ("public-domain", r"(?:released|dedicated|placed)(?: \w{1,20})? (?:in|in ?to|to) the public domain", 35, 0.9),
     ("public-domain", r"this (?:work|file|text|code) is (?:in the )?public domain", 35, 0.9),
     ("proprietary", r"proprietary and confidential", 35, 0.9),
     ("proprietary", r"unauthorized (?:copying|reproduction|distribution) [^\n]{0,60}?prohibited", 35, 0.9),
@@ -130,25 +133,30 @@ NOTICES = (
 )
 
 #: Every detection holds one of these; a rule is gated by the longest of them in its literal text.
-KEYWORDS = ("licen", "license", "licens", "copyright", "reserved", "public domain", "proprietary", "prohibited", "commercial", "permission", "redistribut", "creative commons", "internal use", "no part of", "terms of", "contributors", "(c)", "©", "spdx", "://", "cc by", "cc-by", "cc0", "gpl", "bsd", "openrail", "open rail")
+KEYWORDS = ("licen", "license", "licens", "copyright", "reserved", "public domain", "proprietary", "prohibited", "commercial", "permission", "redistribut", "creative commons", "internal use", "no part of", "terms of", "contributors", "(c)", "©", "spdx", "spdx-license-identifier:", "no attribution", "://", "cc by", "cc-by", "cc0", "gpl", "bsd", "openrail", "open rail")
 
 
-#: A match is at most this far from a keyword that it holds.
+#: Matches are no longer than this on either side of a keyword that they hold, but for what runs on to the next white space (URLs), and
+#: for wide rules (any number of spaces or of terms), whose matches stay within a line.
 REACH = 240
+#: Stands among the keywords for what the wide rules of assignments begin with.
+ASSIGNED = "license="
+_ASSIGNED = re.compile(r"license\"? *[:=] *[\"']")
 _GAP = re.compile(r"\s")
 
 
 @cache
-def rules() -> list[tuple[str, re.Pattern, int, float, tuple[str, ...]]]:
-    """label, compiled regex, priority, confidence, keywords of which one must occur; by falling priority."""
+def rules() -> list[tuple[str, re.Pattern, int, float, tuple[str, ...], bool]]:
+    """label, compiled regex, priority, confidence, keywords that must all occur, wide; by falling priority."""
     out = []
     for line in FAMILIES.strip().splitlines():
         label, names, spdx, urls = (x.strip() for x in line.split(" | "))
         terms = {"name": names, "spdx": spdx, "url": urls}
         for kind, form, priority, confidence in FORMS:
             for term in terms[kind].split(" ; "):
-                out.append((label, re.compile(form.replace("@@", f"(?:{term})")), priority, confidence, _gates(form.replace("@@", "()")) + _gates(term)))
-    out += [(label, re.compile(rule), priority, confidence, _gates(rule)) for label, rule, priority, confidence in NOTICES]
+                gates = _gates(form.replace("@@", "()")) + _gates(term) + (ASSIGNED,) * ("[:=]" in form)
+                out.append((label, re.compile(form.replace("@@", f"(?:{term})")), priority, confidence, gates, " *" in form))
+    out += [(label, re.compile(rule), priority, confidence, _gates(rule), False) for label, rule, priority, confidence in NOTICES]
     return sorted(out, key=lambda r: -r[2])
 
 
@@ -168,18 +176,23 @@ _EDGE = rb"[^0-9a-z\x80-\xff]"
 _PHRASES = {p: re.compile(rb"(?<![0-9a-z\x80-\xff])" + (_EDGE + b"+").join(p.encode().split()) + rb"(?![0-9a-z\x80-\xff])") for p in BASE}
 
 
-def passages(text: str) -> list[tuple[int, int, set[str]]]:
-    """Disjoint stretches of REACH characters around keywords, run on to the next white space, with their keywords."""
+def _spots(text: str) -> list[tuple[int, str]]:
+    """Where keywords stand, rising."""
     spots = []
     for k in KEYWORDS:
         at = text.find(k)
         while at >= 0:
             spots.append((at, k))
             at = text.find(k, at + 1)
+    if spots:
+        spots += [(m.start(), ASSIGNED) for m in _ASSIGNED.finditer(text)]
+    return sorted(spots)
+
+
+def _merged(stretches: Iterator[tuple[int, int, str]]) -> list[tuple[int, int, set[str]]]:
+    """Stretches whose starts rise, joined where they touch, with their keywords."""
     out: list[tuple[int, int, set[str]]] = []
-    for at, k in sorted(spots):
-        end = _GAP.search(text, min(len(text), at + REACH))
-        low, high = max(0, at - REACH), end.start() if end else len(text)
+    for low, high, k in stretches:
         if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], max(high, out[-1][1]), out[-1][2] | {k})
         else:
@@ -187,13 +200,35 @@ def passages(text: str) -> list[tuple[int, int, set[str]]]:
     return out
 
 
+def passages(text: str) -> list[tuple[int, int, set[str]]]:
+    """Disjoint stretches of REACH characters around keywords, run on to the next white space, with their keywords."""
+    def around(at: int) -> tuple[int, int]:
+        end = _GAP.search(text, min(len(text), at + REACH))
+        return max(0, at - REACH), end.start() if end else len(text)
+
+    return _merged((*around(at), k) for at, k in _spots(text))
+
+
+def lines(text: str) -> list[tuple[int, int, set[str]]]:
+    """The whole lines that hold what wide rules begin with, with all their keywords."""
+    begun = [(at, k) for at, k in _spots(text) if k in (ASSIGNED, "spdx-license-identifier:")]
+    out, done = [], -1
+    for at, _ in begun:
+        if at >= done:
+            low, done = text.rfind("\n", 0, at) + 1, text.find("\n", at) % (len(text) + 1)
+            out.append((low, done, {k for k in (*KEYWORDS, ASSIGNED) if k == ASSIGNED and _ASSIGNED.search(text, low, done) or text.find(k, low, done) >= 0}))
+    return out
+
+
 def detections(text: str) -> list[tuple[int, int, str, int, float]]:
     """Surviving detections in lower-cased text: start, stop, label, priority, confidence."""
     found = []
-    for low, high, seen in passages(text):
-        for label, rule, priority, confidence, gates in rules():
-            if all(k in seen for k in gates):
-                found += [(m.start(), m.end(), label, priority, confidence) for m in rule.finditer(text, low, high)]
+    near = passages(text)
+    for wide, stretches in ((False, near), (True, lines(text) if near else [])):
+        for low, high, seen in stretches:
+            for label, rule, priority, confidence, gates, whole_line in rules():
+                if whole_line == wide and all(k in seen for k in gates):
+                    found += [(m.start(), m.end(), label, priority, confidence) for m in rule.finditer(text, low, high)]
     found.sort(key=lambda d: (-d[3], d[0], -d[1], d[2]))
     kept: list[tuple[int, int, str, int, float]] = []
     for _, group in groupby(found, key=lambda d: d[3]):
