@@ -90,6 +90,21 @@ def test_isolated_queries_get_their_nearest(spark):
     assert all(len(set(got[q]) & {i for i, _ in want[q]}) >= 18 for q in want)
 
 
+def test_repeated_ids(spark):
+    """Equal rows are one candidate and a query each; an id's other vectors are candidates, but not its own."""
+    rng = np.random.default_rng(9)
+    one, other = rng.normal(size=8).tolist(), rng.normal(size=8).tolist()
+    rows = [(20, one)] * 30 + [(i, rng.normal(size=8).tolist()) for i in range(101, 137)] + [(41, other), (41, one)]
+    frame, got = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), {}
+    for r in ann.nearest(frame, F.col("vec_id") == 20).collect():
+        got.setdefault(r.rank, []).append((r.query_id, r.vec_id))
+    distinct = [(20, one), *rows[30:]]
+    score = lambda x: -float(np.dot(x[1], one))
+    want = [i for i, _ in sorted((x for x in distinct if x[0] != 20), key=lambda x: (score(x), x[0]))][:20]
+    assert {r: set(x) for r, x in got.items()} == {r: {(20, i)} for r, i in enumerate(want, 1)}
+    assert all(len(x) == 30 for x in got.values())
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -222,3 +237,13 @@ def test_url_names_that_clash(spark, monkeypatch, most):
 @pytest.mark.parametrize("url, host", [("http://A.b/c", "a.b"), ("ftp://x.y:21", "x.y"), ("//a.b", None), ("", None)])
 def test_host(spark, url, host):
     assert spark.createDataFrame([(url,)], "u string").select(url_filters.host_of(F.col("u"))).first()[0] == host
+
+
+def test_long_item_beside_short_ones():
+    rng = np.random.default_rng(3)
+    item = [f"w{x}" for x in rng.integers(0, 5000, 6000)]
+    block = decontamination.Items([(1, " ".join(item)), (2, "some short item of nine words stands here too")])
+    copy = [w for i, w in enumerate(item) if i % 12]  # a twelfth dropped
+    (found,) = block.search([" ".join([f"z{x}" for x in range(500)] + copy + ["end"] * 500)])
+    assert [(h[0], h[3]) for h in found] == [(1, 6000)] and found[0][2] <= 500
+    assert block.search(["end " * 20 + "some short item of ten words stands here too"])[0][0][0] == 2

@@ -15,8 +15,9 @@ third of all rows costs one. The index is dealt into blocks by hash, the stated
 pair of blocks is probed in one task; a query's best of each block are merged.
 
 Vectors that are null, zero, of another dimension than the commonest, or that hold null or non-finite
-components take no part. Ties go to the smaller id. Rows with the same id are vectors of their own, none
-of which is a candidate for a query with that id. An empty table gives no rows. Other columns are not read.
+components take no part. Ties go to the smaller id. Equal rows (id and vector) are one candidate, and a query
+each; rows with one id and different vectors are candidates of their own, none of them for a query with that
+id. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from tidewire.llm.common import cut_lineage, ship, table
 K, EVERY = 20, 20
 BITS, SAMPLE, TARGET = 128, 3000, 0.985
 INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Parts that the ids of one vector are dealt into.
+PARTS = 32
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: _NEAR[r][v]: which of 256 values are within r bits of v.
@@ -102,8 +105,14 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_col: str = "vec_id", vec
     """queries: a condition on vec_id. query_id, rank, vec_id, score of each query's k nearest found."""
     spark = ship(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
-    first = Window.partitionBy("v").orderBy("vec_id")
-    index = cut_lineage(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    distinct = cut_lineage(rows.distinct())
+    same = distinct.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
+    most = k + same  # what an answer is taken from: of these, `same` at most have the query's own id
+    # least ids of equal vectors, in two steps, as one vector may have a third of all rows
+    part, first = Window.partitionBy("v", "part").orderBy("vec_id"), Window.partitionBy("v").orderBy("vec_id")
+    least = distinct.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).withColumn("n", F.row_number().over(part)).where(F.col("n") <= most)
+    least = least.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
+    index = cut_lineage(least.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     asked = rows.where(queries)
     questions = cut_lineage(asked.groupBy("v").agg(F.min("vec_id").alias("q")))
     sample = np.array([r.v for r in index.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()])
@@ -112,13 +121,13 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_col: str = "vec_id", vec
         return spark.createDataFrame([], result)
     coder = spark.sparkContext.broadcast(Coder(sample, k))
     index_blocks = max(1, -(-index.count() // INDEX_BLOCK))
-    total = index.agg(F.sum(F.size("ids"))).first()[0]  # no more than k + 1 of equal vectors
+    total = index.agg(F.sum(F.size("ids"))).first()[0]  # no more than `most` of equal vectors
 
     def best_of(block: pd.DataFrame, score: np.ndarray, found: np.ndarray) -> Iterator[tuple[list, float]]:
-        if len(found) > k + 1:  # all that tie with the last stay in
-            some = score >= np.partition(score, -(k + 1))[-(k + 1)]
+        if len(found) > most:  # all that tie with the last stay in
+            some = score >= np.partition(score, -most)[-most]
             found, score = found[some], score[some]
-        for i in np.lexsort((found, -score))[: k + 1]:
+        for i in np.lexsort((found, -score))[:most]:
             yield block["ids"][found[i]], float(score[i])
 
     def prober(exact: bool):
@@ -140,19 +149,19 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_col: str = "vec_id", vec
         return frame.select("*", F.pmod(F.xxhash64(vector), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     def answered(questions: DataFrame, exact: bool) -> DataFrame:
-        """q, found: the k + 1 best of each question among the vectors within the radius, or among all."""
+        """q, found: the `most` best of each question among the vectors within the radius, or among all."""
         query_blocks = max(1, -(-questions.count() // QUERY_BLOCK))
         left = dealt(index, "v", "ib", index_blocks, "qb", query_blocks).groupBy("ib", "qb")
         right = dealt(questions.select("q", F.col("v").alias("point")), "point", "qb", query_blocks, "ib", index_blocks).groupBy("ib", "qb")
         found = left.cogroup(right).applyInPandas(prober(exact), "q long, ids array<long>, score double")
         best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
-        found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+        found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
         flat = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        found = found.select("q", F.explode("ids").alias("vec_id"), "score").withColumn("n", F.row_number().over(flat)).where(F.col("n") <= k + 1)
+        found = found.select("q", F.explode("ids").alias("vec_id"), "score").withColumn("n", F.row_number().over(flat)).where(F.col("n") <= most)
         return found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
 
     answers = cut_lineage(answered(questions, exact=False))
-    whole = answers.where(F.size("found") >= min(k + 1, total))
+    whole = answers.where(F.size("found") >= min(most, total))
     lacking = cut_lineage(questions.join(whole, "q", "left_anti"))
     answers = answers if lacking.isEmpty() else whole.unionByName(answered(lacking, exact=True))
     named = asked.join(questions, "v").select(F.col("vec_id").alias("query_id"), "q").join(answers, "q")

@@ -35,8 +35,10 @@ from tidewire.llm.common import mix, ship, sliced, table, word_hashes
 TOLERANCE = 0.2
 WALKS, TABLES, PLACES = 5, 10, 2
 BLOCK_ITEMS, ITEM_WORDS = 2048, 256
-#: Windows embedded at once.
-LOT = 8192
+#: Windows judged together, and cells (steps of a walk) embedded at once.
+LOT, CELLS = 8192, 1 << 22
+#: Windows of one item's places that are embedded, about: of a long item, every n / WINDOWS-th, which such few words shift little.
+WINDOWS = 128
 
 _BREAKS = np.ones(256, bool)
 _BREAKS[48:58] = _BREAKS[65:91] = _BREAKS[97:123] = _BREAKS[128:] = False
@@ -81,6 +83,22 @@ def keys(windows: np.ndarray, sizes: np.ndarray, walks: int = WALKS, tables: int
     return np.concatenate(out, 1)
 
 
+def keys_of(sequences: list[np.ndarray]) -> np.ndarray:
+    """The keys of each sequence, worked out for those of like size together, so that a long one doesn't fill up the others."""
+    out = np.empty((len(sequences), WALKS * TABLES), np.uint64)
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and sizes[order[stop]] <= 2 * sizes[order[at]] and 3 * sizes[order[stop]] * (stop + 1 - at) <= CELLS:
+            stop += 1
+        some = order[at:stop]
+        out[some] = keys(_stacked([sequences[i] for i in some]), sizes[some])
+        at = stop
+    return out
+
+
 def _last_row(windows: np.ndarray, item: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Edit distances of the item to each window's beginnings of each length, where none of the item costs `first`."""
     count, n = windows.shape
@@ -121,7 +139,7 @@ class Items:
     def __init__(self, items: list[tuple[int, str | None]], tolerance: float = TOLERANCE):
         self.items = [(item_id, w) for item_id, text in items if len(w := words_of(text))]
         self.sizes = np.array([len(w) for _, w in self.items], np.int64)
-        self.keys = keys(_stacked([w for _, w in self.items]), self.sizes) if self.items else np.empty((0, 0), np.uint64)
+        self.keys = keys_of([w for _, w in self.items])
         self.edits = [allowed(len(w), tolerance) for _, w in self.items]
         self.needed = np.array([len(w) - 1 - 2 * k for (_, w), k in zip(self.items, self.edits, strict=True)], np.int64)
         pairs = [np.unique(_pairs(w)) for _, w in self.items]
@@ -157,7 +175,8 @@ class Items:
 
             width = n + self.edits[i]
             if len(wide := holding(width, len(words))):
-                yield int(i), holding(n, len(words) - n), _merged(wide, width, len(words))
+                starts = holding(n, len(words) - n)
+                yield int(i), starts[:: max(1, n // WINDOWS)], _merged(wide, width, len(words))
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text: item_id, first word of its best stretch, edits, words of the item; one for each item found."""
@@ -183,7 +202,7 @@ class Items:
         near: dict[tuple[int, int], list[int]] = {}
         if lot:
             owner = np.array([i for _, i, _, _ in lot])
-            same = (keys(_stacked([w for *_, w in lot]), self.sizes[owner]) == self.keys[owner]).any(1)
+            same = (keys_of([w for *_, w in lot]) == self.keys[owner]).any(1)
             for j in np.flatnonzero(same):
                 near.setdefault(lot[j][:2], []).append(lot[j][2])
         for (k, i), (words, stretches) in places.items():

@@ -163,7 +163,8 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
 
     taught = docs.select("doc_id", "text").join(F.broadcast(lot), "doc_id").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
     taught = taught.mapInArrow(look, "doc_id long, text string, toxic long, least long")
-    taught = cut_lineage(taught.dropDuplicates(["least", "toxic"]).withColumn("half", F.pmod(F.xxhash64("least"), F.lit(2))))
+    firsts = taught.groupBy("least", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("row.*", "toxic", "least")
+    taught = cut_lineage(firsts.withColumn("half", F.pmod(F.xxhash64("least"), F.lit(2))))
     first, second = taught.where("half = 0"), taught.where("half = 1")
     sizes = {r.toxic: r.n for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
