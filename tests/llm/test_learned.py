@@ -92,3 +92,41 @@ def test_boosted_trees(depth):
     assert np.mean((trees.margin(x[800:]) > 0) == y[800:]) > 0.93
     a, b = boosting.platt(trees.margin(x[800:]), y[800:])
     assert a > 0 and abs(np.mean(1 / (1 + np.exp(-(a * trees.margin(x[800:]) + b)))) - y[800:].mean()) < 0.05
+
+
+def test_composed_transducer_matches_its_parts():
+    """Random clauses against the three transducers side by side."""
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        tags = rng.integers(0, 6, rng.integers(1, 14)).tolist()
+        state, n, r, t, got, want = int(toxicity.TARGET in tags), 0, 0, 0, [], []
+        for tag in tags:
+            state, kind, weight = toxicity.ARCS[state][tag]
+            got.append((kind, weight))
+            if tag == toxicity.INSULT:
+                want.append(("negated" if n else "reported" if r else "targeted" if toxicity.TARGET in tags else "plain", 1.0))
+            else:
+                want.append(("threat", 2.0) if tag == toxicity.TARGET and t and not n and not r else (None, 0.0))
+            n, r, t = toxicity.NEGATION_ARCS[n, tag], toxicity.REPORT_ARCS[r, tag], toxicity.THREAT_ARCS[t, tag]
+        assert got == want
+
+
+def test_held_out_accuracy(spark):
+    """On the driver's labels, of rows that did not teach. (Some toxic rows there hold no word that tells.)"""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels.where(toxicity.remainder("doc_id") == 0).select("doc_id", "toxic").where("toxic in (0, 1)"), "doc_id")
+    scored = toxicity.score_toxicity(held, toxicity.fit_grammar(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id")
+    right = [(r.toxic, r.predicted) for r in scored.collect()]
+    assert len(right) > 500 and sum(a == b for a, b in right) >= 0.97 * len(right)
+    assert sum(b for a, b in right if a) >= 0.8 * sum(a for a, _ in right) and sum(b for a, b in right if not a) <= 0.01 * len(right)
+
+
+def test_coefficients_minimise_their_loss():
+    rng = np.random.default_rng(2)
+    x = np.abs(rng.normal(size=(500, 7))) * [8, 2, 2, 8, 2, 8, 3]
+    y = (x[:, 0] + x[:, 3] + rng.normal(size=500) > 12).astype(float)
+    g = toxicity.Grammar(toxicity.Lexicon({}, {}), x, y)
+    a = np.hstack([x, np.ones((500, 1))])
+    slope = a.T @ (1 / (1 + np.exp(-a @ g.weights)) - y) + toxicity.RIDGE * (g.weights - g.DEFAULT)
+    assert abs(slope).max() < 1e-3

@@ -1,17 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are tagged insult, threat, target, negation, reporting or other, and each clause runs through
-composed transducers: one for the reach of negation, one for reported speech, one for threats that
-wait for their target. What comes out are weighted matches of a clause by kind (plain, negated,
-reported, targeted, threat); a document's sums of these give its score. The insult lexicon holds
-fixed words and words and word beginnings learned from labels with their log-odds as weights, so
-that inflected and compounded forms match. The scores' coefficients are learned on other labelled
-rows than the lexicon.
+Words are tagged insult, threat, target, negation, reporting or other. Three transducers (the reach of
+negation, reported speech, threats that wait for their target) and the clause's aim are composed into one
+weighted transducer, and each clause runs through it. What comes out are weighted matches of a clause by
+kind (plain, negated, reported, targeted, threat); a document's sums of these give its score. The insult
+lexicon holds fixed words and words and word beginnings learned from labels with their log-odds as weights,
+so that inflected and compounded forms match. The scores' coefficients are learned on other labelled rows
+than the lexicon.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 teach; at most TRAIN_DOCS of them, those least by
 a hash of the id. The only input of a score is the text. Nulls are empty texts. Without toxic labels
-the fixed words and default coefficients score. Rows are scored one by one; an empty table gives no
-rows; other columns are not read.
+the fixed words and default coefficients score. Of labelled near copies the least id teaches, so the same
+rows give the same scores. Rows are scored one by one, whole and however long; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import cut_lineage, ship, shingles, sliced, table, word_hashes
 
 TRAIN_DOCS = 12_000
-#: Candidates and entries of the learned lexicon, at most.
-CANDIDATES, ENTRIES = 60_000, 2_000
+#: Strength of the default coefficients, in rows: a handful of labels moves them little.
+RIDGE = 10.0
 #: Lengths of word beginnings that the lexicon may hold.
 BEGINNINGS = (4, 5, 6)
 
@@ -49,6 +50,34 @@ REPORT_ARCS = {(s, c): int(s or c == REPORT) for s in range(2) for c in range(6)
 #: A threat waits up to four words for its target: state is the words left.
 THREAT_ARCS = {(s, c): (4 if c == THREAT else 0 if c == TARGET else max(s - 1, 0)) for s in range(5) for c in range(6)}
 
+#: Weights that arcs give what they put out: to an insult times its own, to a threat that meets its target alone.
+INSULT_WEIGHT, THREAT_WEIGHT = 1.0, 2.0
+
+
+def composed() -> list[list[tuple[int, str | None, float]]]:
+    """The three transducers and the clause's aim as one weighted transducer: state, class -> next state, kind put out, weight.
+
+    The first states are the starts of clauses without and with a target.
+    """
+    states = [(n, r, t, a) for n in range(4) for r in range(2) for t in range(5) for a in (False, True)]
+    number = {s: i for i, s in enumerate(states)}
+    out = []
+    for n, r, t, aimed in states:
+        arcs = []
+        for c in range(6):
+            after = number[NEGATION_ARCS[n, c], REPORT_ARCS[r, c], THREAT_ARCS[t, c], aimed]
+            if c == INSULT:
+                arcs.append((after, "negated" if n else "reported" if r else "targeted" if aimed else "plain", INSULT_WEIGHT))
+            elif c == TARGET and t and not n and not r:
+                arcs.append((after, "threat", THREAT_WEIGHT))
+            else:
+                arcs.append((after, None, 0.0))
+        out.append(arcs)
+    return out
+
+
+ARCS = composed()
+
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSES = re.compile(r"[.!?;:\n]+")
 
@@ -83,18 +112,15 @@ class Lexicon:
             if not any(w in known or w in self.threats for w in tokens):
                 continue
             tags = [INSULT if w in known else self.classes.get(w, OTHER) for w in tokens]
-            negated = reported = waiting = 0
-            aimed = TARGET in tags
+            state = int(TARGET in tags)
             for word, tag in zip(tokens, tags, strict=True):
-                if tag == INSULT:
-                    kind = "negated" if negated else "reported" if reported else "targeted" if aimed else "plain"
-                    sums[kind] += known[word]
-                    greatest = max(greatest, known[word])
-                    out.append((kind, word, known[word]))
-                elif tag == TARGET and waiting and not negated and not reported:
-                    sums["threat"] += 2.0
-                    out.append(("threat", word, 2.0))
-                negated, reported, waiting = NEGATION_ARCS[negated, tag], REPORT_ARCS[reported, tag], THREAT_ARCS[waiting, tag]
+                state, kind, weight = ARCS[state][tag]
+                if kind:
+                    weight *= known[word] if tag == INSULT else 1.0
+                    sums[kind] += weight
+                    out.append((kind, word, weight))
+                    if tag == INSULT:
+                        greatest = max(greatest, known[word])
         total = sum(sums.values())
         return [*(float(np.log1p(sums[k])) for k in KINDS), greatest, total / max(1.0, len(words)) ** 0.5], out
 
@@ -110,13 +136,20 @@ class Grammar:
         if x is None or not len(y) or not 0 < y.sum() < len(y):
             return
         a = np.hstack([x, np.ones((len(x), 1))])
-        ridge = np.eye(a.shape[1])  # towards the default coefficients, which a few rows move little
+        ridge = RIDGE * np.eye(a.shape[1])  # towards the default coefficients, which a few rows move little
         w = self.DEFAULT.copy()
-        for _ in range(60):  # Newton steps of ridge logistic regression
+
+        def loss(v: np.ndarray) -> float:
+            return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a @ v)).sum() + RIDGE * (v - self.DEFAULT) @ (v - self.DEFAULT) / 2)
+
+        for _ in range(100):  # Newton steps of ridge logistic regression, halved until they go down: the loss is convex
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            step = np.linalg.solve(a.T @ (a * np.maximum(p * (1 - p), 1e-6)[:, None]) + ridge, a.T @ (y - p) - ridge @ (w - self.DEFAULT))
-            w += np.clip(step, -2, 2)
-            if abs(step).max() < 1e-5:
+            step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ (w - self.DEFAULT))
+            size, now = 1.0, loss(w)
+            while size > 1e-6 and loss(w + size * step) > now:
+                size /= 2
+            w = w + size * step
+            if size * abs(step).max() < 1e-6:
                 break
         self.weights = w
 
@@ -169,7 +202,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
     sizes = {r.toxic: r.n for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     least = max(3, round(0.015 * toxic))
-    marks = {r.mark: r.n for r in _counts(first, 1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "mark").limit(CANDIDATES).collect()}
+    marks = {r.mark: r.n for r in _counts(first, 1, None).where(F.col("n") >= least).collect()}
     against = {r.mark: r.n for r in _counts(first, 0, frozenset(marks)).collect()} if marks else {}
     odds = {}
     for mark, n in marks.items():
@@ -178,12 +211,11 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS
         if value > 2 and n >= 4 * other:
             odds[mark] = float(value)
     kept = {}
-    for mark in sorted(odds, key=len):  # a longer form says nothing new where its beginning says as much
+    for mark in sorted(odds, key=lambda m: (len(m), m)):  # a longer form says nothing new where its beginning says as much
         stems = [mark[:n] for n in BEGINNINGS if n < len(mark.rstrip(".")) or (mark.endswith(".") and n <= len(mark) - 1)]
         if not any(s in kept and kept[s] >= odds[mark] - 0.7 for s in stems):
             kept[mark] = odds[mark]
-    best = sorted(kept, key=lambda m: (-marks[m] * kept[m], m))[:ENTRIES]
-    lexicon = Lexicon({m[:-1]: kept[m] for m in best if m.endswith(".")}, {m: kept[m] for m in best if not m.endswith(".")})
+    lexicon = Lexicon({m[:-1]: x for m, x in kept.items() if m.endswith(".")}, {m: x for m, x in kept.items() if not m.endswith(".")})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
