@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.dates import sort_key
@@ -37,8 +37,9 @@ def title_duplicates(articles: DataFrame, since: str, mode: str = "reference") -
     """
     rows = articles.select("article_hash", "collected_at", "summary_status", "title_hash", lookup_title_hash(F.col("title")).alias("lookup"), sort_key(F.col("published_at"), F.col("collected_at"), F.col("article_hash")).alias("sort_key"))
     if mode == "keep_first":
-        first = Window.partitionBy("lookup").orderBy("collected_at", "article_hash")
-        out = rows.withColumn("match", F.first("article_hash").over(first))
+        # a common title is one key: its first row comes from partial aggregates, and Spark may split or broadcast the join
+        first = rows.groupBy("lookup").agg(F.min(F.struct("collected_at", "article_hash")).alias("first"))
+        out = rows.join(first, "lookup").withColumn("match", F.col("first.article_hash"))
         return out.where("match <> article_hash").select("article_hash", "match")
     seen = rows.where(~F.col("summary_status").eqNullSafe("irrelevant") & (F.col("sort_key") >= since)).select("title_hash", "sort_key", F.col("article_hash").alias("other"))
     # the newest two of each title: one of them is another row

@@ -48,40 +48,37 @@ def first_similar(items: DataFrame, over: float = 0.4, id_col: str = "rowid", te
 def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, earlier: bool = False) -> DataFrame:
     """query_id, vec_id, score, rank: each query's k most similar of all vectors (`earlier`: of those with smaller ids), itself left out, ties to the smaller id.
 
-    queries and vectors: vec_id, embedding. The stated query set goes to every vector in blocks of a bounded size; vectors without length take no part.
+    queries and vectors: vec_id, embedding. The stated query set meets every vector, both dealt by hash into blocks of a bounded size; vectors without length, and null ones, take no part.
     """
-    spark = vectors.sparkSession
-    found = None
-    chunk: list = []
-
-    def scan(rows: list) -> DataFrame:
-        ids = np.array([r.vec_id for r in rows], np.int64)
-        q = np.array([r.embedding for r in rows], float)
-        shared = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches):
-            ids, q = shared.value
-            for batch in batches:
-                batch = batch[batch["embedding"].map(lambda v: v is not None and len(v) == q.shape[1] and bool(np.any(v)))]
-                if not len(batch):
-                    continue
-                own = batch["vec_id"].to_numpy()
-                v = np.stack(batch["embedding"].to_numpy()).astype(float)
-                score = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                score[ids[:, None] <= own[None, :] if earlier else ids[:, None] == own[None, :]] = -np.inf
-                for i, row in enumerate(score):
-                    few = np.lexsort((own, -row))[:k]
-                    few = few[np.isfinite(row[few])]
-                    yield pd.DataFrame({"query_id": ids[i], "vec_id": own[few], "score": row[few]})
-
-        return vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
-
-    for row in queries.where(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding").toLocalIterator():
-        chunk.append(row)
-        if len(chunk) == block:
-            found, chunk = (scan(chunk) if found is None else found.unionByName(scan(chunk))), []
-    if chunk or found is None:
-        found = (scan(chunk) if found is None else found.unionByName(scan(chunk))) if chunk else spark.createDataFrame([], "query_id long, vec_id long, score double")
+    sound = F.exists("embedding", lambda x: x != 0)
+    asked, rows = (x.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(sound & F.col("vec_id").isNotNull()) for x in (queries, vectors))
+    n_asked, n_rows = asked.count(), rows.count()
+
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        own, width = right["vec_id"].to_numpy(), right["v"].map(len)
+        for n, some in left.groupby(left["v"].map(len)):  # vectors of one dimension are compared
+            fit = (width == n).to_numpy()
+            if not fit.any():
+                continue
+            q, v, mine = np.stack(some["v"].to_numpy()), np.stack(right["v"].to_numpy()[fit]), own[fit]
+            score = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+            ids = some["vec_id"].to_numpy()
+            score[ids[:, None] <= mine[None, :] if earlier else ids[:, None] == mine[None, :]] = -np.inf
+            for i, row in enumerate(score):
+                at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                few = at[np.lexsort((mine[at], -row[at]))[:k]]
+                few = few[np.isfinite(row[few])]
+                out.append(pd.DataFrame({"query_id": ids[i], "vec_id": mine[few], "score": row[few]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+
+    def dealt(frame: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return frame.select("*", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    # each block of queries meets each block of vectors in one task
+    q_blocks, v_blocks = max(1, -(-n_asked // block)), max(1, -(-n_rows // (8 * block)))
+    left, right = dealt(asked, "qb", q_blocks, "vb", v_blocks), dealt(rows, "vb", v_blocks, "qb", q_blocks)
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
