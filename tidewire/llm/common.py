@@ -36,6 +36,18 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside send at most `rows` rows in an Arrow batch; then the session has its own setting again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name that none of the columns begins with, whatever their case."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):
@@ -71,10 +83,12 @@ class Stored:
 
     kept: set[Stored] = set()
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, batch_rows: int = 10_000):
+        """batch_rows: of the Arrow batches while it is written."""
         self.spark = df.sparkSession
         self.path = f"{checkpoint_folder(self.spark)}/stored-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with arrow_rows(self.spark, batch_rows):
+            df.write.parquet(self.path)
         self.rows = self.spark.read.schema(df.schema).parquet(self.path)
         Stored.kept.add(self)
 

@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import Stored, free_name, mix, shingles, ship, sliced, table, word_hashes
+from tidewire.llm.common import BATCH_ROWS, Stored, arrow_rows, free_name, mix, shingles, ship, sliced, table, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Words of a parity bitmap.
 BITMAP_WORDS = 16
 #: Sets on either side of a tile of a long list, about; pairs of a tile that are looked at together.
-TILE, LOT = 512, 1 << 17
+TILE, LOT = 512, 1 << 16
 #: A token in more prefixes than this goes last in the order, the commonest HEAVY_TOKENS at most (what is broadcast).
 HEAVY, HEAVY_TOKENS = 8, 1 << 19
 #: Entries of one list that one task reads, about: longer lists are salted.
@@ -274,7 +274,7 @@ def _counted(open_pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> Stored:
         return set_id(t), t.view(np.int64).tolist()
 
     full = _mapped(texts.select("sid", "text"), tokens, "sid long, found long, tokens array<long>").where("sid = found")
-    full = Stored(full.select("sid", "tokens").dropDuplicates(["sid"]))  # rows with equal ids and texts
+    full = Stored(full.select("sid", "tokens").dropDuplicates(["sid"]), BATCH_ROWS)  # rows with equal ids and texts
     both = open_pairs.join(full.rows.selectExpr("sid a", "tokens ta"), "a").join(full.rows.selectExpr("sid b", "tokens tb"), "b")
     out = Stored(both.select("a", "b", "sizes", (F.col("sizes") - 2 * F.size(F.array_intersect("ta", "tb"))).alias("difference")))
     needed.drop()
@@ -318,7 +318,8 @@ def _heavy(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
     crowded = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
-    found = crowded.orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).toArrow()
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        found = crowded.orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).toArrow()
     tokens, counts = found["token"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]
@@ -355,7 +356,7 @@ def _linked(docs: DataFrame) -> tuple[Stored, DataFrame, list[Stored]]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"doc_id is {kind}; it must be an integer")
-    seen = Stored(_mapped(docs.withColumn("doc_id", F.col("doc_id").cast("long")), index, "doc_id long, place long, sid long, n long, own long, prefix array<long>, bits array<long>"))
+    seen = Stored(_mapped(docs.withColumn("doc_id", F.col("doc_id").cast("long")), index, "doc_id long, place long, sid long, n long, own long, prefix array<long>, bits array<long>"), BATCH_ROWS)
     lists = Stored(_lists(seen.rows, hot))
     shared.destroy()
     some = seen.rows.where("n > 0").select("sid", "n", "doc_id", "place", "bits").join(lists.rows.select("sid").union(lists.rows.select("c")).distinct(), "sid", "left_semi")
