@@ -362,9 +362,9 @@ def fn_strip_html(spark, sf):
     return views.read(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("stripped"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(text, 400), '\[#[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '#\S+', '', 'g'), 'https?://\S+', '', 'g'), '[ \t]+', ' ', 'g'), E' \n\t') AS cleaned FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[#[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '#\S+', '', 'g'), 'https?://\S+', '', 'g'), '[ \t]+', ' ', 'g'), E' \n\t') AS cleaned FROM documents""")
 def fn_clean_scraped(spark, sf):
-    return views.read(spark, sf, "documents").select("doc_id", text.clean_scraped(F.substring("text", 1, 400)).alias("cleaned"))
+    return views.read(spark, sf, "documents").select("doc_id", text.clean_scraped(F.col("text")).alias("cleaned"))
 
 
 @query("SELECT DISTINCT source, replace(source, 'src', 'src-') AS slug FROM documents")
@@ -373,10 +373,9 @@ def fn_slug_source(spark, sf):
     return names.select("source", text.source_slug(F.replace("source", F.lit("src"), F.lit("SRC / "))).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || E'\\n\\n[...truncated...]' ELSE text END AS cut, left(text, 40) AS head FROM documents WHERE text = trim(text, E' \\n\\t')")
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || E'\\n\\n[...truncated...]' ELSE text END AS cut, left(trim(text, E' \\n\\t\\r\\f\\x0b'), 40) AS head FROM documents")
 def fn_truncate(spark, sf):
-    d = views.read(spark, sf, "documents").where(F.col("text") == F.btrim("text", F.lit(" \n\t")))
-    return d.select("doc_id", text.truncated(F.col("text"), 300).alias("cut"), text.excerpt(F.col("text"), 40).alias("head"))
+    return views.read(spark, sf, "documents").select("doc_id", text.truncated(F.col("text"), 300).alias("cut"), text.excerpt(F.col("text"), 40).alias("head"))
 
 
 @query(f"WITH {A} SELECT doc_id, array_to_string(list_filter(list_transform(string_split(tag, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS companies FROM articles")
@@ -421,11 +420,11 @@ def _verdict(part: int) -> str:
 _PHRASES = ["nova linha de filtros", "estreia do time", "workshop de vendas", "prêmio anual", "fusão com rival", "reajuste da tabela de preço", "investe r$ 10", "distribuidor oficial", "expansão", "novo ceo", "ipca de maio", "feira do setor", "campeonato de futebol", "nada aqui", "amplia a linha de pastilhas"]
 
 
-@query(f"WITH p AS (SELECT doc_id, lower({[x for x in _PHRASES]}[CAST(doc_id % {len(_PHRASES)} AS INT) + 1] || ' ' || left(text, 200)) AS t FROM documents), v AS (SELECT doc_id, {_verdict(0)} AS event_type, {_verdict(1)} AS alert_level FROM p) SELECT *, event_type = 'Lancamento' AS is_launch FROM v")
+@query(f"WITH p AS (SELECT doc_id, lower({[x for x in _PHRASES]}[CAST(doc_id % {len(_PHRASES)} AS INT) + 1] || ' ' || coalesce(text, '')) AS t FROM documents), v AS (SELECT doc_id, {_verdict(0)} AS event_type, {_verdict(1)} AS alert_level FROM p) SELECT *, event_type = 'Lancamento' AS is_launch FROM v")
 def cls_article(spark, sf):
     d = views.read(spark, sf, "documents")
     phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % len(_PHRASES) + 1).cast("int"))
-    v = rules.classify_article(phrase, F.substring("text", 1, 200))
+    v = rules.classify_article(phrase, F.col("text"))
     return d.select("doc_id", v.alias("v")).select("doc_id", "v.event_type", "v.alert_level", "v.is_launch")
 
 
@@ -504,7 +503,7 @@ def src_catalog(spark, sf):
 
 
 @query("""SELECT event_id, CAST(p AS BIGINT) AS pos, 'Item ' || p || ' - Paper' AS title, 'https://x.example/' || event_id || '/' || p AS link, 'Paper' AS publisher, 'a & b' AS summary_text,
-strftime(TIMESTAMP '2024-03-05 06:07:08' + to_hours(CAST(event_id % 100 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS published FROM events, (VALUES (0), (1)) AS v(p) WHERE event_id % 10 = 0""")
+strftime(TIMESTAMP '2024-03-05 06:07:08' + to_hours(CAST(event_id % 100 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS published FROM events, (VALUES (0), (1)) AS v(p)""")
 def src_rss(spark, sf):
     when = F.date_format(F.expr("timestamp_ntz'2024-03-05 06:07:08' + make_dt_interval(0, cast(event_id % 100 as int))"), "dd MMM yyyy HH:mm:ss")
 
@@ -512,7 +511,7 @@ def src_rss(spark, sf):
         return F.concat(F.lit(f"<item><title>Item {i} - Paper</title><link>https://x.example/"), F.col("event_id").cast("string"), F.lit(f"/{i}</link><pubDate>Tue, "), when, F.lit(" GMT</pubDate><description>&lt;b&gt;a&lt;/b&gt; &amp;amp; b</description></item>"))
 
     body = F.concat(F.lit("<rss><channel>"), entry(0), entry(1), F.lit("<item><title>no link</title></item></channel></rss>"))
-    rows = readers.rss_items(views.read(spark, sf, "events").where("event_id % 10 = 0").select("event_id", body.alias("body")))
+    rows = readers.rss_items(views.read(spark, sf, "events").select("event_id", body.alias("body")))
     return rows.select("event_id", F.col("pos").cast("long").alias("pos"), "title", "link", "publisher", "summary_text", F.date_format(F.to_utc_timestamp("published", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
@@ -527,20 +526,20 @@ def snk_summary_json(spark, sf):
     return writers.summary_json(views.articles(spark, sf)).select("article_hash", "slug", "content")
 
 
-@query("SELECT event_id, 'S' || event_id % 7 AS symbol, 'Company ' || event_id % 7 AS company, round(CAST(event_id % 100 AS DOUBLE) + 0.25, 4) AS price, -1.5 AS change_percent FROM events WHERE event_id % 20 = 0".replace("-1.5 AS", "CAST(-1.5 AS DOUBLE) AS"))
+@query("SELECT event_id, 'S' || event_id % 7 AS symbol, 'Company ' || event_id % 7 AS company, round(CAST(event_id % 100 AS DOUBLE) + 0.25, 4) AS price, -1.5 AS change_percent FROM events".replace("-1.5 AS", "CAST(-1.5 AS DOUBLE) AS"))
 def src_stocks_api(spark, sf):
     wanted = spark.range(0, 7).selectExpr("concat('S', id) as symbol", "concat('Company ', id) as company")
     payload = F.expr("""concat('{"S', event_id % 7, '": {"symbol": "S', event_id % 7, '", "close": "', event_id % 100, '.25", "percent_change": "-1.5"}, "BAD": {"status": "error"}, "S0X": {"symbol": "S0X", "close": "n/a"}}')""")
-    events = views.read(spark, sf, "events").where("event_id % 20 = 0").select("event_id", payload.alias("payload"))
+    events = views.read(spark, sf, "events").select("event_id", payload.alias("payload"))
     joined = readers.quotes(events.withColumn("payload", F.col("payload")), wanted)
     ids = events.select("event_id", F.concat(F.lit("S"), (F.col("event_id") % 7).cast("string")).alias("symbol"), (F.col("event_id") % 100 + 0.25).alias("price"))
     return ids.join(joined.distinct(), ["symbol", "price"]).select("event_id", "symbol", "company", "price", "change_percent")
 
 
-@query("SELECT event_id, CAST(event_id % 90 + 10 AS DOUBLE) + 0.65 AS price, CAST(-0.48 AS DOUBLE) AS change_percent FROM events WHERE event_id % 15 = 0")
+@query("SELECT event_id, CAST(event_id % 90 + 10 AS DOUBLE) + 0.65 AS price, CAST(-0.48 AS DOUBLE) AS change_percent FROM events")
 def stk_quote(spark, sf):
     html = F.concat(F.lit("<script>1,00 EUR -1,00 EUR -1,00 %</script><p>9,99 SEK +1,00 SEK +2,00 %</p><b>"), (F.col("event_id") % 90 + 10).cast("string"), F.lit(",65 EUR -0,07 EUR -0,48 %</b>"))
-    return views.read(spark, sf, "events").where("event_id % 15 = 0").select("event_id", social.quote(html, "EUR").alias("q")).select("event_id", "q.*")
+    return views.read(spark, sf, "events").select("event_id", social.quote(html, "EUR").alias("q")).select("event_id", "q.*")
 
 
 # Streams -------------------------------------------------------------------------------------------
