@@ -18,27 +18,31 @@ from tidewire.operators.similarity import similar_classes, title_classes
 from tidewire.plans.storage import cut_lineage
 
 
-def resolve(items: DataFrame, neighbours: DataFrame | None = None, over: float = 0.4, high: float = 0.85, low: float = 0.75, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def resolve(items: DataFrame, neighbours: DataFrame | None = None, over: float = 0.4, high: float = 0.85, low: float = 0.75, judge: Callable[[DataFrame], DataFrame] | None = None, now: float | None = None, hours: tuple[float, float, float] = (72, 24, 72)) -> DataFrame:
     """rowid, status, layer over items (rowid, id_hash, title_hash, title).
 
     neighbours: (a, b, score) with b < a, the vector layer's candidates. Scores over `high` match; those in (low, high]
     go to `judge`, which returns those (a, b) that are the same (none without a judge). layer: the first that matches, by
-    hash 0, title hash 1, title words 2, vectors 3, judge 4.
+    hash 0, title hash 1, title words 2, vectors 3, judge 4. now: seconds; if given, a row (created_at) is a match by title
+    hash, title words and vectors only for the hours back from it.
     """
     classes = cut_lineage(title_classes(items))
     pairs = similar_classes(classes, over)
     links = cut_lineage(pairs.select("a", "b").union(pairs.select("b", "a")).union(classes.select("class_id", "class_id")).toDF("own", "other"))
-    rows = items.select("rowid", "id_hash", "title_hash", F.array_sort(tokens(F.col("title"))).alias("tokens")).join(classes.selectExpr("tokens", "class_id own"), "tokens").drop("tokens")
+    back = [F.lit(True) if now is None else F.coalesce(F.col("created_at") >= now - 3600 * h, F.lit(False)) for h in hours]
+    windows = dict(zip(("title", "words", "near"), back, strict=True))
+    rows = items.select("rowid", "id_hash", "title_hash", *(c.alias(f"in_{n}") for n, c in windows.items()), F.array_sort(tokens(F.col("title"))).alias("tokens")).join(classes.selectExpr("tokens", "class_id own"), "tokens").drop("tokens")
     state = cut_lineage(rows.withColumn("status", F.lit(None).cast("string")))
     near = None
     if neighbours is not None:
         sure = neighbours.where(F.col("score") > high).select("a", "b", F.lit(3).alias("layer"))
         if judge is not None:
             sure = sure.unionByName(judge(neighbours.where((F.col("score") > low) & (F.col("score") <= high))).select("a", "b", F.lit(4).alias("layer")))
-        near = cut_lineage(sure)
+        near = cut_lineage(sure.join(rows.where("in_near").select(F.col("rowid").alias("b")), "b", "left_semi"))
 
     def least(frame: DataFrame, key: str, name: str) -> DataFrame:
-        return frame.groupBy(key).agg(F.min(F.when(F.col("status") == "new", F.col("rowid"))).alias(f"new_{name}"), F.min(F.when(F.col("status").isNull(), F.col("rowid"))).alias(f"open_{name}"))
+        near_by = F.col(f"in_{name}") if name in windows else F.lit(True)
+        return frame.groupBy(key).agg(F.min(F.when(near_by & (F.col("status") == "new"), F.col("rowid"))).alias(f"new_{name}"), F.min(F.when(near_by & F.col("status").isNull(), F.col("rowid"))).alias(f"open_{name}"))
 
     while True:
         seen = state.join(least(state, "id_hash", "id"), "id_hash").join(least(state, "title_hash", "title"), "title_hash")
@@ -56,7 +60,7 @@ def resolve(items: DataFrame, neighbours: DataFrame | None = None, over: float =
             hit, wait = hit | mine, wait | F.coalesce(F.col(f"open_{name}") < F.col("rowid"), F.lit(False))
             layer = F.when(mine, F.col("near_layer") if name == "near" else F.lit(k)).otherwise(layer)
         status = F.when(F.col("status").isNotNull(), F.col("status")).when(hit, "dupe").when(~wait, "new")
-        after = cut_lineage(seen.select("rowid", "id_hash", "title_hash", "own", status.alias("status"), layer.alias("layer")))
+        after = cut_lineage(seen.select("rowid", "id_hash", "title_hash", "own", *(f"in_{n}" for n in windows), status.alias("status"), layer.alias("layer")))
         if after.where("status is null").isEmpty():
             # layers are told at the end, when all new rows are known
             if after.where("status = 'dupe'").join(state.where("status is null"), "rowid", "left_semi").isEmpty():

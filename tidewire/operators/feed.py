@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.dates import sort_key
-from tidewire.functions.payloads import decode_cursor
+from tidewire.functions.payloads import decode_cursor, encode_cursor
 from tidewire.functions.text import companies
-from tidewire.operators.store import public
+from tidewire.operators.store import public, public_shape
 
 PAGE, MOST = 20, 100
 
@@ -118,3 +118,35 @@ def feed_funnel(items: DataFrame, cap: int, min_date: Column, feed: str = "sourc
 def first_per_feed(items: DataFrame, cap: int = 25, feed: str = "source") -> DataFrame:
     """The cap of plain feeds comes first, in feed order."""
     return items.withColumn("rank", F.row_number().over(Window.partitionBy(feed).orderBy("pos"))).where(F.col("rank") <= cap)
+
+
+def articles(rows: DataFrame, params: dict[str, str] | None = None, strict: bool = True) -> tuple[DataFrame, str | None]:
+    """The read entry point: a page in public shape with its sort_key, and the cursor of the next one (none at the end).
+
+    params: limit (20, at most 100), cursor, company (names with commas between), kind, and with company from and to. Raises
+    ValueError for a limit that is no positive integer, a kind that is unknown (without `strict`, as in a proxy, it
+    counts as absent) and a company list without names. Pages are exact with several companies, too.
+    """
+    asked = params or {}
+    limit, kind, cursor = checked_limit(asked.get("limit")), asked.get("kind") or None, asked.get("cursor")
+    if not strict and kind not in ("news", "social"):
+        kind = None
+    if asked.get("company"):
+        names = [n.strip() for n in asked["company"].split(",") if n.strip()]
+        page = of_companies(rows, names, kind, asked.get("from"), asked.get("to"), limit, cursor)
+    else:
+        page = latest(rows, limit, kind, cursor)
+    n, last = page.agg(F.count("*"), F.min("sort_key")).first()
+    keys = page.select("article_hash", "sort_key")
+    shaped = public_shape(page.drop("sort_key")).join(keys, "article_hash").orderBy(F.desc("sort_key"))
+    return shaped, encode_cursor({"sort_key": last}) if n == limit else None
+
+
+def home(rows: DataFrame, names: list[str] | None = None, kind: str | None = None, since: str | None = None, until: str | None = None, cursor: str | None = None, per_page: int = 24) -> dict[str, DataFrame]:
+    """The home page: the highlights, and a page of the feed, of the companies and days asked for if any."""
+    feed = of_companies(rows, names, kind, since, until, per_page, cursor) if names else latest(rows, per_page, kind, cursor)
+    return {"highlights": highlights(rows), "feed": feed}
+
+
+def company_page(rows: DataFrame, name: str, kind: str | None = None, cursor: str | None = None, per_page: int = 24) -> DataFrame:
+    return of_companies(rows, [name], kind, limit=per_page, cursor=cursor)

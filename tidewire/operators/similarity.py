@@ -97,3 +97,8 @@ def fused_ranks(knn: DataFrame, fts: DataFrame, k: int, weights: tuple[float, fl
     score = F.coalesce(weights[0] / F.col("ra"), F.lit(0.0)) + F.coalesce(weights[1] / F.col("rb"), F.lit(0.0))
     out = a.join(b, "id", "full_outer").select("id", score.alias("score"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
     return out.orderBy(F.desc("score"), "id").limit(k)
+
+
+def hybrid(knn: DataFrame, fts: DataFrame, k: int) -> DataFrame:
+    """The fused ranks of the 2k best by cosine and the k best by relevance: only those reach one task."""
+    return fused_ranks(knn.orderBy(F.desc("cosine"), "id").limit(2 * k), fts.orderBy(F.desc("relevance"), "id").limit(k), k)

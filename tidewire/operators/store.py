@@ -5,12 +5,13 @@ Rows are appended and read as the latest version of each key; nothing is updated
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules
 from tidewire.functions.dates import sort_key, sort_ts
 from tidewire.functions.text import companies, nz
+from tidewire.plans.storage import cut_lineage
 
 #: Defaults of absent attributes.
 DEFAULTS = {"title": "", "link": "", "category": "auto", "content_kind": "news", "summary_status": "pending", "dedup_decision": "", "source_name": "", "image_url": "", "summary": "", "action_description": "", "competitor_analysis": "", "event_type": "", "alert_level": ""}
@@ -124,3 +125,38 @@ def unsummarized(items: DataFrame) -> DataFrame:
 
 def cleared_summaries(items: DataFrame) -> DataFrame:
     return items.withColumn("summarized_at", F.when(F.col("status") == "new", F.lit(None)).otherwise(F.col("summarized_at")))
+
+
+def ensure(spark: SparkSession, name: str, schema: str) -> DataFrame:
+    """The named table, made empty if there is none."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
+    return spark.table(name)
+
+
+def cleared(spark: SparkSession, name: str, sure: bool = False) -> int:
+    """How many rows a table holds; they go only if the caller is sure."""
+    n = spark.table(name).count()
+    if sure:
+        spark.sql(f"TRUNCATE TABLE {name}")
+    return n
+
+
+def numbered(items: DataFrame, order: list[str], after: int = 0) -> DataFrame:
+    """items with rowid from after + 1 without gaps, in order; ties fall anyhow. Each range of rows is numbered by itself, and only the ranges' sizes meet."""
+    rows = cut_lineage(items.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_own", own).join(before, "_range").withColumn("rowid", F.col("_own") + F.col("_before") + F.lit(after)).drop("_range", "_own", "_before")
+
+
+def by_hash(articles: DataFrame, article_hash: str) -> DataFrame:
+    """The article of a hash with every attribute, or no row."""
+    return full(articles.where(F.col("article_hash") == article_hash))
+
+
+def with_feed(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """Articles with the feed_type and content_kind of their source; of an unknown one, plain search news."""
+    own = sources.select("source_id", F.col("feed_type").alias("_type"), F.col("content_kind").alias("_kind"))
+    out = articles.drop("feed_type", "content_kind").join(own, "source_id", "left")
+    return out.withColumns({"feed_type": F.coalesce("_type", F.lit("google_news_query")), "content_kind": F.coalesce("_kind", F.lit("news"))}).drop("_type", "_kind")

@@ -5,14 +5,17 @@ Nothing here calls out: bodies come from a table or from a callable that is pass
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.payloads import backoff_seconds, verdict
 from tidewire.functions.social import company_page
-from tidewire.functions.text import collapse, nz, search_url, strip, strip_html
+from tidewire.functions.text import collapse, nz, search_url, strip, strip_html, truncated
 
 SOURCE = "source_id string, name string, source_type string, tag string, product_line string, category string, feed_type string, rss_url string, query_text string, active boolean, content_kind string"
 SOURCE_DEFAULTS = {"source_type": "concorrente", "product_line": "Geral", "category": "auto", "active": True}
@@ -41,7 +44,9 @@ def feed_url(sources: DataFrame) -> Column:
     return F.when(sources["feed_type"] == "linkedin_company", company_page(sources["query_text"])).when((sources["feed_type"] == "rss_direct") & nz(sources["rss_url"]).isNotNull(), sources["rss_url"]).otherwise(search_url(SEARCH, query, LOCALE))
 
 
-ITEM = "struct<title:string,link:string,pubDate:string,updated:string,source:string,description:string,enclosure:struct<_url:string,_type:string>>"
+_MEDIA = "`media:content`:array<struct<_url:string,_type:string>>,`media:thumbnail`:array<struct<_url:string>>"
+ITEM = f"struct<title:string,link:string,pubDate:string,updated:string,source:string,description:string,enclosure:array<struct<_url:string,_type:string>>,{_MEDIA}>"
+ENTRY = f"struct<title:string,link:array<struct<_href:string,_rel:string,_type:string>>,published:string,updated:string,summary:string,content:string,{_MEDIA}>"
 
 
 def rss_date(c: Column) -> Column:
@@ -51,28 +56,47 @@ def rss_date(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(bare))
 
 
+def _urls(links: Column, url: str = "_url", kind: str | None = "_type") -> Column:
+    return F.transform(links, lambda m: F.struct(m[url].alias("url"), (m[kind] if kind else F.lit(None).cast("string")).alias("type")))
+
+
+def _entries(feed: Column) -> Column:
+    """RSS items, else Atom entries, in one shape."""
+
+    def one(title: Column, link: Column, date: Column, source: Column, text: Column, closed: Column, x: Column) -> Column:
+        image = entry_image(_urls(x["media:content"]), _urls(x["media:thumbnail"], kind=None), closed)
+        return F.struct(title.alias("title"), link.alias("link"), date.alias("date"), source.alias("source"), text.alias("text"), image.alias("image"))
+
+    def item(x: Column) -> Column:
+        return one(x["title"], x["link"], F.coalesce(nz(x["pubDate"]), x["updated"]), x["source"], x["description"], _urls(x["enclosure"]), x)
+
+    def entry(x: Column) -> Column:
+        own = F.get(F.filter(x["link"], lambda m: F.coalesce(m["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"]
+        closed = _urls(F.filter(x["link"], lambda m: m["_rel"] == "enclosure"), "_href")
+        return one(x["title"], own, F.coalesce(nz(x["published"]), x["updated"]), F.lit(None).cast("string"), F.coalesce(nz(x["summary"]), x["content"]), closed, x)
+
+    return F.coalesce(F.transform(feed["channel"]["item"], item), F.transform(feed["entry"], entry))
+
+
 def rss_items(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """A row for each entry with a title and a link, in feed order: pos, title, link, published_at, publisher, summary_text, image_url."""
-    schema = f"struct<channel:struct<item:array<{ITEM}>>>"
+    """A row for each RSS or Atom entry with a title and a link, in feed order: pos, title, link, published, publisher, summary_text, image_url."""
     keep = [c for c in bodies.columns if c != body]
-    items = F.from_xml(F.col(body), schema)["channel"]["item"]
-    rows = bodies.select(*keep, F.posexplode(items).alias("pos", "x"))
+    feed = F.from_xml(F.col(body), f"struct<channel:struct<item:array<{ITEM}>>,entry:array<{ENTRY}>>")
+    rows = bodies.select(*keep, feed.alias("_feed")).select(*keep, F.posexplode(_entries(F.col("_feed"))).alias("pos", "x"))
     rows = rows.where(nz(F.col("x.title")).isNotNull() & nz(F.col("x.link")).isNotNull())
     title, tail = F.col("x.title"), F.trim(F.substring_index(F.col("x.title"), " - ", -1))
-    image = F.when(F.coalesce(nz(F.col("x.enclosure._type")), F.lit("image/")).startswith("image"), F.col("x.enclosure._url"))
     return rows.select(
-        *keep, "pos", strip_html(title).alias("title"), strip(F.col("x.link")).alias("link"),
-        rss_date(F.coalesce(nz(F.col("x.pubDate")), F.col("x.updated"))).alias("published"),
+        *keep, "pos", strip_html(title).alias("title"), strip(F.col("x.link")).alias("link"), rss_date(F.col("x.date")).alias("published"),
         F.coalesce(nz(strip(F.col("x.source"))), F.when(title.contains(" - "), tail), F.lit("")).alias("publisher"),
-        strip_html(F.coalesce(F.col("x.description"), F.lit(""))).alias("summary_text"), F.coalesce(image, F.lit("")).alias("image_url"),
+        strip_html(F.coalesce(F.col("x.text"), F.lit(""))).alias("summary_text"), F.col("x.image").alias("image_url"),
     )
 
 
 def entry_image(media: Column, thumbnails: Column, enclosures: Column) -> Column:
     """The first image of an entry's media, else its first thumbnail, else an image enclosure."""
-    picture = F.get(F.filter(media, lambda m: nz(m["url"]).isNotNull() & F.coalesce(m["type"], F.lit("image")).rlike("^$|^image")), 0)["url"]
+    picture = F.get(F.filter(media, lambda m: nz(m["url"]).isNotNull() & F.coalesce(m["type"], F.lit("image")).rlike("^$|image")), 0)["url"]
     thumb = F.get(F.filter(thumbnails, lambda m: nz(m["url"]).isNotNull()), 0)["url"]
-    closed = F.get(F.filter(enclosures, lambda m: nz(m["url"]).isNotNull() & m["type"].startswith("image")), 0)["url"]
+    closed = F.get(F.filter(enclosures, lambda m: nz(m["url"]).isNotNull() & m["type"].contains("image")), 0)["url"]
     return F.coalesce(picture, thumb, closed, F.lit(""))
 
 
@@ -126,6 +150,30 @@ def fetched(urls: DataFrame, fetch: Callable[[str], str], url: str = "url") -> D
     return urls.select(F.col(url).alias("url")).distinct().mapInPandas(run, "url string, body string, error string")
 
 
+def fetched_politely(urls: DataFrame, fetch: Callable[[str], str], url: str = "url", lanes: int = 2, delay: float = 0.25, jitter: float = 0.25) -> DataFrame:
+    """As fetched, but a host's URLs are dealt into at most `lanes` (nought: one) tasks, so many requests are under way at once; each task spaces its requests to one host by the delay and a random part of the jitter."""
+    lanes = max(lanes, 1)
+    host = F.lower(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")))
+    rows = urls.select(F.col(url).alias("url")).distinct().select("url", host.alias("host"), F.pmod(F.xxhash64("url"), F.lit(lanes)).alias("lane"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, float] = {}
+        for batch in batches:
+            out = []
+            for u, h in zip(batch["url"], batch["host"], strict=True):
+                wait = last.get(h, 0.0) + (delay * lanes + random.uniform(0, jitter)) - time.monotonic() if h in last else 0.0
+                if wait > 0:
+                    time.sleep(wait)
+                last[h] = time.monotonic()
+                try:
+                    out.append((u, fetch(u), None))
+                except Exception as e:  # noqa: BLE001  a source's failure is data
+                    out.append((u, None, str(e)[:120]))
+            yield pd.DataFrame(out, columns=["url", "body", "error"])
+
+    return rows.repartition("host", "lane").sortWithinPartitions("host", "url").mapInPandas(run, "url string, body string, error string")
+
+
 def resolved(links: DataFrame, resolve: Callable[[str], str], link: str = "link") -> DataFrame:
     """Rows with resolved_link, resolve_status (ok, skipped, failed) and resolve_error: only wrapper links are resolved, each once; one that stays a wrapper failed."""
     wrapper = F.col(link).contains("news.google")
@@ -135,23 +183,72 @@ def resolved(links: DataFrame, resolve: Callable[[str], str], link: str = "link"
     return out.select(*links.columns, F.when(~wrapper, F.col(link)).when(~bad, F.col("body")).alias("resolved_link"), F.when(~wrapper, "skipped").when(bad, "failed").otherwise("ok").alias("resolve_status"), F.when(wrapper & bad, F.coalesce("error", F.lit("still a wrapper link"))).alias("resolve_error"))
 
 
-def summarized(articles: DataFrame, summarize: Callable[[str], str], text: str = "content") -> DataFrame:
-    """article_hash, raw, error by a callable from a prompt's text to a model's answer; failures are data, empty answers fail."""
+def summary_prompt(title: Column, content: Column, limit: int = 20_000) -> Column:
+    """What a model is asked: the title and the content, which is cut beyond the limit."""
+    return F.concat(F.lit("Title: "), F.coalesce(title, F.lit("")), F.lit("\n\nContent:\n"), truncated(F.coalesce(content, F.lit("")), limit))
+
+
+def summarized(articles: DataFrame, summarize: Callable[[str], str], text: str = "content", attempts: int = 3, again: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), base: float = 1.0) -> DataFrame:
+    """article_hash, raw, error by a callable from a prompt's text to a model's answer; failures are data, empty answers fail.
+
+    A failure of a kind in `again` is tried anew, up to `attempts` times in all, after base, 2 base, ... seconds.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for h, t in zip(batch["article_hash"], batch["t"], strict=True):
-                try:
-                    answer = summarize(t)
-                    rows.append((h, answer or None, None if answer else "empty answer"))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((h, None, str(e)[:200]))
+                for k in range(attempts):
+                    try:
+                        answer = summarize(t)
+                        row = (h, answer or None, None if answer else "empty answer")
+                        break
+                    except again as e:
+                        row = (h, None, str(e)[:200])
+                        if k + 1 < attempts:
+                            time.sleep(backoff_seconds(k, base))
+                    except Exception as e:  # noqa: BLE001
+                        row = (h, None, str(e)[:200])
+                        break
+                rows.append(row)
             yield pd.DataFrame(rows, columns=["article_hash", "raw", "error"])
 
     return articles.select("article_hash", F.col(text).alias("t")).mapInPandas(run, "article_hash string, raw string, error string")
 
 
+def embedded(items: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
+    """rowid, embedding by a callable over batches of texts: the title, a blank line and 2,000 characters of the excerpt. As many vectors as texts must come back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), batch):
+                some = rows.iloc[at : at + batch]
+                vectors = embed(list(some["t"]))
+                if len(vectors) != len(some):
+                    raise ValueError(f"{len(some)} texts gave {len(vectors)} vectors")
+                yield pd.DataFrame({"rowid": some["rowid"].to_numpy(), "embedding": list(vectors)})
+
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.substring(F.coalesce("excerpt", F.lit("")), 1, 2000))
+    return items.select("rowid", text.alias("t")).mapInPandas(run, "rowid long, embedding array<double>")
+
+
+def judge_prompt(title_a: Column, excerpt_a: Column, title_b: Column, excerpt_b: Column) -> Column:
+    def item(name: str, title: Column, excerpt: Column) -> Column:
+        return F.concat(F.lit(f"Item {name} title: "), title, F.lit(f"\nItem {name} excerpt: "), F.substring(F.coalesce(nz(excerpt), title), 1, 400))
+
+    return F.concat(item("A", title_a, excerpt_a), F.lit("\n\n"), item("B", title_b, excerpt_b), F.lit("\n\nRespond with exactly one of: same, different, related."))
+
+
+def judged(pairs: DataFrame, items: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+    """Those (a, b) that a model calls the same; what fails is different. items: rowid, title, excerpt."""
+    sides = [items.select(F.col("rowid").alias(n), F.coalesce("title", F.lit("")).alias(f"title_{n}"), F.col("excerpt").alias(f"excerpt_{n}")) for n in "ab"]
+    asked = pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b")
+    asked = asked.select(F.concat_ws(" ", "a", "b").alias("article_hash"), "a", "b", judge_prompt(*(F.col(f"{c}_{n}") for n in "ab" for c in ("title", "excerpt"))).alias("content"))
+    said = summarized(asked, ask, attempts=1).where(verdict(F.col("raw")) == "same")
+    ids = F.split("article_hash", " ")
+    return said.select(ids[0].cast("long").alias("a"), ids[1].cast("long").alias("b"))
+
+
 def probed(active: DataFrame, bodies: DataFrame) -> DataFrame:
     """source_id, n: entries of each active source's body; -1 if it failed, -3 for social ones, which are skipped."""
     counts = rss_items(bodies.where("error is null")).groupBy("source_id").agg(F.count("*").alias("n"))

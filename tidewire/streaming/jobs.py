@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -91,6 +92,42 @@ def ingest(stream: DataFrame, store: str, order: list[str], checkpoint: str) ->
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def spaced(requests: DataFrame, delay: float = 0.25) -> DataFrame:
+    """requests (host, id, at in seconds) with start: each waits for its own time and for `delay` after the start before it.
+
+    start(i) = max over j <= i of at(j) + (i - j) * delay, which is a running maximum.
+    """
+    order = Window.partitionBy("host").orderBy("at", "id")
+    rows = requests.withColumn("_n", F.row_number().over(order))
+    return rows.withColumn("start", F.max(F.col("at") - F.col("_n") * delay).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n") * delay).drop("_n")
+
+
+def within_window(batch: DataFrame, stored: DataFrame, now: float, hours: float = 72) -> DataFrame:
+    """batch (rowid, title_hash) with status and match: the latest new row of the store (with status, created_at) since `hours` before now with its title hash, else the first of the batch."""
+    known = stored.where((F.col("status") == "new") & (F.col("created_at") >= now - 3600 * hours)).groupBy("title_hash").agg(F.max_by("rowid", F.struct("created_at", "rowid")).alias("_old"))
+    first = batch.groupBy("title_hash").agg(F.min("rowid").alias("_first"))
+    out = batch.join(known, "title_hash", "left").join(first, "title_hash")
+    match = F.coalesce("_old", F.when(F.col("_first") < F.col("rowid"), F.col("_first")))
+    return out.select(*batch.columns, F.when(match.isNull(), "new").otherwise("dupe").alias("status"), match.alias("match"))
+
+
+def ingest_windowed(stream: DataFrame, store: str, checkpoint: str, clock: Callable[[], float] = time.time, hours: float = 72) -> None:
+    """Appends a stream's items (rowid, title_hash) to a Parquet store with status, match, created_at, judged against what the store holds of the last hours by the clock; a rowid that is stored is not added again."""
+    spark = stream.sparkSession
+    schema = spark.createDataFrame([], stream.schema).selectExpr("*", "cast(null as string) status", "cast(null as long) match", "cast(null as double) created_at").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        spark.createDataFrame([], schema).write.parquet(store)
+
+    def add(batch: DataFrame, _: int) -> None:
+        now, held = clock(), spark.read.schema(schema).parquet(store)
+        fresh = batch.dropDuplicates(["rowid"]).join(held.select("rowid"), "rowid", "left_anti").select(*batch.columns)
+        rows = within_window(fresh, held, now, hours).withColumn("created_at", F.lit(now))
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("append").parquet(store)
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives its output as a table in the shared folder."""
     spark = stream.sparkSession
