@@ -306,15 +306,14 @@ def jn_knn(spark, sf):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH a AS (SELECT vec_id AS id, label * 1.0 + vec_id / 100000.0 AS c FROM embeddings WHERE vec_id % 3 = 0), b AS (SELECT vec_id AS id, -vec_id AS r FROM embeddings WHERE vec_id % 4 = 0),
-ra AS (SELECT id, c, row_number() OVER (ORDER BY c DESC, id) AS n FROM a), rb AS (SELECT id, row_number() OVER (ORDER BY r DESC, id) AS n FROM b)
+@query("""WITH a AS (SELECT vec_id AS id, label * 1.0 + vec_id / 100000.0 AS c FROM embeddings), b AS (SELECT vec_id AS id, label * 1.0 - vec_id % 7 AS r FROM embeddings),
+ra AS (SELECT * FROM (SELECT id, c, row_number() OVER (ORDER BY c DESC, id) AS n FROM a) WHERE n <= 60), rb AS (SELECT * FROM (SELECT id, row_number() OVER (ORDER BY r DESC, id) AS n FROM b) WHERE n <= 30)
 SELECT coalesce(ra.id, rb.id) AS id, round(coalesce(0.6 / ra.n, 0) + coalesce(0.4 / rb.n, 0), 9) AS score, round(CAST(coalesce(ra.c, 0) AS DOUBLE), 6) AS cosine
 FROM ra FULL JOIN rb ON ra.id = rb.id ORDER BY coalesce(0.6 / ra.n, 0) + coalesce(0.4 / rb.n, 0) DESC, 1 LIMIT 30""")
 def win_rrf(spark, sf):
     v = views.read(spark, sf, "embeddings")
-    knn = v.where("vec_id % 3 = 0").selectExpr("vec_id as id", "label * 1.0D + vec_id / 100000.0D as cosine")
-    fts = v.where("vec_id % 4 = 0").selectExpr("vec_id as id", "-vec_id as relevance")
-    return similarity.fused_ranks(knn, fts, 30).select("id", F.round("score", 9).alias("score"), F.round("cosine", 6).alias("cosine"))
+    knn = v.selectExpr("vec_id as id", "label * 1.0D + vec_id / 100000.0D as cosine")
+    return similarity.hybrid(knn, v.selectExpr("vec_id as id", "label * 1.0D - vec_id % 7 as relevance"), 30).select("id", F.round("score", 9).alias("score"), F.round("cosine", 6).alias("cosine"))
 
 
 @query()
@@ -322,7 +321,8 @@ def dd5_cascade(spark, sf):
     """The whole cascade with neighbours from the vectors; held against a sequential scan in the tests."""
     v = views.read(spark, sf, "embeddings")
     near = similarity.top_cosine(v, v, 10, earlier=True).selectExpr("query_id a", "vec_id b", "score")
-    return cascade.resolve(views.items(spark, sf), near)
+    items = views.items(spark, sf)
+    return cascade.resolve(items, near, now=items.agg(F.max("created_at")).first()[0])
 
 
 # Expressions -------------------------------------------------------------------------------------
@@ -582,3 +582,6 @@ def st_breaker_stream(spark, sf):
         "case when event_id % 9 = 0 then cast(event_id % 400 as double) end as retry_after",
     )
     return jobs.drained(jobs.breaker(rows))
+
+
+from tidewire.plans import serving  # noqa: E402,F401  registers its queries here

@@ -259,3 +259,8 @@ def probed(active: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def title_of(page: Column) -> Column:
     return strip_html(collapse(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+
+
+def in_scope(sources: DataFrame, companies: list[str]) -> DataFrame:
+    """Sources whose tag is one of the companies; all of them if none is named."""
+    return sources.where(F.col("tag").isin(companies)) if companies else sources
