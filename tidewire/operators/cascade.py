@@ -13,11 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import tokens
+from tidewire.functions.text import id_hash, nz, stored_title_hash, tokens
 from tidewire.operators.similarity import similar_classes, title_classes
+from tidewire.operators.store import numbered
 from tidewire.plans.storage import cut_lineage
 
 
+def items_of(files: DataFrame, now: float, after: int = 0) -> DataFrame:
+    """Raw Markdown files (slug, title, url, excerpt) as rows of the cascade, numbered in name order; without a title the slug stands for it, and without a URL a local one. A file without anything to read is a row like any other."""
+    title = F.coalesce(nz(F.col("title")), F.col("slug"))
+    rows = files.select("slug", "url", title.alias("title"), F.coalesce("excerpt", F.lit("")).alias("excerpt"), id_hash(F.col("url"), F.col("slug")).alias("id_hash"), stored_title_hash(title).alias("title_hash"), F.lit(now).alias("created_at"))
+    return numbered(rows, ["slug"], after)
+
+
 def resolve(items: DataFrame, neighbours: DataFrame | None = None, over: float = 0.4, high: float = 0.85, low: float = 0.75, judge: Callable[[DataFrame], DataFrame] | None = None, now: float | None = None, hours: tuple[float, float, float] = (72, 24, 72)) -> DataFrame:
     """rowid, status, layer over items (rowid, id_hash, title_hash, title).
 

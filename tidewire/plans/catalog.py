@@ -521,7 +521,11 @@ def snk_markdown(spark, sf):
     return rows.select("article_hash", "content", "key")
 
 
-@query()
+_JSON_OF = {"article_hash", "source_id", "source_name", "category", "tag", "published_at", "link", "title"}
+_JSON = ", ".join(f"'{k}': {f'coalesce({c}, {chr(39) * 2})' if c in _JSON_OF else chr(39) * 2}" for k in writers.SUMMARY for c in [dict(writers.FRONT).get(k, k)])
+
+
+@query(f"WITH {A} SELECT article_hash, source_id || '_' || left(article_hash, 8) AS slug, CAST(to_json({{{_JSON}}}) AS VARCHAR) AS content FROM articles")
 def snk_summary_json(spark, sf):
     return writers.summary_json(views.articles(spark, sf)).select("article_hash", "slug", "content")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, payloads, social, text
-from tidewire.operators import feed, runs, saved, store
+from tidewire.operators import cascade, feed, runs, saved, store
 from tidewire.plans import views
 from tidewire.plans.catalog import A, FD, FE, I, _CATALOG, _TAGGED, _TWO, query
 from tidewire.sources import readers, targets, writers
@@ -233,6 +233,16 @@ def jn_feed_denorm(spark, sf):
     return store.with_feed(rows, sources).select("article_hash", "feed_type", "content_kind")
 
 
+@query("""WITH f AS (SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS slug, CASE WHEN doc_id % 3 > 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 5 > 0 THEN 'https://x.example/' || doc_id END AS url FROM documents)
+SELECT slug, CAST(row_number() OVER (ORDER BY slug) AS BIGINT) AS rowid, md5(coalesce(url, 'local://' || slug)) AS id_hash, md5(lower(coalesce(title, slug))) AS title_hash FROM f""")
+def dd5_run(spark, sf):
+    """Raw files in name order as rows of the cascade."""
+    value = F.expr(r"concat(case when doc_id % 3 > 0 then concat('# Title ', doc_id, '\n\n') else 'no heading\n' end, case when doc_id % 5 > 0 then concat('URL: https://x.example/', doc_id, '\n\n') else '' end)")
+    docs = views.read(spark, sf, "documents").select(F.expr("concat('f', lpad(doc_id, 9, '0'))").alias("slug"), value.alias("value"))
+    rows = cascade.items_of(readers.raw_markdown(docs), 1704067200.0)
+    return rows.select("slug", F.col("rowid").cast("long").alias("rowid"), "id_hash", "title_hash")
+
+
 # Streams --------------------------------------------------------------------------------------------
 
 
