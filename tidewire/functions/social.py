@@ -9,17 +9,25 @@ from tidewire.functions.dates import estimated_date, relative_age_days
 from tidewire.functions.payloads import best_video, decimal_comma, grouped_count
 from tidewire.functions.text import post_title, strip, visible_text
 
-#: Markers of the rendered page.
+#: Markers and patterns of the rendered page.
 POST = r"\n\s*\*\s*\[ \]\(https://www\.linkedin\.com/posts/"
 POST_URL = "https://www.linkedin.com/posts/"
 IMAGE = r"""<img[^>]+src="(https://media\.licdn\.com/dms/image/[^"]*(?:feedshare|image-shrink)[^"]*)\""""
 PRICE = r"(\d{1,4}[.,]\d{2})\s*(EUR|SEK|USD)\s*[+-]\d{1,4}[.,]\d{2}\s*(?:EUR|SEK|USD)\s*([+-]\d{1,3}[.,]\d{2})\s*%"
+UPDATES_HEADING = r"(?is)(\n##  updates.*?)(?=\n##[^#]|\z)"
+UPDATES_MENTION = r"(?is)(updates.*?)(?=\n##[^#]|\z)"
+POST_TIME = r"(?m)^\s*(\d+)\s*([a-zA-Z]+)\s*(Edited)?\s*$"
+POST_BODY = r"(?s)Report this post[^\n]*\n(.*)"
+POST_MORE = r"(?s)^(.*?)(?:…more|`` ``|\z)"
+REACTIONS = r"\[\s*([\d,]+)\s*\]\([^)]*social-actions-reactions\)"
+COMMENTS = r"\[\s*([\d,]+)\s*Comments?\s*\]\([^)]*social-actions-comments\)"
+ACTIVITY = r"-activity-(\d+)"
 
 
 def updates_section(markdown: Column) -> Column:
     """From the updates heading, or the first mention, to the next heading."""
-    heading = F.regexp_extract(markdown, r"(?is)(\n##  updates.*?)(?=\n##[^#]|\z)", 1)
-    mention = F.regexp_extract(markdown, r"(?is)(updates.*?)(?=\n##[^#]|\z)", 1)
+    heading = F.regexp_extract(markdown, UPDATES_HEADING, 1)
+    mention = F.regexp_extract(markdown, UPDATES_MENTION, 1)
     return F.when(heading != "", heading).otherwise(mention)
 
 
@@ -28,16 +36,16 @@ def posts(pages: DataFrame, markdown: str, fetched_at: str) -> DataFrame:
     keep = [c for c in pages.columns if c not in (markdown, fetched_at)]
     chunks = F.split(updates_section(F.col(markdown)), POST)
     rows = pages.select(*keep, F.col(fetched_at).alias("_at"), F.posexplode(F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("pos", "chunk"))
-    chunk, when = F.col("chunk"), r"(?m)^\s*(\d+)\s*([a-zA-Z]+)\s*(Edited)?\s*$"
+    chunk, when = F.col("chunk"), POST_TIME
     age = F.nullif(F.concat(F.regexp_extract(chunk, when, 1), F.regexp_extract(chunk, when, 2)), F.lit(""))
-    body = F.when(chunk.contains("Report this post"), F.regexp_extract(chunk, r"(?s)Report this post[^\n]*\n(.*)", 1)).otherwise(chunk)
-    body = F.regexp_extract(body, r"(?s)^(.*?)(?:…more|`` ``|\z)", 1)
+    body = F.when(chunk.contains("Report this post"), F.regexp_extract(chunk, POST_BODY, 1)).otherwise(chunk)
+    body = F.regexp_extract(body, POST_MORE, 1)
     out = rows.select(
         *keep, "pos", "_at", F.concat(F.lit(POST_URL), F.substring_index(chunk, ")", 1)).alias("url"),
         strip(F.regexp_replace(body, r"\n\s*\*\s*\z", "")).alias("text"), age.alias("relative_time"),
         (F.regexp_extract(chunk, when, 3) != "").alias("edited"), relative_age_days(age).alias("estimated_age_days"),
-        grouped_count(F.regexp_extract(chunk, r"\[\s*([\d,]+)\s*\]\([^)]*social-actions-reactions\)", 1)).alias("reactions"),
-        grouped_count(F.regexp_extract(chunk, r"\[\s*([\d,]+)\s*Comments?\s*\]\([^)]*social-actions-comments\)", 1)).alias("comments"),
+        grouped_count(F.regexp_extract(chunk, REACTIONS, 1)).alias("reactions"),
+        grouped_count(F.regexp_extract(chunk, COMMENTS, 1)).alias("comments"),
     )
     return out.withColumn("estimated_date", F.date_format(estimated_date(F.col("_at"), F.col("estimated_age_days")), "yyyy-MM-dd")).drop("_at")
 
@@ -53,7 +61,7 @@ def media(pages: DataFrame, html: str, wanted: DataFrame, page: str) -> DataFram
 
     wanted: page, url. A link is found by the activity number in it, else whole; a post without one has no media.
     """
-    number = F.regexp_extract("url", r"-activity-(\d+)", 1)
+    number = F.regexp_extract("url", ACTIVITY, 1)
     find = F.when(number != "", F.concat(F.lit('href="[^"]*-activity-'), number, F.lit('[^"]*"'))).otherwise(F.concat(F.lit(r'href="\Q'), F.col("url"), F.lit(r'\E"')))
     spots = wanted.join(pages.select(page, F.col(html).alias("_html")), page).withColumn("at", F.regexp_instr("_html", find)).select(page, "url", "at")
     order = Window.partitionBy(page).orderBy("at", "url")

@@ -18,6 +18,10 @@ ENTITIES = (
 )
 #: An image URL with one of these is no article image.
 BAD_IMAGE_MARKS = ("gstatic.com", "news.google", "googleusercontent", "branding", "logo", "favicon", "default", "placeholder")
+#: Patterns of a page's images.
+OG_IMAGE = r"""(?i)<meta\b[^>]*\bproperty=["']og:image["'][^>]*>"""
+OG_CONTENT = r"""(?i)\bcontent=["']([^"']+)["']"""
+FIRST_IMAGE = r"""(?i)<img[^>]+src=["']([^"']+)["']"""
 #: Alert levels as shown.
 ALERT_LABELS = {"Alto": "High", "Medio": "Medium", "Baixo": "Low"}
 
@@ -101,12 +105,12 @@ def display_text(summary: Column, title: Column, description: Column) -> Column:
 
 
 def og_image(page: Column) -> Column:
-    tag = F.regexp_extract(page, r"""(?i)<meta\b[^>]*\bproperty=["']og:image["'][^>]*>""", 0)
-    return F.regexp_extract(tag, r"""(?i)\bcontent=["']([^"']+)["']""", 1)
+    tag = F.regexp_extract(page, OG_IMAGE, 0)
+    return F.regexp_extract(tag, OG_CONTENT, 1)
 
 
 def first_image(page: Column) -> Column:
-    return F.regexp_extract(page, r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1)
+    return F.regexp_extract(page, FIRST_IMAGE, 1)
 
 
 def image_ok(url: Column) -> Column:

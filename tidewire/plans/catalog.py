@@ -29,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _alternation(words: str) -> str:
+def _alternation(words: tuple[str, ...]) -> str:
     return rules.pattern(words).replace("'", "''")
 
 
