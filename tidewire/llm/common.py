@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Rows that a mapper turns into Python objects at once. (Spark bounds a batch's bytes by spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set.)
-BATCH_ROWS = 500
+#: Rows and bytes that a mapper turns into Python objects at once; a larger row goes alone.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -29,11 +29,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most `rows` rows; an empty batch as it is."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and, but for a single row, `size` bytes; an empty batch as it is."""
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < max(1, batch.num_rows):
+            k = min(rows, max(1, batch.num_rows - at))
+            while k > 1 and batch.slice(at, k).nbytes > size:
+                k = -(-k // 2)
+            yield batch.slice(at, k)
+            at += k
 
 
 @contextlib.contextmanager
