@@ -24,14 +24,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tidewire.llm.common import ship, sliced, table
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 #: Entries of the broadcast table, what a sketch tracks, and the longest pre-token that is kept.
-FREQUENT, TRACKED, KEPT_CHARS = 32_768, 131_072, 48
+FREQUENT, TRACKED, KEPT_CHARS = 32_768, 65_536, 48
 #: Sketches of the scan's tasks meet in so many groups before the last one.
 LANES = 64
 #: Entries of a worker's cache.
@@ -58,23 +60,39 @@ def tokenizer(path: str | None):
     return Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
 
 
-def encoded_length(piece: str, path: str | None = None) -> int:
-    return len(tokenizer(path).encode(piece, add_special_tokens=False).ids)
+@lru_cache(4)
+def _model(path: str | None):
+    return tokenizer(path).model
 
 
-#: The worker's cache: the second tier.
-_kept_length = lru_cache(CACHED)(encoded_length)
+_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+
+
+def encoded_length(piece: str, path: str | None = None) -> int:
+    """Of a pre-token, by the vocabulary's merges alone."""
+    spelled = piece if piece.isascii() and piece.isprintable() else _bytes.pre_tokenize_str(piece)[0][0]
+    return len(_model(path).tokenize(spelled))
 
 
 class Lengths(dict):
-    """Lengths of frequent pre-tokens; others are encoded, and short ones kept in the worker's cache."""
+    """Lengths of frequent pre-tokens; others are encoded, and short ones kept beside them until CACHED are: the second tier, which then begins anew."""
 
     def __init__(self, pieces: str, lengths: bytes, path: str | None = None):
         super().__init__(zip(pieces.split("\n"), lengths, strict=True) if pieces else ())
-        self.path = path
+        self.path, self.frequent, self.room = path, None, CACHED
 
     def __missing__(self, piece: str) -> int:
-        return (_kept_length if len(piece) <= KEPT_CHARS else encoded_length)(piece, self.path)
+        n = encoded_length(piece, self.path)
+        if len(piece) <= KEPT_CHARS:
+            if self.frequent is None:
+                self.frequent = dict(self)
+            if not self.room:
+                self.clear()
+                self.update(self.frequent)
+                self.room = CACHED
+            self[piece] = n
+            self.room -= 1
+        return n
 
     def _plain(self, text: str) -> int:
         low = text.lower()
@@ -88,7 +106,7 @@ class Lengths(dict):
         plain, n = [], 0
         for word in _blank.splititer(text):
             if _odd.search(word):
-                n += self.__missing__(word)
+                n += len(tokenizer(self.path).encode(word, add_special_tokens=False))
             else:
                 plain.append(word)
         return n + self._plain(" ".join(plain))
@@ -102,12 +120,17 @@ class Lengths(dict):
         return len(stretches) - 1 + sum(map(self._stretch, stretches))
 
 
+@lru_cache(1)
+def lengths_of(known: Broadcast, path: str | None) -> Lengths:
+    """The worker's table, kept from task to task."""
+    return Lengths(*known.value, path)
+
+
 def frequent_lengths(docs: DataFrame, path: str | None = None, most: int = FREQUENT) -> tuple[str, bytes]:
     """The commonest pre-tokens of all texts, by line, and their lengths; at most `most` entries of at most KEPT_CHARS characters."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(PRE_TOKEN), F.lit(0))
-    words = F.filter(words, lambda w: F.length(w) <= KEPT_CHARS)
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(PRE_TOKEN), F.lit(0)))
     sketches = (
-        docs.select(F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"), F.explode(words).alias("word"))
+        docs.select(F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"), words.alias("word")).where(F.length("word") <= KEPT_CHARS)
         .groupBy("lane").agg(F.expr(f"approx_top_k_accumulate(word, {TRACKED})").alias("sketch"))
     )
     # grouped, as there is nothing to combine without rows
@@ -123,7 +146,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, f
     known = spark.sparkContext.broadcast(frequent_lengths(docs, path, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(*known.value, path)
+        lengths = lengths_of(known, path)
         for batch in sliced(batches):
             texts = batch.column(1)
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
