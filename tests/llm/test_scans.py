@@ -271,7 +271,12 @@ def plain_detections(low):
 
 def test_license_rules_match_brute_force(texts):
     """The same detections as without keywords, passages and lines."""
-    low = sorted((t.lower() for t in texts.values() if t), key=len)[:40]
+    by_size = sorted((t.lower() for t in texts.values() if t), key=len)
+    low = by_size[:40] + by_size[-12:]
+    glued = "".join(by_size[len(by_size) // 2].split())
+    low += [f"{glued}licensed{glued}https://opensource.org/licenses/mit/{glued * 3}license/https://opensource.org/licenses/mit-https://opensource.org/licenses/isc/{'x' * 700}",
+            "https://www.gnu.org/licenses/gpl-3.0" * 60, "https://opensource.org/licenses/mit " + "/license" * 90 + "https://opensource.org/licenses/mit", "mitlicense" * 80 + "-mit license" * 30 + "\x85licensed under mit" * 9,
+            f"{'y' * 231}mit license{'z' * 240}", f"{'y' * 231} mit license {'z' * 240}"]
     low += [f"x {'y ' * 300} spdx-license-identifier: {'foo or ' * 80}mit and {'z ' * 200}", f"license{' ' * 500}=  'mit'\nlicense: \"isc\" bare mit no attribution", "https://www.apache.org/licenses/license-2.0" + "/x" * 400 + " end", f"{'w ' * 400} released under the mit license. {'w ' * 400} mit no attribution"]
     for t in low:
         assert licenses.detections(t) == plain_detections(t), t
@@ -280,12 +285,26 @@ def test_license_rules_match_brute_force(texts):
 
 def test_only_wide_rules_are_long():
     """Beside the wide ones, only rules that end in a run without white space may match more than REACH characters."""
-    for _, rule, _, _, gates, wide in licenses.rules():
-        longest = re._parser.parse(rule.pattern).getwidth()[1]
-        assert wide or longest <= licenses.REACH or "://" in gates, rule.pattern
+    for _, rule, _, _, _, wide, head in licenses.rules():
+        longest = re._parser.parse((head or rule).pattern).getwidth()[1]
+        assert wide or longest <= licenses.REACH, rule.pattern
         assert not wide or "\n" not in rule.pattern and r"\s" not in rule.pattern
 
 
+def test_license_time_grows_as_the_text():
+    """A text without white space, with keywords all over it."""
+    part = "function(a,b){return/*licensedundermit*/a.licenses[b]||copyright(c)2019+https://opensource.org/licenses/mit/x};"
+
+    def seconds(n):
+        began = time.process_time()
+        assert licenses.detections(part * n)
+        return time.process_time() - began
+
+    seconds(20)
+    small, large = seconds(1000), seconds(9000)
+    assert large < 16 * small + 0.5 and large < 20
+
+
 def test_license_odd_rows(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs).count() == odd_docs.count()
     assert licenses.scan_licenses(no_docs).count() == 0

@@ -136,18 +136,20 @@ NOTICES = (
 KEYWORDS = ("licen", "license", "licens", "copyright", "reserved", "public domain", "proprietary", "prohibited", "commercial", "permission", "redistribut", "creative commons", "internal use", "no part of", "terms of", "contributors", "(c)", "©", "spdx", "spdx-license-identifier:", "no attribution", "://", "cc by", "cc-by", "cc0", "gpl", "bsd", "openrail", "open rail")
 
 
-#: Matches are no longer than this on either side of a keyword that they hold, but for what runs on to the next white space (URLs), and
-#: for wide rules (any number of spaces or of terms), whose matches stay within a line.
+#: Matches are no longer than this on either side of a keyword that they hold, but for the run that ends a URL, which is found by
+#: itself, and for wide rules (any number of spaces or of terms), whose matches stay within a line.
 REACH = 240
+#: What a URL's match runs on with.
+RUN = r"[\w./-]*"
 #: Stands among the keywords for what the wide rules of assignments begin with.
 ASSIGNED = "license="
 _ASSIGNED = re.compile(r"license\"? *[:=] *[\"']")
-_GAP = re.compile(r"\s")
+_RUN = re.compile(RUN)
 
 
 @cache
-def rules() -> list[tuple[str, re.Pattern, int, float, tuple[str, ...], bool]]:
-    """label, compiled regex, priority, confidence, keywords that must all occur, wide; by falling priority."""
+def rules() -> list[tuple[str, re.Pattern, int, float, tuple[str, ...], bool, re.Pattern | None]]:
+    """label, compiled regex, priority, confidence, keywords that must all occur, wide, what stands before a run that ends the match (or None); by falling priority."""
     out = []
     for line in FAMILIES.strip().splitlines():
         label, names, spdx, urls = (x.strip() for x in line.split(" | "))
@@ -155,8 +157,9 @@ def rules() -> list[tuple[str, re.Pattern, int, float, tuple[str, ...], bool]]:
         for kind, form, priority, confidence in FORMS:
             for term in terms[kind].split(" ; "):
                 gates = _gates(form.replace("@@", "()")) + _gates(term) + (ASSIGNED,) * ("[:=]" in form)
-                out.append((label, re.compile(form.replace("@@", f"(?:{term})")), priority, confidence, gates, " *" in form))
-    out += [(label, re.compile(rule), priority, confidence, _gates(rule), False) for label, rule, priority, confidence in NOTICES]
+                whole = form.replace("@@", f"(?:{term})")
+                out.append((label, re.compile(whole), priority, confidence, gates, " *" in form, re.compile(whole.removesuffix(RUN)) if form.endswith(RUN) else None))
+    out += [(label, re.compile(rule), priority, confidence, _gates(rule), False, None) for label, rule, priority, confidence in NOTICES]
     return sorted(out, key=lambda r: -r[2])
 
 
@@ -201,12 +204,15 @@ def _merged(stretches: Iterator[tuple[int, int, str]]) -> list[tuple[int, int, s
 
 
 def passages(text: str) -> list[tuple[int, int, set[str]]]:
-    """Disjoint stretches of REACH characters around keywords, run on to the next white space, with their keywords."""
-    def around(at: int) -> tuple[int, int]:
-        end = _GAP.search(text, min(len(text), at + REACH))
-        return max(0, at - REACH), end.start() if end else len(text)
+    """Disjoint stretches of REACH characters around keywords, and what a rule looks ahead at, with their keywords."""
+    return _merged((max(0, at - REACH), min(len(text), at + REACH + 8), k) for at, k in _spots(text))
 
-    return _merged((*around(at), k) for at, k in _spots(text))
+
+def _run_on(text: str, head: re.Pattern, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Matches of head that begin from low on, each with the run after it, as far as that goes; none begins within another."""
+    while m := head.search(text, low, high):
+        low = _RUN.match(text, m.end()).end()
+        yield m.start(), low
 
 
 def lines(text: str) -> list[tuple[int, int, set[str]]]:
@@ -224,11 +230,18 @@ def detections(text: str) -> list[tuple[int, int, str, int, float]]:
     """Surviving detections in lower-cased text: start, stop, label, priority, confidence."""
     found = []
     near = passages(text)
+    done: dict[int, int] = {}  # where a rule's last run ended
     for wide, stretches in ((False, near), (True, lines(text) if near else [])):
         for low, high, seen in stretches:
-            for label, rule, priority, confidence, gates, whole_line in rules():
-                if whole_line == wide and all(k in seen for k in gates):
+            for i, (label, rule, priority, confidence, gates, whole_line, head) in enumerate(rules()):
+                if whole_line != wide or not all(k in seen for k in gates):
+                    continue
+                if head is None:
                     found += [(m.start(), m.end(), label, priority, confidence) for m in rule.finditer(text, low, high)]
+                else:
+                    for start, stop in _run_on(text, head, max(low, done.get(i, 0)), high):
+                        found.append((start, stop, label, priority, confidence))
+                        done[i] = stop
     found.sort(key=lambda d: (-d[3], d[0], -d[1], d[2]))
     kept: list[tuple[int, int, str, int, float]] = []
     for _, group in groupby(found, key=lambda d: d[3]):
