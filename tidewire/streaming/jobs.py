@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.operators.store import insert_new
-from tidewire.plans.storage import shared_folder
+from tidewire.plans.storage import delete, gone_at_exit, shared_folder
 
 #: Statuses that trip the breaker at once, failures in a row that do, and seconds.
 TRIP_AT_ONCE, TRIP_AFTER, COOLDOWN, LEAST_WAIT, MOST_WAIT = (403, 429, 503, 999), 3, 60.0, 1.0, 300.0
@@ -129,9 +129,10 @@ def ingest_windowed(stream: DataFrame, store: str, checkpoint: str, clock: Calla
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and gives its output as a table in the shared folder."""
+    """Runs a stream over what is there and gives its output as a table in the shared folder, until the driver ends; its state goes at once."""
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    gone_at_exit(spark, folder)
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     else:
@@ -140,4 +141,5 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
         query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    delete(spark, f"{folder}/state")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
