@@ -50,12 +50,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions inside send at most `rows` rows in an Arrow batch; then the session has its own setting again."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    own, now = spark.conf.getAll.get(name), int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, now) if now > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
 
 
 class Stored:
