@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut_lineage, ship, table
+from tidewire.llm.common import Stored, cut_lineage, ship, table
 
 K, EVERY = 20, 20
 BITS, SAMPLE, TARGET = 128, 3000, 0.985
@@ -105,7 +105,8 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_col: str = "vec_id", vec
     """queries: a condition on vec_id. query_id, rank, vec_id, score of each query's k nearest found."""
     spark = ship(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
-    distinct = cut_lineage(rows.distinct())
+    stored = Stored(rows.distinct())
+    distinct = stored.rows
     same = distinct.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
     most = k + same  # what an answer is taken from: of these, `same` at most have the query's own id
     # least ids of equal vectors, in two steps, as one vector may have a third of all rows
@@ -113,6 +114,7 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_col: str = "vec_id", vec
     least = distinct.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).withColumn("n", F.row_number().over(part)).where(F.col("n") <= most)
     least = least.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
     index = cut_lineage(least.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    stored.drop()
     asked = rows.where(queries)
     questions = cut_lineage(asked.groupBy("v").agg(F.min("vec_id").alias("q")))
     sample = np.array([r.v for r in index.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()])

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.plans.storage import Stored, arrow_rows, cut_lineage  # noqa: F401
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -41,16 +40,15 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int
             at += k
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Actions inside send at most `rows` rows in an Arrow batch; then the session has its own setting again."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def over_texts(make: Callable[[list], list], kind: str) -> Callable[..., Column]:
+    """A function of a text column: make() gets lists of texts as sliced() bounds them, whatever the session's batches are. kind: boolean or string."""
+    arrow = {"boolean": pa.bool_(), "string": pa.string()}[kind]
+
+    def run(texts):
+        parts = [pa.array(make(part.column(0).to_pylist()), arrow) for part in sliced([pa.RecordBatch.from_arrays([texts], names=["text"])])]
+        return pa.concat_arrays(parts)
+
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -64,54 +62,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a local session without spark.checkpoint.dir gets one of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidewire-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-class Stored:
-    """A table in the checkpoint folder, compact and read by column, until drop() or the end of the driver."""
-
-    kept: set[Stored] = set()
-
-    def __init__(self, df: DataFrame, batch_rows: int = 10_000):
-        """batch_rows: of the Arrow batches while it is written."""
-        self.spark = df.sparkSession
-        self.path = f"{checkpoint_folder(self.spark)}/stored-{uuid.uuid4().hex}"
-        with arrow_rows(self.spark, batch_rows):
-            df.write.parquet(self.path)
-        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
-        Stored.kept.add(self)
-
-    def drop(self) -> None:
-        Stored.kept.discard(self)
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _drop_kept() -> None:
-    """What results still read when the driver ends; a session that has ended keeps its files."""
-    for stored in list(Stored.kept):
-        with contextlib.suppress(Exception):
-            stored.drop()
-
-
 # Vectorised word and shingle hashes ---------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

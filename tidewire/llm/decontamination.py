@@ -25,12 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import mix, ship, sliced, table, word_hashes
+from tidewire.llm.common import mix, over_texts, ship, sliced, table, word_hashes
 
 TOLERANCE = 0.2
 WALKS, TABLES, PLACES = 5, 10, 2
@@ -257,17 +256,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows in which no item is found, with the same columns."""
-    from pyspark.sql.functions import pandas_udf
-
     spark = ship(docs.sparkSession)
     for block in item_blocks(items):
         shared = spark.sparkContext.broadcast(Items(block))
-
-        def clean(texts, shared=shared):
-            return pd.Series([not hits for hits in shared.value.search(list(texts))], dtype=bool)
-
-        clean.__annotations__ = {}
-        docs = docs.where(pandas_udf(clean, "boolean", functionType=200)(text_col))  # SCALAR
+        clean = over_texts(lambda texts, shared=shared: [not hits for hits in shared.value.search(texts)], "boolean")
+        docs = docs.where(clean(text_col))
     return docs
 
 

@@ -91,7 +91,7 @@ afl-3.0 | academic free license,? (?:version|v\.?)? ?3\.0 | afl-3\.0 | opensourc
 w3c | w3c software (?:notice and )?license | w3c | w3\.org/consortium/legal/(?:2015/)?copyright-software
 x11 | x11 license ; x consortium license | x11 | xfree86\.org/.{0,20}license
 vim | vim license | vim | vimdoc\.sourceforge\.net/htmldoc/uganda
-openrail | (?:creativeml|bigscience) open ?rail(?:-m|\+\+-m)?(?: license)? ; responsible ai license | openrail(?:\+\+)? | huggingface\.co/spaces/[^ ]*license
+openrail | (?:creativeml|bigscience) open ?rail(?:-m|\+\+-m)?(?: license)? ; responsible ai license | openrail(?:\+\+)? | huggingface\.co/spaces/[^ ]{0,120}license
 llama | llama \d(?:\.\d)? community license | llama\d | (?:ai|llama)\.meta\.com/.{0,20}license
 """
 

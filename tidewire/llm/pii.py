@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.boosting import BoostedTrees, platt
-from tidewire.llm.common import ship, sliced, table
+from tidewire.llm.common import over_texts, ship, sliced, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "mail_words", "local_phone")
@@ -270,19 +270,9 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def redacted(docs: DataFrame, selector: Selector, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """The same rows and columns with selected spans redacted and n_chars renewed."""
+    """The same rows and columns with selected spans redacted; a column of the name size_col, in these very letters, gets the new text's length."""
     ship(docs.sparkSession)
-
-    def run(texts: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in texts:
-            yield pd.Series([redact(t, [(a, b, k) for k, a, b in spans_of(t, selector)[1]]) for t in batch], dtype=object)
-
-    from pyspark.sql.functions import pandas_udf
-
-    run.__annotations__ = {}
-    clean = pandas_udf(run, "string", functionType=204)  # SCALAR_ITER
+    clean = over_texts(lambda texts: [redact(t, [(a, b, k) for k, a, b in spans_of(t, selector)[1]]) for t in texts], "string")
     out = docs.withColumn(text_col, clean(text_col))
     return out.withColumn(size_col, F.length(text_col).cast("long")) if size_col in docs.columns else out
 

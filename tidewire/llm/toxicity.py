@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut_lineage, ship, shingles, sliced, table, word_hashes
+from tidewire.llm.common import cut_lineage, over_texts, ship, shingles, sliced, table, word_hashes
 
 TRAIN_DOCS = 12_000
 #: Strength of the default coefficients, in rows: a handful of labels moves them little.
@@ -242,15 +242,8 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
 
 def without_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with the same columns."""
-    from pyspark.sql.functions import pandas_udf
-
     ship(docs.sparkSession)
-
-    def keep(texts):
-        return texts.map(lambda t: grammar.score(t) < 0.5).astype(bool)
-
-    keep.__annotations__ = {}
-    return docs.where(pandas_udf(keep, "boolean", functionType=200)(text_col))  # SCALAR
+    return docs.where(over_texts(lambda texts: [grammar.score(t) < 0.5 for t in texts], "boolean")(text_col))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
