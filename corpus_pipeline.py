@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 again as the next one's docs; all but the last keep the columns of documents, and further ones whatever their
 names. Nulls: a null text is kept by every stage and packed as an end id. Ties and repeated rows: of the rows of a
 component the least id stays, of repeated rows (equal id and equal word set) one. Very long texts go through whole.
-An empty table gives no rows. run() deletes each stage's folder once the next one is written; the last one stays
+An empty table gives no rows. Texts reach Python in slices bounded by rows and bytes; no setting of the session changes. run() deletes each stage's folder once the next one is written; the last one stays
 until the driver ends.
 """
 
@@ -13,39 +13,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import decontamination, ngram_join, packing, pii, toxicity
-from tidewire.llm.common import BATCH_ROWS, Stored, ship, table
-
-
-def _settings(spark: SparkSession) -> SparkSession:
-    """The pipeline's own session setting: texts go to Python in small Arrow batches, as a stage's model, the batch and what is written share an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return ship(spark)
+from tidewire.llm.common import Stored, ship, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores below 0.5 stay; it learns from the labelled ones among docs."""
-    _settings(spark)
+    ship(spark)
     return toxicity.without_toxic(docs, toxicity.fit_grammar(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each component stays; documents without words all stay."""
-    _settings(spark)
+    ship(spark)
     return ngram_join.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _settings(spark)
+    ship(spark)
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _settings(spark)
+    ship(spark)
     return pii.redacted(docs, pii.fit_selector(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _settings(spark)
+    ship(spark)
     return packing.pack_documents(docs)
 
 
@@ -66,7 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            stored = Stored(docs, BATCH_ROWS)
+            stored = Stored(docs)
             docs = stored.rows
             if before:
                 before.drop()
