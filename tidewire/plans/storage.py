@@ -46,6 +46,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(found)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    files, found = _located(spark, path)
+    if not files.rename(found, _located(spark, to)[1]):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions inside send at most `rows` rows in an Arrow batch; then the session has its own setting again."""

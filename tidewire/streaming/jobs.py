@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewire.operators.store import insert_new
+from tidewire.operators.keyed import KeyedStore
 from tidewire.plans.storage import delete, gone_at_exit, shared_folder
 
 #: Statuses that trip the breaker at once, failures in a row that do, and seconds.
@@ -81,13 +81,11 @@ def breaker_batch(fetches: DataFrame) -> DataFrame:
 
 
 def ingest(stream: DataFrame, store: str, order: list[str], checkpoint: str) -> None:
-    """Appends rows of unknown article_hash to a Parquet store, a batch at a time; a batch that comes again adds nothing."""
-    spark = stream.sparkSession
-    if not spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(store)):
-        spark.createDataFrame([], stream.schema).write.parquet(store)
+    """Appends rows of unknown article_hash to a store by key, a batch at a time; a batch that comes again adds nothing, and each reads only the buckets that may hold its hashes."""
+    kept = KeyedStore(stream.sparkSession, store, stream.schema, "article_hash")
 
     def add(batch: DataFrame, _: int) -> None:
-        insert_new(batch, spark.read.schema(stream.schema).parquet(store), order).write.mode("append").parquet(store)
+        kept.add(batch, order)
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
