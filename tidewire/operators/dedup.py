@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.dates import sort_key
 from tidewire.functions.text import canonical_url, lookup_title_hash, nz
+from tidewire.operators.anchors import first_for_a_while
+from tidewire.operators.store import queue, visible
 
 
 def unknown_raw_links(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -57,6 +59,40 @@ def run_titles(articles: DataFrame, since: str, mode: str = "reference") -> Data
     return articles.select("article_hash").join(found, "article_hash", "left").select("article_hash", F.when(F.col("match").isNull(), "new").otherwise("duplicate").alias("dedup_decision"), F.when(F.col("match").isNotNull(), F.lit(1)).alias("dedup_layer"), F.col("match").alias("dedup_match"))
 
 
+def _moment(at: Column) -> Column:
+    """Microseconds of an ISO time with a zone."""
+    return F.unix_micros(F.try_to_timestamp(at))
+
+
+def rolling_titles(articles: DataFrame, hours: float = 72) -> DataFrame:
+    """article_hash, dedup_decision, dedup_match: of the rows with one title the first collected stays, and hides the others for `hours`; then the next one stays."""
+    rows = articles.select(lookup_title_hash(F.col("title")).alias("key"), _moment(F.col("collected_at")).alias("at"), F.col("article_hash").alias("id"))
+    found = first_for_a_while(rows, int(hours * 3_600_000_000))
+    return found.select(F.col("id").alias("article_hash"), F.when(F.col("match").isNull(), "new").otherwise("duplicate").alias("dedup_decision"), F.col("match").alias("dedup_match"))
+
+
+def run_pending(articles: DataFrame, hours: float = 72, mode: str = "keep_first", since: str = "") -> DataFrame:
+    """What a run writes to the pending rows of the queue: article_hash, dedup_decision, dedup_layer, dedup_reason, dedup_match_hash, dedup_score.
+
+    keep_first: visible rows outside the queue stay as they are, and hide pending ones of their title for `hours` as kept ones do.
+    reference: any other visible row with the title since `since` hides a row, so both of a pair may go; the match is the newest.
+    """
+    pending = queue(articles, "pending")
+    if mode == "keep_first":
+        key = lambda frame: frame.select(lookup_title_hash(F.col("title")).alias("key"), _moment(F.col("collected_at")).alias("at"), F.col("article_hash").alias("id"))
+        others = articles.join(pending.select("article_hash"), "article_hash", "left_anti")
+        stays = visible(others).where(~F.col("dedup_decision").eqNullSafe("duplicate"))
+        found = first_for_a_while(key(pending), int(hours * 3_600_000_000), key(stays)).select(F.col("id").alias("article_hash"), "match")
+    else:
+        hits = title_duplicates(articles, since)
+        found = pending.select("article_hash").join(hits, "article_hash", "left")
+    hit = F.col("match").isNotNull()
+    return found.select(
+        "article_hash", F.when(hit, "duplicate").otherwise("new").alias("dedup_decision"), F.when(hit, 1).alias("dedup_layer"),
+        F.when(hit, "same_title").alias("dedup_reason"), F.col("match").alias("dedup_match_hash"), F.lit(None).cast("double").alias("dedup_score"),
+    )
+
+
 def primary_by_id(items: DataFrame) -> DataFrame:
     """id_hash, primary: the earliest new row."""
     return items.where("status = 'new'").groupBy("id_hash").agg(F.min_by("rowid", F.struct("created_at", "rowid")).alias("primary"))

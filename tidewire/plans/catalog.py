@@ -588,4 +588,4 @@ def st_breaker_stream(spark, sf):
     return jobs.drained(jobs.breaker(rows))
 
 
-from tidewire.plans import serving  # noqa: E402,F401  registers its queries here
+from tidewire.plans import keeping, serving  # noqa: E402,F401  register their queries here
