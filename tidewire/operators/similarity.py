@@ -35,6 +35,21 @@ def similar_classes(classes: DataFrame, over: float) -> DataFrame:
     return out.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") > over)
 
 
+def similar_between(left: DataFrame, right: DataFrame, over: float) -> DataFrame:
+    """a, b, score for classes (class_id, tokens) of left and right with a Jaccard similarity over `over`; two without words are equal."""
+    both = left.select("class_id", "tokens", F.lit(0).alias("side")).unionByName(right.select("class_id", "tokens", F.lit(1).alias("side")))
+    flat = both.select("class_id", "side", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    sides = flat.groupBy("token").agg(F.count("*").alias("df"), F.count_distinct("side").alias("sides"))
+    order = Window.partitionBy("class_id", "side").orderBy("df", "token")
+    lists = flat.join(sides, "token").withColumn("pos", F.row_number().over(order)).where((F.col("pos") <= F.col("n") - F.floor(F.lit(over) * F.col("n"))) & (F.col("sides") == 2))
+    a, b = lists.where("side = 0").selectExpr("token", "class_id a", "n na", "pos pa"), lists.where("side = 1").selectExpr("token", "class_id b", "n nb", "pos pb")
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    pairs = a.join(b, "token").where(most > F.lit(over) / (1 + over) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    pairs = pairs.join(left.selectExpr("class_id a", "tokens ta"), "a").join(right.selectExpr("class_id b", "tokens tb"), "b")
+    empty = left.where(F.size("tokens") == 0).selectExpr("class_id a", "tokens").join(right.where(F.size("tokens") == 0).selectExpr("class_id b", "tokens"), "tokens").select("a", "b", F.lit(1.0).alias("score"))
+    return pairs.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") > over).union(empty)
+
+
 def first_similar(items: DataFrame, over: float = 0.4, id_col: str = "rowid", text_col: str = "title") -> DataFrame:
     """id, match: the earliest row before each row whose title is similar; a row without words is like any other without."""
     classes = title_classes(items, id_col, text_col)

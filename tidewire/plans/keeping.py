@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import dedup
+from tidewire.operators import cascade, dedup
 from tidewire.operators.anchors import first_for_a_while
 from tidewire.operators.keyed import KeyedStore
 from tidewire.plans import views
@@ -72,3 +72,16 @@ CASE WHEN match IS NOT NULL THEN 'same_title' END AS dedup_reason, match AS dedu
 def dd2_run(spark, sf):
     """The pending queue, with what is decided already standing."""
     return dedup.run_pending(views.articles(spark, sf))
+
+
+@query()
+def dd5_batches(spark, sf):
+    """The items and their vectors through the cascade in four batches, with windows of two, one and two hours; held against a scan of one row after the other in the tests."""
+    vectors = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("rowid"), "embedding")
+    items = views.items(spark, sf).drop("status", "summarized_at").join(vectors, "rowid", "left")
+    last = items.agg(F.max("rowid")).first()[0]
+    decided = cascade.Decisions(spark, _new_folder(spark, "decisions"), (2, 1, 2), buckets=16)
+    for batch in range(4):
+        some = items.where(F.floor(F.col("rowid") * 4 / (last + 1)) == batch)
+        decided.feed(some, some.agg(F.max("created_at")).first()[0])
+    return decided.items.select("rowid", "status", "layer")
