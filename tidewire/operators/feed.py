@@ -48,16 +48,16 @@ def within(since: str | None, until: str | None) -> Column:
     return out
 
 
-def latest(articles: DataFrame, limit: object = None, kind: str | None = None, cursor: str | None = None) -> DataFrame:
-    """The newest public rows, of one kind if given."""
+def latest(articles: DataFrame, limit: object = None, kind: str | None = None, cursor: str | None = None, more: int = 0) -> DataFrame:
+    """The newest public rows, of one kind if given; `more` rows over the limit."""
     rows = keyed(public(articles)).where(after(cursor))
     if checked_kind(kind):
         rows = rows.where(F.coalesce(F.col("content_kind"), F.lit("news")) == kind)
-    return rows.orderBy(F.desc("sort_key")).limit(checked_limit(limit))
+    return rows.orderBy(F.desc("sort_key")).limit(checked_limit(limit) + more)
 
 
-def of_companies(articles: DataFrame, names: list[str], kind: str | None = None, since: str | None = None, until: str | None = None, limit: object = None, cursor: str | None = None) -> DataFrame:
-    """The newest public rows of any of the companies; a row under several is kept under the first asked for."""
+def of_companies(articles: DataFrame, names: list[str], kind: str | None = None, since: str | None = None, until: str | None = None, limit: object = None, cursor: str | None = None, more: int = 0) -> DataFrame:
+    """The newest public rows of any of the companies; a row under several is kept under the first asked for; `more` rows over the limit."""
     names = [n for n in names if n]
     if not names:
         raise ValueError("at least one company")
@@ -67,7 +67,7 @@ def of_companies(articles: DataFrame, names: list[str], kind: str | None = None,
         rows = rows.where(F.coalesce(F.col("content_kind"), F.lit("news")) == kind)
     asked = F.array(*map(F.lit, names))
     rows = rows.withColumn("company", F.get(F.filter(asked, lambda a: F.array_contains(companies(F.col("tag")), a)), 0)).where("company is not null")
-    return rows.orderBy(F.desc("sort_key")).limit(n)
+    return rows.orderBy(F.desc("sort_key")).limit(n + more)
 
 
 def store_companies(company_rows: DataFrame, names: list[str], per_company: int, limit: int) -> DataFrame:
@@ -133,13 +133,12 @@ def articles(rows: DataFrame, params: dict[str, str] | None = None, strict: bool
         kind = None
     if asked.get("company"):
         names = [n.strip() for n in asked["company"].split(",") if n.strip()]
-        page = of_companies(rows, names, kind, asked.get("from"), asked.get("to"), limit, cursor)
+        page = of_companies(rows, names, kind, asked.get("from"), asked.get("to"), limit, cursor, 1)
     else:
-        page = latest(rows, limit, kind, cursor)
-    n, last = page.agg(F.count("*"), F.min("sort_key")).first()
-    keys = page.select("article_hash", "sort_key")
-    shaped = public_shape(page.drop("sort_key")).join(keys, "article_hash").orderBy(F.desc("sort_key"))
-    return shaped, encode_cursor({"sort_key": last}) if n == limit else None
+        page = latest(rows, limit, kind, cursor, 1)
+    shaped = public_shape(page, "sort_key")
+    found = shaped.orderBy(F.desc("sort_key")).collect()  # a page and one row
+    return rows.sparkSession.createDataFrame(found[:limit], shaped.schema), encode_cursor({"sort_key": found[limit - 1].sort_key}) if len(found) > limit else None
 
 
 def home(rows: DataFrame, names: list[str] | None = None, kind: str | None = None, since: str | None = None, until: str | None = None, cursor: str | None = None, per_page: int = 24) -> dict[str, DataFrame]:

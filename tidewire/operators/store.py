@@ -41,8 +41,8 @@ def public(articles: DataFrame) -> DataFrame:
     return articles.where(~F.col("summary_status").eqNullSafe("irrelevant") & ~F.col("dedup_decision").eqNullSafe("duplicate"))
 
 
-def public_shape(articles: DataFrame) -> DataFrame:
-    """The sixteen public fields with defaults; nothing internal."""
+def public_shape(articles: DataFrame, *more: str) -> DataFrame:
+    """The sixteen public fields with defaults, and `more` columns; nothing else internal."""
     has = set(articles.columns)
 
     def text(name: str) -> Column:
@@ -54,7 +54,7 @@ def public_shape(articles: DataFrame) -> DataFrame:
     image = nz(F.col("image_url")) if "image_url" in has else F.lit(None).cast("string")
     images = F.when(F.size("image_urls") > 0, F.col("image_urls")) if "image_urls" in has else F.lit(None).cast("array<string>")
     kind = F.coalesce(F.col("content_kind"), F.lit("news")) if "content_kind" in has else F.lit("news")
-    return articles.select(*(text(c) for c in PUBLIC_TEXT), F.coalesce(images, F.when(image.isNotNull(), F.array(image)), empty).alias("image_urls"), kind.alias("content_kind"), firms.alias("companies"))
+    return articles.select(*(text(c) for c in PUBLIC_TEXT), F.coalesce(images, F.when(image.isNotNull(), F.array(image)), empty).alias("image_urls"), kind.alias("content_kind"), firms.alias("companies"), *more)
 
 
 def insert_new(incoming: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:

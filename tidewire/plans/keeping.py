@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import cascade, dedup
+from tidewire.operators import cascade, dedup, laid_out
 from tidewire.operators.anchors import first_for_a_while
 from tidewire.operators.keyed import KeyedStore
 from tidewire.plans import views
-from tidewire.plans.catalog import A, _LOOKUP, query
+from tidewire.plans.catalog import A, _LOOKUP, _TWO, query
 from tidewire.plans.storage import gone_at_exit, shared_folder
 
 
@@ -85,3 +85,24 @@ def dd5_batches(spark, sf):
         some = items.where(F.floor(F.col("rowid") * 4 / (last + 1)) == batch)
         decided.feed(some, some.agg(F.max("created_at")).first()[0])
     return decided.items.select("rowid", "status", "layer")
+
+
+@query(f"""WITH {A}, p AS (SELECT article_hash, title, sort_key, row_number() OVER (ORDER BY sort_key DESC) AS n FROM pub WHERE coalesce(content_kind, 'news') = 'news')
+SELECT CAST(page AS INTEGER) AS page, article_hash, title, sort_key FROM p, (VALUES (0), (3)) v(page) WHERE n > 20 * page AND n <= 20 * page + 20""")
+def pag_laid_out(spark, sf):
+    """The first and the fourth page of news, out of the slots that hold them."""
+    laid = laid_out.lay_out(views.articles(spark, sf), _new_folder(spark, "feed"), 100)
+    cursor, pages = None, []
+    for n in range(4):
+        page, cursor = laid.page(20, "news", cursor)
+        if n in (0, 3):
+            pages.append(page.select(F.lit(n).alias("page"), "article_hash", "title", "sort_key"))
+    return pages[0].union(pages[1])
+
+
+@query(f"WITH {A} SELECT article_hash, company, sort_key FROM (SELECT article_hash, sort_key, {_TWO} AS company FROM pub) WHERE company IS NOT NULL ORDER BY sort_key DESC LIMIT 30")
+def pag_laid_out_companies(spark, sf):
+    """The newest rows of two companies out of the copy by company, each under the first asked for."""
+    laid = laid_out.lay_out(views.articles(spark, sf), _new_folder(spark, "feed"), 100)
+    page, _ = laid.page(30, names=["src0", "src1"])
+    return page.select("article_hash", F.col("companies")[0].alias("company"), "sort_key")
