@@ -31,7 +31,8 @@ def lay_out(articles: DataFrame, path: str, slot_rows: int = SLOT_ROWS) -> LaidO
         slots = max(1, -(-frame.count() // slot_rows))
         ranged = frame.repartitionByRange(slots, *by).withColumn("slot", F.spark_partition_id())
         ranged.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("slot").parquet(f"{path}/{name}")
-        written = articles.sparkSession.read.parquet(f"{path}/{name}")
+        ranged.limit(0).write.mode("overwrite").parquet(f"{path}/{name}_columns")  # what an empty table has no file to tell
+        written = articles.sparkSession.read.schema(ranged.schema).parquet(f"{path}/{name}")
         counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
         manifest = written.groupBy(*order, "slot").agg(F.min("sort_key").alias("low"), F.max("sort_key").alias("high"), F.count("*").alias("n"), *counts)
         manifest.repartitionByRange(*order, "high").write.mode("overwrite").parquet(f"{path}/{name}_manifest")
@@ -43,7 +44,7 @@ class LaidOut:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.slots = spark, path, []
-        self._schemas = {n: spark.read.parquet(f"{path}/{n}").schema for n in ("latest", "companies")}
+        self._schemas = {n: spark.read.parquet(f"{path}/{n}_columns").schema for n in ("latest", "companies")}
         self._manifests = {n: spark.read.parquet(f"{path}/{n}_manifest") for n in ("latest", "companies")}
 
     def _chosen(self, name: str, names: list[str], kind: str | None, below: str | None, since: str | None, until: str | None, take: int) -> list[int]:
