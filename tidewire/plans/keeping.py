@@ -10,8 +10,9 @@ from tidewire.operators import cascade, dedup, laid_out
 from tidewire.operators.anchors import first_for_a_while
 from tidewire.operators.keyed import KeyedStore
 from tidewire.plans import views
-from tidewire.plans.catalog import A, _LOOKUP, _TWO, query
+from tidewire.plans.catalog import A, I, _LOOKUP, _TWO, query
 from tidewire.plans.storage import gone_at_exit, shared_folder
+from tidewire.streaming import jobs, keyed_state
 
 
 def _new_folder(spark, name: str) -> str:
@@ -106,3 +107,13 @@ def pag_laid_out_companies(spark, sf):
     laid = laid_out.lay_out(views.articles(spark, sf), _new_folder(spark, "feed"), 100)
     page, _ = laid.page(30, names=["src0", "src1"])
     return page.select("article_hash", F.col("companies")[0].alias("company"), "sort_key")
+
+
+@query(f"""WITH RECURSIVE {I}, r AS (SELECT title_hash AS key, CAST(created_at * 1000000 AS BIGINT) AS ts, lpad(CAST(rowid AS VARCHAR), 9, '0') AS id FROM items), {_rolling('r', 1)}
+SELECT CAST(id AS BIGINT) AS rowid, CASE WHEN match IS NULL THEN 'new' ELSE 'dupe' END AS status, CAST(match AS BIGINT) AS match FROM decided""")
+def st_titles_stream(spark, sf):
+    """The items as a stream whose titles are held for an hour."""
+    own = keyed_state.session_with_state(spark)
+    docs = own.readStream.schema(views.read(spark, sf, "documents").schema).parquet(f"{sf}/documents*.parquet")
+    rows = docs.selectExpr("doc_id as rowid", "md5(lower(trim(substring(substring_index(text, '\\n', 1), 1, 120)))) as title_hash", "cast(1704067200 + doc_id * 60 as double) as created_at")
+    return jobs.drained(keyed_state.first_titles(rows, 1)).select("rowid", "status", "match")

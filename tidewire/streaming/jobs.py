@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.operators.keyed import KeyedStore
 from tidewire.plans.storage import delete, gone_at_exit, shared_folder
@@ -49,27 +47,8 @@ def breaker_step(failures: int, blocked_until: float, at: float, status: int, re
     return failures, blocked_until
 
 
-def breaker(fetches: DataFrame) -> DataFrame:
-    """host, id, failures, blocked_until after each response, with state by host. fetches: host, id, at (seconds), status, retry_after.
-
-    Rows of one trigger are taken in the order of time and id.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        out = []
-        for row in rows.itertuples():
-            failures, until = breaker_step(failures, until, row.at, row.status, None if pd.isna(row.retry_after) else row.retry_after)
-            out.append((key[0], row.id, failures, until))
-        state.update((failures, until))
-        yield pd.DataFrame(out, columns=["host", "id", "failures", "blocked_until"])
-
-    return fetches.groupBy("host").applyInPandasWithState(run, "host string, id long, failures long, blocked_until double", "failures long, blocked_until double", "append", GroupStateTimeout.NoTimeout)
-
-
 def breaker_batch(fetches: DataFrame) -> DataFrame:
-    """The same over a table, by gaps and islands: failures count from the last success, and the latest trip since then holds."""
+    """host, id, failures, blocked_until after each response (host, id, at in seconds, status, retry_after), by gaps and islands: failures count from the last success, and the latest trip since then holds."""
     order = Window.partitionBy("host").orderBy("at", "id")
     rows = fetches.withColumn("island", F.sum((F.col("status") < 400).cast("int")).over(order))
     inside = Window.partitionBy("host", "island").orderBy("at", "id")
