@@ -192,3 +192,34 @@ def test_quote(one):
     page = "14,65 EUR -0,07 EUR -0,48 % then 100,00 SEK +1,00 SEK +1,01 %"
     assert tuple(one(lambda c: social.quote(c, "EUR"), page)) == (14.65, -0.48) and tuple(one(lambda c: social.quote(c, "SEK"), page)) == (100.0, 1.01)
     assert one(lambda c: social.quote(c, "USD"), page) is None
+
+
+def test_media_of_a_page_with_many_tags(spark):
+    """Linear in the page: fifty thousand tags, and the same links over and over."""
+    import time
+
+    def page(n):
+        return "".join(f'<a href="https://x/posts/a-activity-{i % 40}?t=1"><img src="https://media.licdn.com/dms/image/{i}/feedshare_x">' for i in range(n))
+
+    def seconds(n):
+        began = time.perf_counter()
+        rows = spark.createDataFrame([("p", page(n))], "page string, html string")
+        wanted = spark.createDataFrame([("p", f"https://x/posts/a-activity-{i}") for i in range(40)], "page string, url string")
+        got = {r.url: r.images for r in social.media(rows, "html", wanted, "page").collect()}
+        assert len(got["https://x/posts/a-activity-0"]) == 1 and len(got["https://x/posts/a-activity-39"]) == n - 39
+        return time.perf_counter() - began
+
+    seconds(100)
+    small, large = seconds(5_000), seconds(50_000)
+    assert large < 12 * small + 3
+
+
+def test_spark_sql_functions_are_inlined(spark):
+    from tidewire.plans import surface
+
+    own = spark.newSession()
+    surface.register(own, {"t": own.createDataFrame([("Breaking:  A b ", " HTTPS://X/A/#f ", '{"summary": 1}', "[1]")], "title string, url string, raw string, odd string")})
+    out = own.sql("SELECT normalize_title(title) AS a, canonicalize_url(url) AS b, cast(parse_llm_json(raw) AS string) AS c, parse_llm_json(odd) IS NULL AS d, title_hash(NULL) IS NULL AS e, jaccard(array(), array()) AS f, cosine(array(0.0), array(1.0)) IS NULL AS g, classify_event(NULL).event_type AS h FROM t")
+    assert "Python" not in out._jdf.queryExecution().toString()
+    assert tuple(out.first()) == ("a b", "https://x/a", '{"summary":1}', True, True, 1.0, True, "Atualizacao")
+    assert "canonicalize_url" not in {f.name for f in spark.catalog.listFunctions()}

@@ -21,6 +21,8 @@ POST_BODY = r"(?s)Report this post[^\n]*\n(.*)"
 POST_MORE = r"(?s)^(.*?)(?:…more|`` ``|\z)"
 REACTIONS = r"\[\s*([\d,]+)\s*\]\([^)]*social-actions-reactions\)"
 COMMENTS = r"\[\s*([\d,]+)\s*Comments?\s*\]\([^)]*social-actions-comments\)"
+HREF = r'href="([^"]*)"'
+MEDIA = r'<img[^>]+>|<video\b[^>]*>|href="[^"]*"'
 ACTIVITY = r"-activity-(\d+)"
 
 
@@ -56,38 +58,52 @@ def recent_posts(found: DataFrame, days: float, cap: int, page: list[str]) -> Da
     return found.where(F.col("estimated_age_days") <= days).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
+def stream_of(pages: DataFrame, html: str, page: str, pattern: str) -> DataFrame:
+    """page, pos, token, href: what a pattern finds in each page, in order, with the link that stands in it."""
+    found = pages.select(page, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("pos", "token"))
+    return found.withColumn("href", F.nullif(F.regexp_extract("token", HREF, 1), F.lit("")))
+
+
+def under_links(stream: DataFrame, marks: DataFrame, page: str) -> DataFrame:
+    """The tokens of a stream that stand after a mark (page, pos, url), each with the url of the last one: an as-of join by place, one running value over the page."""
+    tokens_ = stream.select(page, "pos", F.lit(0).alias("_mark"), "token", F.lit(None).cast("string").alias("url"))
+    both = tokens_.unionByName(marks.select(page, "pos", F.lit(1).alias("_mark"), F.lit(None).cast("string").alias("token"), "url"))
+    order = Window.partitionBy(page).orderBy("pos", "_mark", "url").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("url", F.last("url", ignorenulls=True).over(order)).where("_mark = 0 and url is not null").drop("_mark")
+
+
 def media(pages: DataFrame, html: str, wanted: DataFrame, page: str) -> DataFrame:
-    """page, url, images, videos: what stands between a post's link and the next one's, by offset.
+    """page, url, images, videos: what stands between a post's link and the next wanted one.
 
-    wanted: page, url. A link is found by the activity number in it, else whole; a post without one has no media.
+    wanted: page, url. A link is known by the activity number in it, else whole, and stands where it is first met; a post without one has no media.
     """
-    number = F.regexp_extract("url", ACTIVITY, 1)
-    find = F.when(number != "", F.concat(F.lit('href="[^"]*-activity-'), number, F.lit('[^"]*"'))).otherwise(F.concat(F.lit(r'href="\Q'), F.col("url"), F.lit(r'\E"')))
-    spots = wanted.join(pages.select(page, F.col(html).alias("_html")), page).withColumn("at", F.regexp_instr("_html", find)).select(page, "url", "at")
-    order = Window.partitionBy(page).orderBy("at", "url")
-    spans = spots.where(F.col("at") > 0).withColumn("until", F.lead("at", 1, 2**31 - 1).over(order))
-    pieces = []
-    for kind, pattern in (("image", "<img[^>]+>"), ("video", r"<video\b[^>]*>")):
-        gaps, tags = F.split(html, pattern, -1), F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-        sized = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), tags.alias("tag"))
-        start = F.lit(1)
-        walked = F.aggregate(sized, F.struct(start.alias("at"), F.expr("cast(array() as array<struct<at:int,tag:string>>)").alias("out")), lambda a, x: F.struct((a["at"] + x["gap"] + F.coalesce(F.length(x["tag"]), F.lit(0))).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("at"), x["tag"].alias("tag")))).alias("out")), lambda a: a["out"])
-        tags_at = pages.select(page, F.explode(walked).alias("x")).where("x.tag is not null").select(page, F.col("x.at").alias("spot"), F.col("x.tag").alias("tag"))
-        value = F.regexp_extract("tag", IMAGE, 1) if kind == "image" else F.to_json(best_video(F.col("tag")))
-        pieces.append(tags_at.select(page, "spot", F.lit(kind).alias("kind"), F.nullif(F.replace(value, F.lit("&amp;"), F.lit("&")), F.lit("")).alias("value")).where("value is not null"))
-    found = pieces[0].unionByName(pieces[1])
-    inside = spans.join(found, page).where((F.col("spot") >= F.col("at")) & (F.col("spot") < F.col("until")))
-    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("spot", "value")))), lambda x: x["value"])
+    key = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, ACTIVITY, 1), F.lit("")), F.col(c))
+    stream = stream_of(pages, html, page, MEDIA)
+    asked = wanted.select(page, "url").distinct()
+    marks = stream.where("href is not null").withColumn("_key", key("href")).join(asked.withColumn("_key", key("url")), [page, "_key"]).groupBy(page, "url").agg(F.min("pos").alias("pos"))
+    tags = stream.where(F.col("token").startswith("<"))
+    value = F.when(F.col("token").startswith("<img"), F.regexp_extract("token", IMAGE, 1)).otherwise(F.to_json(best_video(F.col("token"))))
+    kind = F.when(F.col("token").startswith("<img"), "image").otherwise("video")
+    inside = under_links(tags, marks, page).select(page, "url", "pos", kind.alias("kind"), F.nullif(F.replace(value, F.lit("&amp;"), F.lit("&")), F.lit("")).alias("value")).where("value is not null")
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "value")))), lambda x: x["value"])
     got = inside.groupBy(page, "url").agg(listed("image").alias("images"), listed("video").alias("videos"))
     none = F.array().cast("array<string>")
     return wanted.join(got, [page, "url"], "left").select(page, "url", F.coalesce("images", none).alias("images"), F.coalesce("videos", none).alias("videos"))
 
 
-def post_item(found: DataFrame) -> DataFrame:
-    """Posts as feed items; what has no column of its own goes into `extra`."""
+def social_items(pages: DataFrame, markdown: str, html: str, fetched_at: str, page: str, days: float = 30.0, cap: int = 10) -> DataFrame:
+    """Company pages (page, markdown, html, fetched_at) as feed items: the recent posts of the updates section, each with the media under its link."""
+    found = recent_posts(posts(pages.select(page, markdown, fetched_at), markdown, fetched_at), days, cap, [page])
+    shown = media(pages.select(page, html), html, found.select(page, "url"), page)
+    joined = found.join(shown.dropDuplicates([page, "url"]), [page, "url"])
+    return post_item(joined, page, "pos")
+
+
+def post_item(found: DataFrame, *more: str) -> DataFrame:
+    """Posts as feed items; what has no column of its own goes into `extra`. more: further columns that stay."""
     cover = F.coalesce(F.get("images", 0), F.get_json_object(F.get("videos", 0), "$.poster"), F.lit(""))
     return found.select(
-        post_title(F.col("text")).alias("title"), F.col("url").alias("link"), F.col("estimated_date").alias("published_at"),
+        *more, post_title(F.col("text")).alias("title"), F.col("url").alias("link"), F.col("estimated_date").alias("published_at"),
         F.col("text").alias("action_description"), cover.alias("image_url"), F.col("images").alias("image_urls"),
         F.to_json(F.struct("relative_time", "edited", "reactions", "comments", "videos")).alias("extra"),
     )

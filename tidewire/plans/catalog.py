@@ -407,10 +407,11 @@ def vec_cosine(spark, sf):
     return v.join(n, "vec_id").select("vec_id", F.round(s, 6).alias("score"), payloads.similarity_band(s, 0.0, 0.2).alias("band"))
 
 
-def _verdict(part: int) -> str:
+def _verdict(part: int, scoped: bool = True) -> str:
     launch, parts = _alternation(rules.LAUNCH), _alternation(rules.PARTS)
     t = "t"
-    out = f"CASE WHEN regexp_matches({t}, '{_SCOPE}') THEN '{('Atualizacao', 'Baixo')[part]}' WHEN regexp_matches({t}, '{launch}') AND regexp_matches({t}, '{parts}') THEN '{('Lancamento', 'Alto')[part]}' WHEN regexp_matches({t}, '{launch}') THEN '{('Institucional', 'Medio')[part]}'"
+    out = "CASE" + (f" WHEN regexp_matches({t}, '{_SCOPE}') THEN '{('Atualizacao', 'Baixo')[part]}'" if scoped else "")
+    out += f" WHEN regexp_matches({t}, '{launch}') AND regexp_matches({t}, '{parts}') THEN '{('Lancamento', 'Alto')[part]}' WHEN regexp_matches({t}, '{launch}') THEN '{('Institucional', 'Medio')[part]}'"
     for topic in rules.TOPICS:
         out += f" WHEN regexp_matches({t}, '{_alternation(topic[2])}') THEN '{topic[part]}'"
     return out + f" ELSE '{('Atualizacao', 'Baixo')[part]}' END"
@@ -496,12 +497,6 @@ sources:
 """
 
 
-@query("SELECT * FROM (VALUES ('a', 'rss_direct', 'news', 'https://a.example/feed'), ('b', 'google_news_query', 'news', 'https://news.google.com/rss/search?q=brake%20pads&hl=pt-BR&gl=BR&ceid=BR:pt-419'), ('d', 'google_news_query', 'news', 'https://news.google.com/rss/search?q=Delta&hl=pt-BR&gl=BR&ceid=BR:pt-419')) AS t(source_id, feed_type, content_kind, url)")
-def src_catalog(spark, sf):
-    rows = readers.catalog(spark, _CATALOG)
-    return rows.where("active").select("source_id", "feed_type", "content_kind", readers.feed_url(rows).alias("url"))
-
-
 @query("""SELECT event_id, CAST(p AS BIGINT) AS pos, 'Item ' || p || ' - Paper' AS title, 'https://x.example/' || event_id || '/' || p AS link, 'Paper' AS publisher, 'a & b' AS summary_text,
 strftime(TIMESTAMP '2024-03-05 06:07:08' + to_hours(CAST(event_id % 100 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS published FROM events, (VALUES (0), (1)) AS v(p)""")
 def src_rss(spark, sf):
@@ -590,4 +585,4 @@ def st_breaker_stream(spark, sf):
     return out.withColumn("blocked_until", F.when(F.col("blocked_until") > 0, F.col("blocked_until") - 1e9).otherwise(0.0))
 
 
-from tidewire.plans import keeping, serving  # noqa: E402,F401  register their queries here
+from tidewire.plans import keeping, serving, showing  # noqa: E402,F401  register their queries here

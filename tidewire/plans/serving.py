@@ -155,23 +155,6 @@ def set_union_sources(spark, sf):
 
 # Targets, sources and upkeep ------------------------------------------------------------------------
 
-_FILES = [
-    "targets:\n  - {slug: a, url: 'https://a/1', anti_block: {max_retries: 5}}\n  - {slug: b, url: 'https://b/1', title: B}\n",
-    "targets:\n  - {slug: c, url: 'https://c/2'}\n  - {slug: a, url: 'https://a/2', anti_block: {backoff_seconds: 1.5}}\n",
-]
-
-
-@query("SELECT * FROM (VALUES ('a', 'https://a/2', 0, 0, NULL), ('b', 'https://b/1', 0, 1, 'B'), ('c', 'https://c/2', 1, 0, NULL)) AS t(slug, url, file, pos, title)")
-def cfg_merge(spark, sf):
-    return targets.merged(targets.targets(spark, _FILES)).select("slug", "url", "file", "pos", "title")
-
-
-@query("SELECT * FROM (VALUES ('a', 'https://a/1', 5, 5.0::DOUBLE, 300), ('a', 'https://a/2', 3, 1.5, 300), ('b', 'https://b/1', 3, 5.0, 300), ('c', 'https://c/2', 3, 5.0, 300)) AS t(slug, url, max_retries, backoff_seconds, min_content_chars)")
-def cfg_override(spark, sf):
-    out = targets.overridden(targets.targets(spark, _FILES), {"max_retries": 3, "min_content_chars": 300})
-    return out.select("slug", "url", "max_retries", "backoff_seconds", "min_content_chars")
-
-
 @query("""SELECT 'p' || page_id AS slug, CASE WHEN strpos(url, '1') = 0 THEN '# p' || page_id || E'\\n\\nURL: ' || url || E'\\n\\nBODY OF ' || upper(url) END AS content,
 CASE WHEN strpos(url, '1') > 0 THEN 'empty markdown' END AS error FROM pages""")
 def src_crawl_targets(spark, sf):
@@ -180,11 +163,6 @@ def src_crawl_targets(spark, sf):
     return targets.crawled(rows, lambda u: "" if "1" in u else f"\nBODY OF {u.upper()} ")
 
 
-@query("SELECT * FROM (VALUES ('a'), ('b')) AS t(source_id)")
-def src_company_scope(spark, sf):
-    return readers.in_scope(readers.catalog(spark, _CATALOG), ["T1", "T2"]).select("source_id")
-
-
 @query("SELECT event_id, 'https://i.example/' || CASE event_id % 4 WHEN 0 THEN 'm' WHEN 1 THEN 't' WHEN 2 THEN 'e' END || '.png' AS i FROM events".replace("AS i", "AS image_url").replace("SELECT event_id, ", "SELECT event_id, coalesce(").replace("'.png' AS", "'.png', '') AS"))
 def src_feed_image(spark, sf):
     parts = {"media": "case when event_id % 4 = 0 then '<m:content url=\"https://i.example/v.mp4\" type=\"video/mp4\"/><m:content url=\"https://i.example/m.png\"/>' else '' end", "thumb": "case when event_id % 4 < 2 then '<m:thumbnail url=\"https://i.example/t.png\"/>' else '' end", "closed": "case when event_id % 4 < 3 then '<enclosure url=\"https://i.example/e.png\" type=\"image/png\"/>' else '<enclosure url=\"https://i.example/e.mp3\" type=\"audio/mpeg\"/>' end"}

@@ -29,13 +29,18 @@ def catalog(spark: SparkSession, text: str | None) -> DataFrame:
 
     rows = []
     for x in (yaml.safe_load(text or "") or {}).get("sources") or []:
-        row = {n.split()[0]: x.get(n.split()[0]) for n in SOURCE.split(", ")}
-        row |= {k: v for k, v in SOURCE_DEFAULTS.items() if row[k] is None}
-        row["feed_type"] = "rss_direct" if row["rss_url"] else row["feed_type"] or "google_news_query"
-        row["content_kind"] = row["content_kind"] or ("social" if row["feed_type"] == "linkedin_company" else "news")
-        row["source_id"] = row["source_id"] or row["name"]
-        rows.append(tuple(row.values()))
-    return spark.createDataFrame(rows, SOURCE)
+        rows.append(tuple(x.get(n.split()[0]) for n in SOURCE.split(", ")))
+    return with_defaults(spark.createDataFrame(rows, SOURCE))
+
+
+def with_defaults(sources: DataFrame) -> DataFrame:
+    """Sources with what their catalog leaves open; a column that is missing is open in every row."""
+    given = {n: F.col(n).cast(kind) if n in sources.columns else F.lit(None).cast(kind) for n, kind in (x.split() for x in SOURCE.split(", "))}
+    rows = sources.select(*(c.alias(n) for n, c in given.items()))
+    rows = rows.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in SOURCE_DEFAULTS.items()})
+    rows = rows.withColumn("feed_type", F.when(nz(F.col("rss_url")).isNotNull(), "rss_direct").otherwise(F.coalesce(nz(F.col("feed_type")), F.lit("google_news_query"))))
+    kind = F.when(F.col("feed_type") == "linkedin_company", "social").otherwise("news")
+    return rows.withColumns({"content_kind": F.coalesce(nz(F.col("content_kind")), kind), "source_id": F.coalesce(nz(F.col("source_id")), F.col("name"))})
 
 
 def feed_url(sources: DataFrame) -> Column:
