@@ -8,7 +8,9 @@ tail probability P(grade >= TAIL) selects.
 Grades of the query: 0 low quality; 1 good quality but toxic; 2 good quality. Fitted on at most
 TRAIN_DOCS labelled rows, those least by a hash of the id, by AdaGrad on the driver; then every whole
 text is scored. Nulls are empty texts. Without ratings every document gets the same middle score.
-Rows are scored one by one; other columns are not read; an empty table gives no rows.
+Equal texts have equal scores, so ties are kept; rows with one id are scored each by itself, and teach once, by the least
+text and the least grade of the id. Very long texts go through whole; other columns are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -78,37 +80,61 @@ class CumulativeLink:
         """P(grade > k) for each k below the highest grade."""
         return 1 / (1 + np.exp(np.clip(self.thresholds - self.weights[index] @ value, -30, 30)))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 0.3, ridge: float = 1e-5, seed: int = 7) -> CumulativeLink:
+    def gradients(self, rows: Rows, some: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Of the rows in `some`: the log-likelihood, and its gradients by the weights and by (low, steps)."""
+        at, own = rows.entries(some)
+        index, value, grade = rows.index[at], rows.value[at], rows.grade[some]
+        score = np.bincount(own, value * self.weights[index], len(some))
+        # the likelihood of a grade lies between two ends; the lowest and the highest grade have one
+        ends = np.concatenate([[-np.inf], self.thresholds, [np.inf]])
+        below, under = (1 / (1 + np.exp(-np.clip(ends[grade + k] - score, -30, 30))) for k in (1, 0))
+        below, under = np.where(grade == len(ends) - 2, 1.0, below), np.where(grade == 0, 0.0, under)
+        mass = np.maximum(below - under, 1e-6)
+        d_below, d_under = below * (1 - below) / mass, under * (1 - under) / mass
+        by_weight = np.bincount(index, ((d_under - d_below)[own]) * value, len(self.weights))
+        pull = (np.bincount(grade + 1, d_below, len(ends)) - np.bincount(grade, d_under, len(ends)))[1:-1]
+        return float(np.log(mass).sum()), by_weight, np.append(pull.sum(), np.cumsum(pull[::-1])[::-1][1:] * np.exp(self.steps))
+
+    def fit(self, rows: Rows, epochs: int = 12, rate: float = 0.3, ridge: float = 1e-5, seed: int = 7, batch: int = 16) -> CumulativeLink:
+        """Maximum likelihood by AdaGrad over batches of rows, in an order that the seed fixes."""
         rng = np.random.default_rng(seed)
         square, square_t = np.full(len(self.weights), 1e-4), np.full(1 + len(self.steps), 1e-2)
-        if rows:
-            share = np.clip([np.mean([g <= k for _, _, g in rows]) for k in range(len(self.steps) + 1)], 0.01, 0.99)
-            cut = np.maximum.accumulate(np.log(share / (1 - share)) + 0.05 * np.arange(len(share)))
-            self.low, self.steps = float(cut[0]), np.log(np.maximum(np.diff(cut), 0.05))
+        if not len(rows.grade):
+            return self
+        share = np.clip([np.mean(rows.grade <= k) for k in range(len(self.steps) + 1)], 0.01, 0.99)
+        cut = np.maximum.accumulate(np.log(share / (1 - share)) + 0.05 * np.arange(len(share)))
+        self.low, self.steps = float(cut[0]), np.log(np.maximum(np.diff(cut), 0.05))
         for _ in range(epochs):
-            for i in rng.permutation(len(rows)):
-                index, value, grade = rows[i]
-                t, s = self.thresholds, self.weights[index] @ value
-                # density of the likelihood's two ends; a grade at either end has one
-                below = 1 / (1 + np.exp(-np.clip(np.append(t, 30.0)[grade] - s, -30, 30))) if grade < len(t) else 1.0
-                under = 1 / (1 + np.exp(-np.clip(t[grade - 1] - s, -30, 30))) if grade else 0.0
-                mass = max(below - under, 1e-6)
-                d_below, d_under = below * (1 - below) / mass, under * (1 - under) / mass
-                step = (d_under - d_below) * value + -ridge * self.weights[index]
-                square[index] += step**2
-                self.weights[index] += rate * step / np.sqrt(square[index])
-                pull = np.zeros(len(t))
-                if grade < len(t):
-                    pull[grade] += d_below
-                if grade:
-                    pull[grade - 1] -= d_under
-                chain = np.array([pull.sum(), *(pull[k + 1 :].sum() * np.exp(self.steps[k]) for k in range(len(self.steps)))])
-                square_t += chain**2
-                move = 0.1 * chain / np.sqrt(square_t)
+            order = rng.permutation(len(rows.grade))
+            for k in range(0, len(order), batch):
+                some = order[k : k + batch]
+                _, step, move = self.gradients(rows, some)
+                met = np.flatnonzero(step)
+                step = step[met] - ridge * len(some) * self.weights[met]
+                square[met] += step**2
+                self.weights[met] += rate * step / np.sqrt(square[met])
+                square_t += move**2
+                move = 0.1 * move / np.sqrt(square_t)
                 self.low, self.steps = self.low + move[0], np.clip(self.steps + move[1:], -6, 4)
         return self
 
 
+class Rows:
+    """Sparse rows one after the other, and their grades."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]]):
+        self.grade = np.array([g for _, _, g in rows], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum([len(i) for i, _, _ in rows])]).astype(np.int64)
+        self.index = np.concatenate([i for i, _, _ in rows]) if rows else np.empty(0, np.int64)
+        self.value = np.concatenate([v for _, v, _ in rows]) if rows else np.empty(0)
+
+    def entries(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries of some rows, and which of these rows each belongs to."""
+        sizes = self.starts[some + 1] - self.starts[some]
+        own = np.repeat(np.arange(len(some)), sizes)
+        return np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes - self.starts[some], sizes), own
+
+
 def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, train_docs: int = TRAIN_DOCS) -> CumulativeLink:
     """docs: doc_id, text; ratings: doc_id, grade (0 to grades - 1; others are left out)."""
     ship(docs.sparkSession)
@@ -120,9 +146,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, grades: int = 3, train_docs
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in made], pa.binary()), batch.column(2)], names=["doc_id", "i", "v", "grade"])
 
-    rated = docs.select("doc_id", "text").join(F.broadcast(lot), "doc_id").select(F.col("doc_id").cast("long"), "text", "grade")
-    rows = sorted(tuple(r) for r in rated.mapInArrow(run, "doc_id long, i binary, v binary, grade long").limit(2 * train_docs).collect())
-    return CumulativeLink(grades).fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(float), g) for _, i, v, g in rows])
+    rated = docs.select("doc_id", "text").join(F.broadcast(lot), "doc_id").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), "grade")
+    rated = rated.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "text", "grade")  # of an id's rows the least text
+    rows = sorted(tuple(r) for r in rated.mapInArrow(run, "doc_id long, i binary, v binary, grade long").collect())
+    return CumulativeLink(grades).fit(Rows([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(float), g) for _, i, v, g in rows]))
 
 
 def score_quality(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text", tail: int = TAIL) -> DataFrame:
