@@ -11,6 +11,10 @@ from tidewire.operators.anchors import first_for_a_while
 from tidewire.operators.store import queue, visible
 
 
+#: Why an item is dropped, in the order that is tried.
+REASONS = ("cutoff", "scope", "raw_dedup", "hash_dedup", "unresolved")
+
+
 def unknown_raw_links(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose raw link is not stored by anyone, irrelevant rows included; rows without a link stay."""
     known = stored.where(nz(F.col("raw_link")).isNotNull()).select(F.md5("raw_link").alias("_h")).distinct()
@@ -113,7 +117,6 @@ def drop_reasons(items: DataFrame, reasons: list[tuple[str, Column]]) -> DataFra
 
 def run_funnel(items: DataFrame, source: str = "source") -> DataFrame:
     """Counts by source of rows found, dropped for each reason, and new."""
-    names = ("cutoff", "scope", "raw_dedup", "hash_dedup", "unresolved")
-    counts = [F.count_if(F.coalesce(F.col("drop_reason") == n, F.lit(False))).alias(f"dropped_{n}") for n in names]
+    counts = [F.count_if(F.coalesce(F.col("drop_reason") == n, F.lit(False))).alias(f"dropped_{n}") for n in REASONS]
     out = items.groupBy(source).agg(F.count("*").alias("found"), *counts, F.count_if(F.col("drop_reason").isNull()).alias("new"))
     return out.withColumn("duplicate", F.col("dropped_raw_dedup") + F.col("dropped_hash_dedup"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
+from tidewire.operators.dedup import REASONS
 from tidewire.operators.store import count_by_category, count_by_status, visible
 
 
@@ -18,6 +20,49 @@ def collect_totals(runs: DataFrame) -> DataFrame:
     return runs.agg(total("found"), total("new"), total("duplicate"), F.count_if(ok).alias("sources_ok"), F.count_if(~ok).alias("sources_error"))
 
 
+def _funnel_counts() -> list[Column]:
+    dropped = [F.count_if(F.col("drop_reason").eqNullSafe(n)).alias(f"dropped_{n}") for n in REASONS]
+    return [F.count(F.lit(1)).alias("found"), *dropped, F.count_if(F.col("drop_reason").isNull()).alias("new")]
+
+
+def counted(items: DataFrame, name: str = "funnel") -> tuple[DataFrame, Observation]:
+    """items (drop_reason) that count themselves as they are written, and where the counts are found then: found, dropped by each reason, new. One job, where an aggregate would be a second one."""
+    counts = Observation(name)
+    return items.observe(counts, *_funnel_counts()), counts
+
+
+def counted_stream(items: DataFrame, name: str = "funnel") -> DataFrame:
+    """A stream whose batches count themselves, for BatchCounts of that name."""
+    return items.observe(name, *_funnel_counts())
+
+
+class BatchCounts(StreamingQueryListener):
+    """Keeps a row of counts for each batch of the streams that count under a name; batches without rows have none. spark.streams.addListener(it)."""
+
+    FORM = "query string, batch long, found long, " + ", ".join(f"dropped_{n} long" for n in REASONS) + ", new long, seconds double"
+
+    def __init__(self, name: str = "funnel"):
+        self.name, self.rows = name, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        x = event.progress
+        counts = x.observedMetrics.get(self.name)
+        if counts is not None and counts["found"]:
+            self.rows.append((str(x.name or x.id), x.batchId, *(int(c) for c in counts), x.batchDuration / 1000))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.FORM)
+
+
 def collect_errors(runs: DataFrame) -> DataFrame:
     """source, error of runs that ended in an error; raised ones are counted above but not listed."""
     return runs.where("status = 'error'").select("source", "error")
