@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import payloads
 from tidewire.operators import answers, cascade, dedup, laid_out
 from tidewire.operators.anchors import first_for_a_while
 from tidewire.operators.keyed import KeyedStore
@@ -136,3 +137,27 @@ def udf_resolve(spark, sf):
     for run, now in ((0, 0.0), (3, 59.0), (1, 60.0)):
         answers.resolved(links, kept, standing_in(run), now)
     return answers.resolved(links, kept, standing_in(2), 180.0).select("link", "resolved_link", "resolve_status", "resolve_attempts")
+
+
+@query("""WITH e AS (SELECT *, event_id % 10 = 0 AS late FROM events), m AS (SELECT max(ts) FILTER (WHERE event_id % 10 > 1) AS before, max(ts) AS last FROM e),
+k AS (SELECT date_trunc('hour', ts) AS s, event_type, value, late FROM e)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM k, m
+WHERE (NOT late OR s + INTERVAL 1 HOUR > before - INTERVAL 6 HOUR) AND s + INTERVAL 1 HOUR <= last - INTERVAL 6 HOUR GROUP BY ALL""")
+def st_late(spark, sf):
+    """Windows of an hour with a watermark of six: a tenth of the events comes two triggers after most others, and what of it is late by then is dropped (Spark drops by the watermark of the trigger before). Windows beyond the last watermark are not told yet."""
+    folder = _new_folder(spark, "events")
+    events = views.read(spark, sf, "events")
+    for part in ("event_id % 10 > 1", "event_id % 10 = 1", "event_id % 10 = 0"):
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = jobs.drained(jobs.windowed_counts(stream, "event_type", late="6 hours"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, trim(text, E' \n\t\r') AS t, (conv_id + turn) % 5 AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN k < 3 AND t <> '' THEN left(t, 900) END AS summary, CASE WHEN k < 3 AND t <> '' THEN k <> 1 END AS relevant, CASE WHEN k >= 3 THEN 'invalid json' WHEN t = '' THEN 'missing summary' END AS error FROM c""")
+def js_payloads(spark, sf):
+    """Answers that hold each turn's whole text: bare, irrelevant and fenced, with words around, cut off, and as an array."""
+    said = "to_json(named_struct('summary', text, 'relevant', case when (conv_id + turn) % 5 = 1 then 'no' else 'yes' end))"
+    raw = F.expr(f"case (conv_id + turn) % 5 when 0 then {said} when 1 then concat('```json\\n', {said}, '\\n```') when 2 then concat('As asked: ', {said}, ' .') when 3 then substring({said}, 1, length({said}) - 2) else concat('[', {said}, ']') end")
+    return views.read(spark, sf, "conversations").select("conv_id", "turn", payloads.normalized_summary(raw).alias("v")).select("conv_id", "turn", "v.summary", "v.relevant", "v.error")
