@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewire.functions import payloads
-from tidewire.operators import answers, cascade, dedup, laid_out
+from tidewire.operators import answers, cascade, dedup, laid_out, similarity, text_search
 from tidewire.operators.anchors import first_for_a_while
 from tidewire.operators.keyed import KeyedStore
 from tidewire.plans import views
@@ -161,3 +161,37 @@ def js_payloads(spark, sf):
     said = "to_json(named_struct('summary', text, 'relevant', case when (conv_id + turn) % 5 = 1 then 'no' else 'yes' end))"
     raw = F.expr(f"case (conv_id + turn) % 5 when 0 then {said} when 1 then concat('```json\\n', {said}, '\\n```') when 2 then concat('As asked: ', {said}, ' .') when 3 then substring({said}, 1, length({said}) - 2) else concat('[', {said}, ']') end")
     return views.read(spark, sf, "conversations").select("conv_id", "turn", payloads.normalized_summary(raw).alias("v")).select("conv_id", "turn", "v.summary", "v.relevant", "v.error")
+
+
+_BM25 = r"""w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)'), lambda x: length(x) > 1) AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), p AS (SELECT id, len(w) AS length, unnest(w) AS term FROM w), tf AS (SELECT id, length, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT doc_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(left(split_part(text, chr(10), 1), 120)), '([\p{L}\p{N}_]+)'), lambda x: length(x) > 1))) AS term FROM documents WHERE doc_id % 100 = 0),
+b AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)"""
+
+
+def _searched(spark, sf, k: int):
+    """Documents by the words of the first lines of those whose id is divisible by 100."""
+    docs = views.read(spark, sf, "documents")
+    first = F.substring(F.substring_index("text", "\n", 1), 1, 120)
+    held = text_search.index(docs)
+    out = text_search.search(held, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), text_search.words(first).alias("terms")), k)
+    held.drop()
+    return out
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def jn_fts(spark, sf):
+    return _searched(spark, sf, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_BM25}, c AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS cosine FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS n FROM c),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(0.6 / a.n, 0) + coalesce(0.4 / b.rank, 0) AS score, coalesce(a.cosine, 0) AS cosine FROM (SELECT * FROM cr WHERE n <= 20) a FULL JOIN (SELECT * FROM r WHERE rank <= 10) b ON a.query_id = b.query_id AND a.id = b.id),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM f)
+SELECT query_id, id, round(score, 9) AS score, round(CAST(cosine AS DOUBLE), 6) AS cosine FROM z WHERE n <= 10""")
+def dd_hybrid(spark, sf):
+    """Vectors and words of the stated queries, fused by reciprocal ranks: twice as many by vectors as are asked for."""
+    v = views.read(spark, sf, "embeddings")
+    knn = similarity.top_cosine(v.where("vec_id % 100 = 0"), v, 20).select("query_id", F.col("vec_id").alias("id"), F.col("score").alias("cosine"), "rank")
+    return text_search.fused(knn, _searched(spark, sf, 10), 10).select("query_id", "id", F.round("score", 9).alias("score"), F.round("cosine", 6).alias("cosine"))
