@@ -78,6 +78,31 @@ def update(articles: DataFrame, changes: DataFrame, version: int) -> DataFrame:
     return joined.select(*(F.col(f"_{c}").alias(c) if c in fresh else F.col(c) for c in articles.columns if c != "version"), F.lit(version).alias("version"))
 
 
+def marked(articles: DataFrame, marks: DataFrame, version: int) -> DataFrame:
+    """New versions of the articles in marks (article_hash, status, error): irrelevant, or failed with its error in `extra`; what an irrelevant one had there stays."""
+    known = marks.where(F.col("status").isin("irrelevant", "failed")).groupBy("article_hash").agg(F.max(F.struct("status", "error")).alias("m"))  # irrelevant goes before failed
+    own = articles.select("article_hash", (F.col("extra") if "extra" in articles.columns else F.lit(None).cast("string")).alias("_own"))
+    changes = known.join(own, "article_hash").select("article_hash", F.col("m.status").alias("summary_status"), F.when(F.col("m.status") == "failed", F.coalesce("m.error", F.lit(""))).otherwise(F.col("_own")).alias("extra"))
+    return update(articles if "extra" in articles.columns else articles.withColumn("extra", F.lit(None).cast("string")), changes, version)
+
+
+def found_by_hash(articles: DataFrame, article_hash: str, exclude: str | None = None) -> DataFrame:
+    """The visible article of a hash, or no row; a row never finds itself."""
+    return by_hash(visible(articles), article_hash).where(F.lit(article_hash != exclude))
+
+
+def found_by_raw_link(articles: DataFrame, raw_link: str) -> DataFrame:
+    """One article of a raw link, irrelevant or not; nothing of an empty link."""
+    return full(articles.where(F.col("raw_link") == nz(F.lit(raw_link)))).orderBy("article_hash").limit(1)
+
+
+def found_by_title_hash(articles: DataFrame, title_hash: str, since: str, exclude: str | None = None) -> DataFrame:
+    """The newest visible article with a stored title hash since a time, another one than `exclude`."""
+    rows = articles.withColumn("_key", sort_key(F.col("published_at"), F.col("collected_at"), F.col("article_hash")))
+    rows = visible(rows).where((F.col("title_hash") == title_hash) & (F.col("_key") >= since) & ~F.col("article_hash").eqNullSafe(F.lit(exclude)))
+    return full(rows.orderBy(F.desc("_key")).limit(1).drop("_key"))
+
+
 def queue(articles: DataFrame, status: str, limit: int | None = None) -> DataFrame:
     """Work by collection time: status and category fit, not a duplicate; no limit if 0 or None."""
     out = articles.where((F.col("summary_status") == status) & F.col("category").isin(*QUEUE_CATEGORIES) & ~F.col("dedup_decision").eqNullSafe("duplicate"))

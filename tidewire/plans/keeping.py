@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewire.functions import payloads
-from tidewire.operators import answers, cascade, dedup, laid_out, similarity, text_search
+from tidewire.operators import answers, cascade, dedup, laid_out, similarity, store, text_search
 from tidewire.operators.anchors import first_for_a_while
 from tidewire.operators.keyed import KeyedStore
 from tidewire.plans import views
@@ -195,3 +195,11 @@ def dd_hybrid(spark, sf):
     v = views.read(spark, sf, "embeddings")
     knn = similarity.top_cosine(v.where("vec_id % 100 = 0"), v, 20).select("query_id", F.col("vec_id").alias("id"), F.col("score").alias("cosine"), "rank")
     return text_search.fused(knn, _searched(spark, sf, 10), 10).select("query_id", "id", F.round("score", 9).alias("score"), F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"""WITH {A} SELECT a.article_hash, CASE WHEN l.toxic = 1 THEN 'irrelevant' ELSE 'failed' END AS summary_status, CASE WHEN l.toxic = 1 THEN NULL ELSE 'quality of ' || l.doc_id END AS extra
+FROM articles a JOIN labels l ON l.doc_id = a.doc_id WHERE l.toxic = 1 OR l.quality = 0""")
+def snk_marks(spark, sf):
+    """What labels say of articles as marks: toxic ones are irrelevant, poor ones failed."""
+    marks = views.read(spark, sf, "labels").selectExpr("md5(cast(doc_id as string)) article_hash", "case when toxic = 1 then 'irrelevant' when quality = 0 then 'failed' end status", "concat('quality of ', doc_id) error")
+    return store.marked(views.articles(spark, sf), marks, 2).select("article_hash", "summary_status", "extra")

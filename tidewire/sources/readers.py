@@ -194,7 +194,7 @@ def summary_prompt(title: Column, content: Column, limit: int = 20_000) -> Colum
 
 
 def summarized(articles: DataFrame, summarize: Callable[[str], str], text: str = "content", attempts: int = 3, again: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), base: float = 1.0) -> DataFrame:
-    """article_hash, raw, error by a callable from a prompt's text to a model's answer; failures are data, empty answers fail.
+    """article_hash, raw, error by a callable from a prompt's text to a model's answer, or to the answer and its finish reason; failures are data, empty answers fail and tell the reason.
 
     A failure of a kind in `again` is tried anew, up to `attempts` times in all, after base, 2 base, ... seconds.
     """
@@ -205,8 +205,10 @@ def summarized(articles: DataFrame, summarize: Callable[[str], str], text: str =
             for h, t in zip(batch["article_hash"], batch["t"], strict=True):
                 for k in range(attempts):
                     try:
-                        answer = summarize(t)
-                        row = (h, answer or None, None if answer else "empty answer")
+                        said = summarize(t)
+                        answer, why = (said[0], f"empty response (finish_reason={said[1] or 'unknown'})") if isinstance(said, tuple) else (said, "empty answer")
+                        answer = answer if (answer or "").strip() else None
+                        row = (h, answer, None if answer else why)
                         break
                     except again as e:
                         row = (h, None, str(e)[:200])
