@@ -585,4 +585,4 @@ def st_breaker_stream(spark, sf):
     return out.withColumn("blocked_until", F.when(F.col("blocked_until") > 0, F.col("blocked_until") - 1e9).otherwise(0.0))
 
 
-from tidewire.plans import keeping, serving, showing  # noqa: E402,F401  register their queries here
+from tidewire.plans import keeping, running, serving, showing  # noqa: E402,F401  register their queries here
