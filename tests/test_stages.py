@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire import __main__ as command
+from tidewire.functions import rules
 from tidewire.plans import stages
 from tidewire.plans.stages import ArticleRuns, collected
 from tidewire.sources import readers
@@ -172,3 +173,10 @@ def test_command_line_over_polls(spark, tmp_path, capsys):
     assert "items_found: 3" in wide and "items_new: 0" in wide and "items_duplicate: 3" in wide
     assert command.main([*common, "--sources-list"], spark)[:2] == ["[active] f1: F1 (concorrente/auto)", "[disabled] f2: F2 (concorrente/auto)"]
     assert "sources active: 1" in capsys.readouterr().out
+
+
+def test_words_out_of_scope_in_one_pass(spark):
+    texts = ["", None, "a plain engine", "x" * 50_000, *(f"İ {w.upper()}!" for w in rules.OUT_OF_SCOPE), *(w[:-1] for w in rules.OUT_OF_SCOPE)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(F.coalesce(rules.out_of_scope(F.col("t")), F.lit(False)).alias("a"), rules.out_of_scope_by_batches(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(r.b for r in got) >= len(rules.OUT_OF_SCOPE)

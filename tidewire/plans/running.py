@@ -19,8 +19,8 @@ _ITEMS = f"{A}, items AS (SELECT a.doc_id, a.source_id, a.raw_link, coalesce(a.t
 
 
 def _items(spark, sf):
-    rows = views.articles(spark, sf).join(views.read(spark, sf, "documents").select("doc_id", F.col("text").alias("summary_text")), "doc_id")
-    return rows.select("doc_id", "source_id", F.col("doc_id").alias("pos"), "title", F.col("raw_link").alias("link"), "published_at", "summary_text", F.lit("").alias("image_url"))
+    rows = views.articles(spark, sf, labelled=False)
+    return rows.select("doc_id", "source_id", F.col("doc_id").alias("pos"), "title", F.col("raw_link").alias("link"), "published_at", F.col("text").alias("summary_text"), F.lit("").alias("image_url"))
 
 
 def _sources(spark, sf):

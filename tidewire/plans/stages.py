@@ -169,18 +169,21 @@ class ArticleRuns:
         """Takes items (source_id, pos, title, link, published_at, summary_text, image_url) of known sources into the queue.
 
         A source's first `cap` items in feed order are looked at; the first reason of dedup.REASONS that holds drops one. Of items with one
-        hash in a batch the first by source and place is new, the others count as hash_dedup. resolve: adds resolved_link and
+        hash in a batch the first by source and place is new, the others count as hash_dedup. The items are read twice: to be sifted, and for the texts of those that are new,
+        which source, place and link name. resolve: adds resolved_link and
         resolve_status to candidates; those neither ok nor skipped are unresolved. An item without a link is unresolved, one without a
         date has the day of `now`. Gives the counts by source: found, dropped for each reason, new, duplicate.
         """
         self._settle()
         n = self.state.run + 1
-        rows = items.select("source_id", "pos", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "published_at", "summary_text", "image_url")), text.nz(F.col("link")).alias("raw_link"))
+        own = Stored(sources.select("source_id", F.col("name").alias("source_name"), "category", "tag", "product_line", "feed_type", "content_kind"))
+        rows = items.select("source_id", F.coalesce("pos", F.lit(-1)).alias("pos"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "published_at", "summary_text", "image_url")), text.nz(F.col("link")).alias("raw_link"))
         kept = rows if cap is None else feed.first_per_feed(rows, cap, "source_id").drop("rank")
         in_time = F.lit(True) if cutoff is None else after_cutoff(F.col("published_at"), cutoff)
-        why = F.when(F.col("raw_link").isNull(), "unresolved").when(~in_time, "cutoff").when(rules.out_of_scope(F.concat_ws(" ", "title", "summary_text")), "scope")
-        own = sources.select("source_id", F.col("name").alias("source_name"), "category", "tag", "product_line", "feed_type", "content_kind")
-        looked = Stored(kept.join(own, "source_id").withColumns({"link_hash": F.md5("raw_link"), "drop_reason": why}))
+        early = F.when(F.col("raw_link").isNull(), "unresolved").when(~in_time, "cutoff")
+        beyond = rules.out_of_scope_by_batches(F.when(early.isNull(), F.concat_ws(" ", "title", "summary_text")))
+        # the texts stay behind: only what is new meets its text again
+        looked = Stored(kept.join(own.rows.select("source_id"), "source_id").select("source_id", "pos", "raw_link", F.md5("raw_link").alias("link_hash"), F.coalesce(early, F.when(beyond, "scope")).alias("drop_reason")))
         known = self.links.held(looked.rows.where("drop_reason is null").select("link_hash").distinct()).withColumn("_known", F.lit(True))
         sifted = looked.rows.join(known, "link_hash", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("_known"), "raw_dedup"))).drop("_known")
         open_, shut = sifted.where("drop_reason is null").drop("drop_reason"), sifted.where("drop_reason is not null")
@@ -194,11 +197,13 @@ class ArticleRuns:
         reason = F.when(F.col("article_hash").isNull(), "unresolved").when(again, "hash_dedup")
         decided = Stored(judged.withColumn("drop_reason", reason).drop("_first", "_held", "_row"))
         every = decided.rows.select("source_id", "drop_reason").unionByName(shut.select("source_id", "drop_reason"))
-        counts = items.join(own.select("source_id"), "source_id").groupBy("source_id").agg(F.count("*").alias("found"))
+        counts = items.join(own.rows.select("source_id"), "source_id").groupBy("source_id").agg(F.count("*").alias("found"))
         funnel = Stored(counts.join(dedup.run_funnel(every, "source_id").drop("found"), "source_id", "left").na.fill(0))
-        self._finish(self.queue.unionByName(_articles(decided.rows.where("drop_reason is null"), now, n)), unkeyed=True)
+        fresh = Stored(decided.rows.where("drop_reason is null").drop("drop_reason").join(own.rows, "source_id"))
+        full = fresh.rows.join(rows, ["source_id", "pos", "raw_link"]).dropDuplicates(["article_hash"])
+        self._finish(self.queue.unionByName(_articles(full, now, n)), unkeyed=True)
         self._settle()
-        for old in (looked, asked, decided):
+        for old in (own, looked, asked, decided, fresh):
             old.drop()
         return funnel
 

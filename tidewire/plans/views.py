@@ -19,10 +19,12 @@ def _hours(column: str, extra: str = "0") -> str:
     return f"date_format(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast({column} % 720 + {extra} as int)), \"yyyy-MM-dd'T'HH:mm:ss\")"
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their labels as articles: three shapes of dates, three queues, two companies now and then."""
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    rows = docs.select("doc_id", "text", "lang", "source").join(labels, "doc_id", "left")
+def articles(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """Documents with their labels as articles: three shapes of dates, three queues, two companies now and then. Not labelled: without a status, and with their texts."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if labelled:
+        rows = rows.join(read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    status = "case when toxic = 1 then 'irrelevant' when quality = 0 then 'failed' when quality = 1 then 'ai_generated' when doc_id % 23 = 4 then cast(null as string) else 'pending' end as summary_status"
     return rows.selectExpr(
         "doc_id", "md5(cast(doc_id as string)) as article_hash", "substring(substring_index(text, '\\n', 1), 1, 120) as title",
         "substring(text, 1, 300) as action_description", "source as source_id", "upper(source) as source_name",
@@ -34,7 +36,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when doc_id % 4 = 0 then 'social' when doc_id % 11 = 5 then cast(null as string) else 'news' end as content_kind",
         "case when doc_id % 4 = 0 then 'linkedin_company' else 'rss_direct' end as feed_type",
         "case when doc_id % 10 = 0 then concat(source, ', src', cast(doc_id % 20 as string)) when doc_id % 17 = 3 then '' else source end as tag",
-        "case when toxic = 1 then 'irrelevant' when quality = 0 then 'failed' when quality = 1 then 'ai_generated' when doc_id % 23 = 4 then cast(null as string) else 'pending' end as summary_status",
+        status if labelled else "text",
         "case when doc_id % 13 = 0 then 'duplicate' when doc_id % 13 = 1 then 'new' when doc_id % 13 = 2 then cast(null as string) else '' end as dedup_decision",
         "md5(lower(trim(substring(substring_index(text, '\\n', 1), 1, 120)))) as title_hash",
     )
