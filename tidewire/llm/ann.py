@@ -7,7 +7,8 @@ within Hamming distance R of a query has, by pigeonhole, some substring within i
 probing the values within that share in each list retrieves every such code; the survivors of the exact
 Hamming test are ranked by inner product in double precision on the original vectors. R is the TARGET
 quantile of distances from the sample's vectors to their true neighbours in the sample, which are
-further away than in the whole table. A query with fewer than min(k, candidates) rows within R (an
+further away than in the whole table, or, if that is more, from ASKED of the queries (least by hash) to their true
+neighbours among all rows: a few long vectors that the sample lacks may be everyone's nearest. A query with fewer than min(k, candidates) rows within R (an
 outlier, a small table) goes through all blocks again, by inner product alone.
 
 Equal vectors are one entry with their least ids (as many as an answer can hold), so a vector with a
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import Stored, cut_lineage, ship, table
 
 K, EVERY = 20, 20
-BITS, SAMPLE, TARGET = 128, 3000, 0.985
+BITS, SAMPLE, TARGET, ASKED = 128, 3000, 0.985, 256
 INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
 #: Parts that the ids of one vector are dealt into.
 PARTS = 32
@@ -64,9 +65,11 @@ class Coder:
         near[np.arange(few), np.arange(few)] = -np.inf
         best = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
         gaps = _POP[codes[:few, None, :] ^ codes[best]].sum(2, dtype=np.int64)
-        self.radius = int(np.ceil(np.quantile(gaps, target))) if gaps.size else bits
-        subs = codes.shape[1]
-        spare = self.radius - subs + 1  # shares that add up to this leave no code within the radius unseen
+        self.reach(int(np.ceil(np.quantile(gaps, target))) if gaps.size else bits)
+
+    def reach(self, radius: int) -> None:
+        self.radius, subs = radius, self.planes.shape[1] // 8
+        spare = radius - subs + 1  # shares that add up to this leave no code within the radius unseen
         self.shares = [max(-1, spare // subs + (j < spare % subs)) for j in range(subs)]
 
     def codes(self, x: np.ndarray) -> np.ndarray:
@@ -121,16 +124,17 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_col: str = "vec_id", vec
     result = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], result)
-    coder = spark.sparkContext.broadcast(Coder(sample, k))
+    made = Coder(sample, k)
+    coder = spark.sparkContext.broadcast(made)
     index_blocks = max(1, -(-index.count() // INDEX_BLOCK))
     total = index.agg(F.sum(F.size("ids"))).first()[0]  # no more than `most` of equal vectors
 
-    def best_of(block: pd.DataFrame, score: np.ndarray, found: np.ndarray) -> Iterator[tuple[list, float]]:
+    def best_of(score: np.ndarray, found: np.ndarray) -> Iterator[tuple[int, float]]:
         if len(found) > most:  # all that tie with the last stay in
             some = score >= np.partition(score, -most)[-most]
             found, score = found[some], score[some]
         for i in np.lexsort((found, -score))[:most]:
-            yield block["ids"][found[i]], float(score[i])
+            yield found[i], float(score[i])
 
     def prober(exact: bool):
         def probe(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
@@ -139,29 +143,38 @@ def nearest(vectors: DataFrame, queries, k: int = K, id_col: str = "vec_id", vec
                 block = block.assign(least=block["ids"].map(lambda i: i[0])).sort_values("least", ignore_index=True)
                 vectors, points = np.stack(block["v"].to_numpy()), np.stack(asking["point"].to_numpy())
                 multi = None if exact else MultiIndex(coder.value, vectors)
-                codes = [None] * len(points) if exact else coder.value.codes(points)
-                for q, point, code in zip(asking["q"], points, codes, strict=True):
+                own = coder.value.codes(vectors) if exact else multi.codes
+                for q, point, code in zip(asking["q"], points, coder.value.codes(points), strict=True):
                     found = np.arange(len(vectors)) if exact else multi.within(code)
-                    out += [(q, *hit) for hit in best_of(block, vectors[found] @ point, found)]
-            return pd.DataFrame(out, columns=["q", "ids", "score"])
+                    for i, score in best_of(vectors[found] @ point, found):
+                        out.append((q, block["ids"][i], score, int(_POP[own[i] ^ code].sum())))
+            return pd.DataFrame(out, columns=["q", "ids", "score", "gap"])
 
         return probe
 
     def dealt(frame: DataFrame, vector: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return frame.select("*", F.pmod(F.xxhash64(vector), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+        # of one type on both sides: equal numbers of two types lie in two partitions, and their blocks never meet
+        return frame.select("*", F.pmod(F.xxhash64(vector), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     def answered(questions: DataFrame, exact: bool) -> DataFrame:
         """q, found: the `most` best of each question among the vectors within the radius, or among all."""
         query_blocks = max(1, -(-questions.count() // QUERY_BLOCK))
         left = dealt(index, "v", "ib", index_blocks, "qb", query_blocks).groupBy("ib", "qb")
         right = dealt(questions.select("q", F.col("v").alias("point")), "point", "qb", query_blocks, "ib", index_blocks).groupBy("ib", "qb")
-        found = left.cogroup(right).applyInPandas(prober(exact), "q long, ids array<long>, score double")
+        found = left.cogroup(right).applyInPandas(prober(exact), "q long, ids array<long>, score double, gap int")
         best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
         found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
         flat = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        found = found.select("q", F.explode("ids").alias("vec_id"), "score").withColumn("n", F.row_number().over(flat)).where(F.col("n") <= most)
-        return found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
-
+        found = found.select("q", F.explode("ids").alias("vec_id"), "score", "gap").withColumn("n", F.row_number().over(flat)).where(F.col("n") <= most)
+        return found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score", "gap"))).alias("found"))
+
+    some = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).select("v").distinct()
+    true = answered(cut_lineage(questions.join(some, "v")), exact=True)
+    true = true.select(F.explode(F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("q")), 1, k)).alias("x")).select("x.gap")
+    gaps = [r.gap for r in true.collect()]  # ASKED * k at most
+    if gaps and (radius := int(np.ceil(np.quantile(gaps, TARGET)))) > made.radius:
+        made.reach(radius)
+        coder = spark.sparkContext.broadcast(made)
     answers = cut_lineage(answered(questions, exact=False))
     whole = answers.where(F.size("found") >= min(most, total))
     lacking = cut_lineage(questions.join(whole, "q", "left_anti"))
