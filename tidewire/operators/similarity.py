@@ -60,15 +60,26 @@ def first_similar(items: DataFrame, over: float = 0.4, id_col: str = "rowid", te
     return rows.join(earliest, "own").where("match < id").select("id", "match")
 
 
-def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, earlier: bool = False) -> DataFrame:
-    """query_id, vec_id, score, rank: each query's k most similar of all vectors (`earlier`: of those with smaller ids), itself left out, ties to the smaller id.
+def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 16_384, earlier: bool = False, over: float | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank: each query's k most similar of all vectors (`earlier`: of those with smaller ids), itself left out, ties to the smaller id. over: only pairs that score more are wanted.
 
-    queries and vectors: vec_id, embedding. The stated query set meets every vector, both dealt by hash into blocks of a bounded size; vectors without length, and null ones, take no part.
+    queries and vectors: vec_id, embedding. The stated query set meets every vector, both dealt by hash into blocks of a bounded size, as they are stored; vectors without length, and null or
+    non-finite ones, take no part. In a block a product in single precision names what may be among the best, with room for its error; these get their scores in double precision.
     """
-    sound = F.exists("embedding", lambda x: x != 0)
-    asked, rows = (x.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(sound & F.col("vec_id").isNotNull()) for x in (queries, vectors))
+    x = F.col("embedding")
+    sound = F.exists(x, lambda e: e != 0) & F.forall(x, lambda e: ~F.isnan(e) & (F.abs(e) < float("inf")))
+
+    def taken(frame: DataFrame) -> DataFrame:
+        single = frame.schema["embedding"].dataType.simpleString() == "array<float>"
+        return frame.where(sound & F.col("vec_id").isNotNull()).select("vec_id", (x if single else x.cast("array<double>")).alias("v"))
+
+    asked, rows = taken(queries), taken(vectors)
     n_asked, n_rows = asked.count(), rows.count()
 
+    def in_order(products: np.ndarray) -> np.ndarray:
+        """Sums of rows, one component after the other, as SQL adds them: equal vectors have equal sums, wherever they stand."""
+        return np.add.accumulate(products, axis=1)[:, -1]
+
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         own, width = right["vec_id"].to_numpy(), right["v"].map(len)
@@ -76,22 +87,32 @@ def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024
             fit = (width == n).to_numpy()
             if not fit.any():
                 continue
-            q, v, mine = np.stack(some["v"].to_numpy()), np.stack(right["v"].to_numpy()[fit]), own[fit]
-            score = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-            ids = some["vec_id"].to_numpy()
-            score[ids[:, None] <= mine[None, :] if earlier else ids[:, None] == mine[None, :]] = -np.inf
-            for i, row in enumerate(score):
-                at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                few = at[np.lexsort((mine[at], -row[at]))[:k]]
-                few = few[np.isfinite(row[few])]
-                out.append(pd.DataFrame({"query_id": ids[i], "vec_id": mine[few], "score": row[few]}))
+            q, v, mine = np.stack(some["v"].to_numpy()).astype(float), np.stack(right["v"].to_numpy()[fit]).astype(float), own[fit]
+            q2, v2, ids = in_order(q * q), in_order(v * v), some["vec_id"].to_numpy()
+            q1, v1 = ((m / np.sqrt(m2)[:, None]).astype(np.float32) for m, m2 in ((q, q2), (v, v2)))
+            room = (n + 8) * 2.0**-22  # twice the most that single precision is off
+            for start in range(0, len(ids), 256):
+                part = slice(start, start + 256)
+                rough = q1[part] @ v1.T
+                rough[ids[part, None] <= mine[None, :] if earlier else ids[part, None] == mine[None, :]] = -np.inf
+                least = -2.0 if over is None else over - room
+                for i in np.flatnonzero(rough.max(1) > least):
+                    at = np.flatnonzero(rough[i] > least)
+                    if len(at) > k:
+                        at = at[rough[i][at] >= np.partition(rough[i][at], -k)[-k] - room]
+                    score = np.clip(in_order(v[at] * q[start + i]) / np.sqrt(q2[start + i] * v2[at]), -1.0, 1.0)
+                    if over is not None:
+                        at, score = at[score > over], score[score > over]
+                    best = np.lexsort((mine[at], -score))[:k]
+                    out.append(pd.DataFrame({"query_id": ids[start + i], "vec_id": mine[at[best]], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
 
     def dealt(frame: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return frame.select("*", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+        # of one type on both sides: equal numbers of two types lie in two partitions
+        return frame.select("*", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     # each block of queries meets each block of vectors in one task
-    q_blocks, v_blocks = max(1, -(-n_asked // block)), max(1, -(-n_rows // (8 * block)))
+    q_blocks, v_blocks = max(1, -(-n_asked // block)), max(1, -(-n_rows // block))
     left, right = dealt(asked, "qb", q_blocks, "vb", v_blocks), dealt(rows, "vb", v_blocks, "qb", q_blocks)
     found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
