@@ -123,7 +123,7 @@ def resolve_batch(batch: DataFrame, recent: DataFrame, known: DataFrame, now: fl
     hits.append(own.join(classes.join(alike, "class_id", "left_semi").select("tokens"), "tokens", "left_semi").select("rowid", F.lit(2).alias("layer")))
     asked = batch.select(F.col("rowid").alias("vec_id"), "embedding")
     there = near_band.select(F.col("rowid").alias("vec_id"), "embedding").unionByName(asked)
-    near = Stored(top_cosine(asked, there, k, earlier=True).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score"))
+    near = Stored(top_cosine(asked, there, k, earlier=True, over=high if judge is None else low).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score"))
     old = near.rows.join(near_band.where(is_new).select(F.col("rowid").alias("b")), "b", "left_semi")
     hits.append(old.where(F.col("score") > high).select(F.col("a").alias("rowid"), F.lit(3).alias("layer")))
     if judge is not None:

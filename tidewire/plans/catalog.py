@@ -320,7 +320,7 @@ def win_rrf(spark, sf):
 def dd5_cascade(spark, sf):
     """The whole cascade with neighbours from the vectors; held against a sequential scan in the tests."""
     v = views.read(spark, sf, "embeddings")
-    near = similarity.top_cosine(v, v, 10, earlier=True).selectExpr("query_id a", "vec_id b", "score")
+    near = similarity.top_cosine(v, v, 10, earlier=True, over=0.85).selectExpr("query_id a", "vec_id b", "score")
     items = views.items(spark, sf)
     return cascade.resolve(items, near, now=items.agg(F.max("created_at")).first()[0])
 
