@@ -54,3 +54,19 @@ def test_common_lists_name_no_candidates(spark):
 def test_an_empty_table(spark):
     held = text_search.index(spark.createDataFrame([], "doc_id long, text string"))
     assert text_search.search(held, spark.createDataFrame([(1, ["a"])], "query_id long, terms array<string>")).count() == 0
+
+
+def test_blocks_of_texts_and_queries(spark, monkeypatch):
+    """Blocks whose partitions are not merged: words that all share bring no pairs of queries and texts into a shuffle."""
+    monkeypatch.setattr(text_search, "BLOCK_POSTINGS", 500)
+    monkeypatch.setattr(text_search, "BLOCK_QUERIES", 7)
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choices([f"w{j}" for j in range(12)], k=rng.randint(0, 15)))) for i in range(400)]
+    queries = [(q, rng.sample([f"w{j}" for j in range(12)], 5)) for q in range(30)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        rows = text_search.search(text_search.index(spark.createDataFrame(docs, "doc_id long, text string")), spark.createDataFrame(queries, "query_id long, terms array<string>"), 10).collect()
+    finally:
+        spark.conf.unset(name)
+    assert {(r.query_id, r.rank): (r.id, r.score) for r in rows} == plain(docs, queries, 10)
