@@ -17,8 +17,10 @@ from tidewire.functions.text import companies
 from tidewire.operators.feed import checked_kind, checked_limit, keyed, within
 from tidewire.operators.store import public, public_shape
 
-#: Rows of a slot, nearly: ranges are found by sampling.
+#: Rows of a slot; the last of a range has fewer.
 SLOT_ROWS = 50_000
+#: Rows of a range, nearly: ranges are found by sampling, which sends keys of each to the driver; slots are cut out of them by counting.
+RANGE_ROWS = 50_000
 KINDS = ("news", "social")
 
 
@@ -28,9 +30,11 @@ def lay_out(articles: DataFrame, path: str, slot_rows: int = SLOT_ROWS) -> LaidO
     tagged = rows.withColumn("company", F.explode(F.array_distinct(companies(F.col("tag")))))
     for name, frame, order in (("latest", rows, []), ("companies", tagged, ["company"])):
         by = [*(F.col(c) for c in order), F.desc("sort_key")]
-        slots = max(1, -(-frame.count() // slot_rows))
-        ranged = frame.repartitionByRange(slots, *by).withColumn("slot", F.spark_partition_id())
-        ranged.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("slot").parquet(f"{path}/{name}")
+        n = frame.count()
+        ordered = frame.repartitionByRange(max(1, -(-n // max(slot_rows, RANGE_ROWS))), *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+        in_range, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # the range, and the place there from 0
+        ranged = ordered.withColumn("slot", in_range * (n // slot_rows + 1) + F.floor(at / slot_rows)).drop("_at")
+        ranged.sortWithinPartitions("slot", *by).write.mode("overwrite").partitionBy("slot").parquet(f"{path}/{name}")
         ranged.limit(0).write.mode("overwrite").parquet(f"{path}/{name}_columns")  # what an empty table has no file to tell
         written = articles.sparkSession.read.schema(ranged.schema).parquet(f"{path}/{name}")
         counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
