@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,10 +40,12 @@ class _Expiring(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("held", self.form)
 
-    def hold(self, row: tuple, at: float) -> None:
+    def hold(self, row: tuple, at: float, known: bool = True) -> None:
+        """known: whether the key has state, and so a timer, already; each question to the state is a message of its own."""
         self.state.update(row)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if known:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer(int((at + self.seconds) * 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -76,20 +78,25 @@ def breaker(fetches: DataFrame, forget: float = 86_400.0, late: str = "10 minute
 
 
 class _Titles(_Expiring):
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        out = []
-        for row in pd.concat([r[["rowid", "created_at"]] for r in rows]).sort_values(["created_at", "rowid"]).itertuples():
-            new = held is None or row.created_at - held[1] > self.seconds
-            out.append((key[0], row.rowid, row.created_at, "new" if new else "dupe", None if new else held[0]))
+    """On plain rows: most titles have one or two, and a table for each costs more than what is done with it."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = held = self.state.get()
+        for created_at, rowid in sorted((row.created_at, row.rowid) for row in rows):
+            new = held is None or created_at - held[1] > self.seconds
+            yield Row(title_hash=key[0], rowid=rowid, created_at=created_at, status="new" if new else "dupe", match=None if new else held[0])
             if new:
-                held = (int(row.rowid), float(row.created_at))
-        self.hold(held, held[1])
-        yield pd.DataFrame(out, columns=["title_hash", "rowid", "created_at", "status", "match"]).astype({"match": "Int64"})
+                held = (rowid, created_at)
+        if before is None or held[0] != before[0]:  # else state and timer are as they were
+            self.hold(held, held[1], before is not None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
+        return iter([])
 
 
 def first_titles(items: DataFrame, hours: float = 72, late: str = "1 hour") -> DataFrame:
     """title_hash, rowid, created_at, status, match of a stream of items (rowid, title_hash, created_at in seconds): the first of a title hides the others for `hours`, then the next one is new. A title's state is gone when its hours are."""
     rows = items.select("title_hash", "rowid", "created_at", F.timestamp_seconds("created_at").alias("seen")).withWatermark("seen", late)
     form = "title_hash string, rowid long, created_at double, status string, match long"
-    return rows.groupBy("title_hash").transformWithStateInPandas(_Titles("rowid long, created_at double", 3600 * hours), form, "append", "EventTime")
+    return rows.groupBy("title_hash").transformWithState(_Titles("rowid long, created_at double", 3600 * hours), form, "append", "EventTime")
