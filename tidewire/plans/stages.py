@@ -30,6 +30,8 @@ from tidewire.operators.runs import collect_totals, stage_lines, store_state, su
 from tidewire.plans.storage import Stored, _located, delete, exists, rename
 from tidewire.sources import readers, writers
 
+#: Rows of the Arrow batches that bring texts to Python, so that a worker's memory does not grow with a task's rows.
+TEXT_ROWS = 500
 ARTICLE = (
     "article_hash string, title_hash string, title string, link string, raw_link string, published_at string, collected_at string, "
     "category string, tag string, product_line string, source_id string, source_name string, feed_type string, content_kind string, "
@@ -183,7 +185,7 @@ class ArticleRuns:
         early = F.when(F.col("raw_link").isNull(), "unresolved").when(~in_time, "cutoff")
         beyond = rules.out_of_scope_by_batches(F.when(early.isNull(), F.concat_ws(" ", "title", "summary_text")))
         # the texts stay behind: only what is new meets its text again
-        looked = Stored(kept.join(own.rows.select("source_id"), "source_id").select("source_id", "pos", "raw_link", F.md5("raw_link").alias("link_hash"), F.coalesce(early, F.when(beyond, "scope")).alias("drop_reason")))
+        looked = Stored(kept.join(own.rows.select("source_id"), "source_id").select("source_id", "pos", "raw_link", F.md5("raw_link").alias("link_hash"), F.coalesce(early, F.when(beyond, "scope")).alias("drop_reason")), TEXT_ROWS)
         known = self.links.held(looked.rows.where("drop_reason is null").select("link_hash").distinct()).withColumn("_known", F.lit(True))
         sifted = looked.rows.join(known, "link_hash", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("_known"), "raw_dedup"))).drop("_known")
         open_, shut = sifted.where("drop_reason is null").drop("drop_reason"), sifted.where("drop_reason is not null")
@@ -252,7 +254,7 @@ class ArticleRuns:
         said_before = text.nz(F.col("summary"))
         content = F.concat(F.coalesce(F.concat(said_before, F.lit("\n\n")), F.lit("")), F.coalesce("action_description", F.lit("")))
         asked = store.queue(self.queue, "pending").select("article_hash", readers.summary_prompt(F.col("title"), content, limit).alias("content"))
-        said = Stored(readers.summarized(asked, ask))
+        said = Stored(readers.summarized(asked, ask), TEXT_ROWS)
         read = said.rows.select("article_hash", "error", F.when(F.col("error").isNull(), payloads.normalized_summary(F.col("raw"))).alias("s"))
         read = read.select("article_hash", F.coalesce("error", "s.error").alias("error"), F.col("s.relevant").alias("relevant"), "s")
         done = Stored(read.join(self.queue, "article_hash"))
