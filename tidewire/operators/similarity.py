@@ -16,20 +16,47 @@ def title_classes(items: DataFrame, id_col: str = "rowid", text_col: str = "titl
     return rows.groupBy("tokens").agg(F.min("id").alias("first")).withColumn("class_id", F.col("first"))
 
 
-def similar_classes(classes: DataFrame, over: float) -> DataFrame:
-    """a, b, score for pairs of different classes with a Jaccard similarity over `over`, a < b.
+def _keyed(sets: DataFrame, over: float, sides: int) -> DataFrame:
+    """key, side, class_id, n, pos, short: pairs of a set's rarest words, by which sets (class_id, tokens, side) meet that may have a Jaccard similarity over `over`.
 
-    Only the rarest tokens of each set are joined on: a set of n tokens that shares more than over * n has one of its rarest n - floor(over * n).
+    Words stand in one order, the rarest first. Two sets of n <= m words that share enough of them share two, if not one alone is enough: the second of these has the rest of the
+    shared ones behind it in either set, so it is among the first n or m less the least overlap plus two. A larger set shares more with a set of n (`short`) than a smaller one,
+    so fewer places are left. One word alone is enough for the smallest sets only; they are also keyed by each. Words that are on fewer than `sides` sides, or in one set, key nothing.
     """
-    flat = classes.select("class_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    common = flat.groupBy("token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("class_id").orderBy("df", "token")
-    lists = flat.join(common, "token").withColumn("pos", F.row_number().over(order)).where((F.col("pos") <= F.col("n") - F.floor(F.lit(over) * F.col("n"))) & (F.col("df") > 1))
-    left, right = lists.selectExpr("token", "class_id a", "n na", "pos pa"), lists.selectExpr("token", "class_id b", "n nb", "pos pb")
-    # the first shared token bounds the overlap: what precedes it on either side is not shared
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
-    fits = (F.col("a") < F.col("b")) & (most > F.lit(over) / (1 + over) * (F.col("na") + F.col("nb")))
-    pairs = left.join(right, "token").where(fits).select("a", "b").distinct()
+    c, n = over / (1 + over), F.col("n")
+    flat = sets.select("side", "class_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    common = flat.groupBy("token").agg(F.count("*").alias("df"), F.count_distinct("side").alias("sides") if sides > 1 else F.lit(1).alias("sides"))
+    ranked = flat.join(common, "token").groupBy("side", "class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", F.xxhash64("token").alias("word"), "token", "sides"))).alias("words"))
+    # the least overlaps, by the same division that decides in the end
+    low, low_short = F.floor(over * n), F.floor(2 * c * n)
+    ends = [n - low - F.when(low / n > over, 0).otherwise(1) + 2, n - low_short - F.when(low_short / (2 * n - low_short) > over, 0).otherwise(1) + 2]
+    placed = F.transform("words", lambda w, i: F.struct((i + 1).alias("pos"), w["word"].alias("word"), ((w["df"] > 1) & (w["sides"] >= sides)).alias("met")))
+    first = ranked.select("side", "class_id", "n", ends[0].alias("end"), ends[1].alias("short_end"), placed.alias("words"))
+    first = first.withColumn("words", F.filter("words", lambda w: w["met"] & (w["pos"] <= F.col("end"))))
+    each = first.select("side", "class_id", "n", "short_end", "words", F.posexplode("words").alias("at", "one"))
+    two = F.transform(F.slice("words", F.col("at") + 2, F.size("words")), lambda w: F.struct(F.xxhash64(F.col("one")["word"], w["word"]).alias("key"), w["pos"].alias("pos"), (w["pos"] <= F.col("short_end")).alias("short")))
+    alone = F.when(1 / n > over, F.array(F.struct(F.col("one")["word"].alias("key"), (n + 1).alias("pos"), (1 / (2 * n - 1) > over).alias("short")))).otherwise(F.array())
+    return each.select("side", "class_id", "n", F.explode(F.concat(two, alone)).alias("k")).select("side", "class_id", "n", "k.*")
+
+
+def _may_be_similar(a: DataFrame, b: DataFrame, over: float, tie: str) -> DataFrame:
+    """a, b: sets of a (class_id a, n na, pos pa) that are keyed as the smaller one, with the sets of b that they meet; tie: which of two of one size are wanted."""
+    # nothing before the key's first word is shared in a pair's first key, nothing between its two; one word alone has its place behind the last
+    most = F.greatest(F.lit(1), F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 2)
+    fits = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & F.expr(tie))) & (F.col("na") / F.col("nb") > over) & (most / (F.col("na") + F.col("nb") - most) > over)
+    return a.join(b, "key").where(fits).select("a", "b").distinct()
+
+
+def _sides(keyed: DataFrame, side: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The keys of a side as those of smaller sets and of larger ones."""
+    mine = keyed.where(F.col("side") == side)
+    return mine.where("short").selectExpr("key", "class_id a", "n na", "pos pa"), mine.selectExpr("key", "class_id b", "n nb", "pos pb")
+
+
+def similar_classes(classes: DataFrame, over: float) -> DataFrame:
+    """a, b, score for pairs of different classes with a Jaccard similarity over `over`, a < b. Only sets that share two of their rarest words are compared (see `_keyed`)."""
+    small, large = _sides(_keyed(classes.select("class_id", "tokens", F.lit(0).alias("side")), over, 1))
+    pairs = _may_be_similar(small, large, over, "a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sets = classes.select("class_id", "tokens")
     out = pairs.join(sets.selectExpr("class_id a", "tokens ta"), "a").join(sets.selectExpr("class_id b", "tokens tb"), "b")
     return out.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") > over)
@@ -38,13 +65,9 @@ def similar_classes(classes: DataFrame, over: float) -> DataFrame:
 def similar_between(left: DataFrame, right: DataFrame, over: float) -> DataFrame:
     """a, b, score for classes (class_id, tokens) of left and right with a Jaccard similarity over `over`; two without words are equal."""
     both = left.select("class_id", "tokens", F.lit(0).alias("side")).unionByName(right.select("class_id", "tokens", F.lit(1).alias("side")))
-    flat = both.select("class_id", "side", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    sides = flat.groupBy("token").agg(F.count("*").alias("df"), F.count_distinct("side").alias("sides"))
-    order = Window.partitionBy("class_id", "side").orderBy("df", "token")
-    lists = flat.join(sides, "token").withColumn("pos", F.row_number().over(order)).where((F.col("pos") <= F.col("n") - F.floor(F.lit(over) * F.col("n"))) & (F.col("sides") == 2))
-    a, b = lists.where("side = 0").selectExpr("token", "class_id a", "n na", "pos pa"), lists.where("side = 1").selectExpr("token", "class_id b", "n nb", "pos pb")
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
-    pairs = a.join(b, "token").where(most > F.lit(over) / (1 + over) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    keyed = _keyed(both, over, 2)
+    (small, large), (other_small, other_large) = _sides(keyed), _sides(keyed, 1)
+    pairs = _may_be_similar(small, other_large, over, "true").union(_may_be_similar(other_small, large, over, "false").select("b", "a"))
     pairs = pairs.join(left.selectExpr("class_id a", "tokens ta"), "a").join(right.selectExpr("class_id b", "tokens tb"), "b")
     empty = left.where(F.size("tokens") == 0).selectExpr("class_id a", "tokens").join(right.where(F.size("tokens") == 0).selectExpr("class_id b", "tokens"), "tokens").select("a", "b", F.lit(1.0).alias("score"))
     return pairs.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") > over).union(empty)
