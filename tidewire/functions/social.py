@@ -14,11 +14,11 @@ POST = r"\n\s*\*\s*\[ \]\(https://www\.linkedin\.com/posts/"
 POST_URL = "https://www.linkedin.com/posts/"
 IMAGE = r"""<img[^>]+src="(https://media\.licdn\.com/dms/image/[^"]*(?:feedshare|image-shrink)[^"]*)\""""
 PRICE = r"(\d{1,4}[.,]\d{2})\s*(EUR|SEK|USD)\s*[+-]\d{1,4}[.,]\d{2}\s*(?:EUR|SEK|USD)\s*([+-]\d{1,3}[.,]\d{2})\s*%"
-UPDATES_HEADING = r"(?is)(\n##  updates.*?)(?=\n##[^#]|\z)"
-UPDATES_MENTION = r"(?is)(updates.*?)(?=\n##[^#]|\z)"
+UPDATES_HEADING, UPDATES_MENTION = r"(?i)\n##  updates", r"(?i)updates"
+NEXT_HEADING = r"\n##[^#]"
 POST_TIME = r"(?m)^\s*(\d+)\s*([a-zA-Z]+)\s*(Edited)?\s*$"
 POST_BODY = r"(?s)Report this post[^\n]*\n(.*)"
-POST_MORE = r"(?s)^(.*?)(?:…more|`` ``|\z)"
+POST_MORE = r"…more|`` ``"
 REACTIONS = r"\[\s*([\d,]+)\s*\]\([^)]*social-actions-reactions\)"
 COMMENTS = r"\[\s*([\d,]+)\s*Comments?\s*\]\([^)]*social-actions-comments\)"
 HREF = r'href="([^"]*)"'
@@ -27,21 +27,24 @@ ACTIVITY = r"-activity-(\d+)"
 
 
 def updates_section(markdown: Column) -> Column:
-    """From the updates heading, or the first mention, to the next heading."""
-    heading = F.regexp_extract(markdown, UPDATES_HEADING, 1)
-    mention = F.regexp_extract(markdown, UPDATES_MENTION, 1)
-    return F.when(heading != "", heading).otherwise(mention)
+    """From the updates heading, or the first mention, to the next heading. Cut at the first places found: a lazy pattern would try each character in turn."""
+
+    def since(mark: str) -> Column:
+        after = F.get(F.split(markdown, mark, 2), 1)
+        return F.concat(F.regexp_extract(markdown, mark, 0), F.get(F.split(after, NEXT_HEADING, 2), 0))
+
+    return F.coalesce(since(UPDATES_HEADING), since(UPDATES_MENTION), F.when(markdown.isNotNull(), F.lit("")))
 
 
 def posts(pages: DataFrame, markdown: str, fetched_at: str) -> DataFrame:
     """A row for each post: position, url, text, relative_time, edited, estimated_age_days, estimated_date, reactions, comments."""
     keep = [c for c in pages.columns if c not in (markdown, fetched_at)]
-    chunks = F.split(updates_section(F.col(markdown)), POST)
-    rows = pages.select(*keep, F.col(fetched_at).alias("_at"), F.posexplode(F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("pos", "chunk"))
+    chunks = F.split(updates_section(F.col(markdown)), POST)  # named once below, and exploded as outer: else it is worked out again for its size, and for a filter before it
+    rows = pages.select(*keep, F.col(fetched_at).alias("_at"), F.posexplode_outer(F.slice(chunks, 2, 1 << 30)).alias("pos", "chunk")).where("pos is not null")
     chunk, when = F.col("chunk"), POST_TIME
     age = F.nullif(F.concat(F.regexp_extract(chunk, when, 1), F.regexp_extract(chunk, when, 2)), F.lit(""))
     body = F.when(chunk.contains("Report this post"), F.regexp_extract(chunk, POST_BODY, 1)).otherwise(chunk)
-    body = F.regexp_extract(body, POST_MORE, 1)
+    body = F.get(F.split(body, POST_MORE, 2), 0)
     out = rows.select(
         *keep, "pos", "_at", F.concat(F.lit(POST_URL), F.substring_index(chunk, ")", 1)).alias("url"),
         strip(F.regexp_replace(body, r"\n\s*\*\s*\z", "")).alias("text"), age.alias("relative_time"),
