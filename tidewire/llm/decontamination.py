@@ -5,7 +5,8 @@ a text is a copy of the item when their edit distance in words is at most TOLERA
 
 1. Places worth a look: an item of n words and a copy of it with k edits share all but 2k of the item's
    pairs of neighbouring words. Stretches of n + k words with fewer of its pairs are passed over; this
-   loses no copy. Of the rest, the windows of n words with as many of its pairs are embedded.
+   loses no copy, nor does passing over texts that lack more than 2k of its different pairs (as those that
+   repeat one do). Of the rest, the windows of n words with as many of its pairs are embedded.
 2. CGK random walks map a window to a string in which a copy of the item differs in few places: a walk
    writes its current word and moves on, or stays, by a random bit of the step and the word.
 3. Bit sampling: each table keys a walk by PLACES of its places; an item is a candidate of a window that
@@ -117,10 +118,12 @@ def edit_distances(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
     return _last_row(windows, item, np.arange(windows.shape[1] + 1))[:, -1]
 
 
-def best_stretch(words: np.ndarray, item: np.ndarray) -> tuple[int, int]:
-    """Least edit distance of the item to any stretch of the words, and the first such stretch's start."""
+def best_stretch(words: np.ndarray, item: np.ndarray, most: int | None = None) -> tuple[int, int]:
+    """Least edit distance of the item to any stretch of the words, and the first such stretch's start; beyond `most` edits, no start is looked for."""
     row = _last_row(words[None], item, np.zeros(len(words) + 1, np.int64))[0]
     end = int(row.argmin())
+    if most is not None and row[end] > most:
+        return int(row[end]), end
     before = words[max(0, end - 2 * len(item)) : end][::-1]  # a longer stretch has more edits than all words of the item
     lengths = np.flatnonzero((back := _last_row(before[None], item[::-1], np.arange(len(before) + 1))[0]) == back.min())
     return int(row[end]), end - int(lengths[np.abs(lengths - len(item)).argmin()])
@@ -142,6 +145,7 @@ class Items:
         self.edits = [allowed(len(w), tolerance) for _, w in self.items]
         self.needed = np.array([len(w) - 1 - 2 * k for (_, w), k in zip(self.items, self.edits, strict=True)], np.int64)
         pairs = [np.unique(_pairs(w)) for _, w in self.items]
+        self.kinds = np.array([len(p) - 2 * k for p, k in zip(pairs, self.edits, strict=True)], np.int64)
         flat, owner = np.concatenate([np.empty(0, np.uint64), *pairs]), np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
         order = np.argsort(flat, kind="stable")
         self.pairs, first = np.unique(flat[order], return_index=True)
@@ -160,10 +164,14 @@ class Items:
         spots = np.flatnonzero(self.pairs[at] == pairs)
         if not len(spots):
             return
-        found = [self.owners[self.bounds[j] : self.bounds[j + 1]] for j in at[spots]]
+        owned = lambda some: [self.owners[self.bounds[j] : self.bounds[j + 1]] for j in some]
+        kinds = np.bincount(np.concatenate(owned(np.unique(at[spots]))), minlength=len(self.items))
+        if not (kinds >= np.maximum(self.kinds, 1)).any():
+            return
+        found = owned(at[spots])
         owners, places = np.concatenate(found), np.repeat(spots, [len(x) for x in found])
         counts = np.bincount(owners, minlength=len(self.items))
-        for i in np.flatnonzero((counts >= self.needed) & (counts > 0)):
+        for i in np.flatnonzero((counts >= self.needed) & (counts > 0) & (kinds >= self.kinds)):
             n, mine = len(self.items[i][1]), places[owners == i]
             if n == 1 or len(words) < n - self.edits[i]:
                 continue
@@ -208,7 +216,7 @@ class Items:
             item_id, item = self.items[i]
             around = _merged(np.array(near[k, i]) - self.edits[i], len(item) + 2 * self.edits[i], len(words)) if (k, i) in near else []
             for some in (around, stretches):
-                found = [(edits, a + start) for a, b in some for edits, start in [best_stretch(words[a:b], item)]]
+                found = [(edits, a + start) for a, b in some for edits, start in [best_stretch(words[a:b], item, self.edits[i])]]
                 edits, start = min(found, default=(len(item), 0))
                 if found and edits <= self.edits[i]:
                     out[k].append((item_id, start, edits, len(item)))
