@@ -4,7 +4,8 @@ Rows are decided together by rounds, not one by one: a row is a duplicate as soo
 known to be new, and new as soon as every earlier match is known to be a duplicate. The least undecided row can
 always be decided, so the rounds end; only undecided and new rows are held. A batch meets decided rows first (`resolve_batch`),
 whose decisions are fixed, and then itself. Equal hashes and equal titles are handled by class (the least new and
-the least undecided row of each), so a group of copies is never paired within itself.
+the least undecided row of each), so a group of copies is never paired within itself. Rows meet in shuffles whatever their number
+(hint "merge"): a broadcast goes through the driver, and those of all rounds and batches would add up there to more than the table.
 """
 
 from __future__ import annotations
@@ -41,14 +42,14 @@ def _least(frame: DataFrame, key: str, name: str, flag: str | None = None) -> Da
 
 def _seen(rows: DataFrame, live: DataFrame, links: DataFrame, near: DataFrame | None) -> DataFrame:
     """rows with the least new and undecided rows that each layer links them with."""
-    seen = rows.join(_least(live, "id_hash", "id"), "id_hash", "left").join(_least(live, "title_hash", "title", "in_title"), "title_hash", "left")
-    words = links.join(_least(live, "own", "words", "in_words").withColumnRenamed("own", "other"), "other").groupBy("own").agg(F.min("new_words").alias("new_words"), F.min("open_words").alias("open_words"))
-    seen = seen.join(words, "own", "left")
+    seen = rows.join(_least(live, "id_hash", "id").hint("merge"), "id_hash", "left").join(_least(live, "title_hash", "title", "in_title").hint("merge"), "title_hash", "left")
+    words = links.join(_least(live, "own", "words", "in_words").withColumnRenamed("own", "other").hint("merge"), "other").groupBy("own").agg(F.min("new_words").alias("new_words"), F.min("open_words").alias("open_words"))
+    seen = seen.join(words.hint("merge"), "own", "left")
     if near is None:
         return seen.withColumns({"new_near": F.lit(None).cast("long"), "open_near": F.lit(None).cast("long"), "near_layer": F.lit(None).cast("int")})
-    known = near.join(live.select(F.col("rowid").alias("b"), "status"), "b").groupBy(F.col("a").alias("rowid"))
+    known = near.join(live.select(F.col("rowid").alias("b"), "status").hint("merge"), "b").groupBy(F.col("a").alias("rowid"))
     known = known.agg(F.min(F.when(F.col("status") == "new", F.col("b"))).alias("new_near"), F.min(F.when(F.col("status").isNull(), F.col("b"))).alias("open_near"), F.min(F.when(F.col("status") == "new", F.col("layer"))).alias("near_layer"))
-    return seen.join(known, "rowid", "left")
+    return seen.join(known.hint("merge"), "rowid", "left")
 
 
 LAYERS = ("id", "title", "words", "near")
@@ -68,16 +69,16 @@ def resolve(items: DataFrame, neighbours: DataFrame | None = None, over: float =
     links = Stored(pairs.select("a", "b").union(pairs.select("b", "a")).union(classes.rows.select("class_id", "class_id")).toDF("own", "other"))
     back = [F.lit(True) if now is None else F.coalesce(F.col("created_at") >= now - 3600 * h, F.lit(False)) for h in hours]
     rows = items.select("rowid", "id_hash", "title_hash", *(c.alias(f"in_{n}") for n, c in zip(LAYERS[1:], back, strict=True)), F.array_sort(tokens(F.col("title"))).alias("tokens"))
-    rows = rows.join(classes.rows.selectExpr("tokens", "class_id own"), "tokens").drop("tokens")
+    rows = rows.join(classes.rows.selectExpr("tokens", "class_id own").hint("merge"), "tokens").drop("tokens")
     before = items.sparkSession.createDataFrame([], "rowid long, fixed int") if fixed is None else fixed.groupBy("rowid").agg(F.min("layer").cast("int").alias("fixed"))
-    rows = Stored(rows.join(before, "rowid", "left"))
+    rows = Stored(rows.join(before.hint("merge"), "rowid", "left"))
     classes.drop()
     near = None
     if neighbours is not None:
         sure = neighbours.where(F.col("score") > high).select("a", "b", F.lit(3).alias("layer"))
         if judge is not None:
             sure = sure.unionByName(judge(neighbours.where((F.col("score") > low) & (F.col("score") <= high))).select("a", "b", F.lit(4).alias("layer")))
-        near = Stored(sure.join(rows.rows.where("in_near").select(F.col("rowid").alias("b")), "b", "left_semi"))
+        near = Stored(sure.join(rows.rows.where("in_near").select(F.col("rowid").alias("b")).hint("merge"), "b", "left_semi"))
     edges = near.rows if near else None
 
     def earlier(kind: str):
@@ -116,20 +117,20 @@ def resolve_batch(batch: DataFrame, recent: DataFrame, known: DataFrame, now: fl
     title_band, words_band, near_band = (recent.where(F.col("created_at") >= now - 3600 * h) for h in hours)
     is_new = F.col("status") == "new"
     own = batch.select("rowid", "id_hash", "title_hash", F.array_sort(tokens(F.col("title"))).alias("tokens"))
-    hits = [own.join(known.select("id_hash", F.col("rowid").alias("by")), "id_hash").where("by < rowid").select("rowid", F.lit(0).alias("layer"))]
-    hits.append(own.join(title_band.where(is_new).select("title_hash").distinct(), "title_hash", "left_semi").select("rowid", F.lit(1).alias("layer")))
+    hits = [own.join(known.select("id_hash", F.col("rowid").alias("by")).hint("merge"), "id_hash").where("by < rowid").select("rowid", F.lit(0).alias("layer"))]
+    hits.append(own.join(title_band.where(is_new).select("title_hash").distinct().hint("merge"), "title_hash", "left_semi").select("rowid", F.lit(1).alias("layer")))
     classes, stored = title_classes(batch), title_classes(words_band.where(is_new))
     alike = similar_between(classes, stored, over).select(F.col("a").alias("class_id")).distinct()
-    hits.append(own.join(classes.join(alike, "class_id", "left_semi").select("tokens"), "tokens", "left_semi").select("rowid", F.lit(2).alias("layer")))
+    hits.append(own.join(classes.join(alike.hint("merge"), "class_id", "left_semi").select("tokens").hint("merge"), "tokens", "left_semi").select("rowid", F.lit(2).alias("layer")))
     asked = batch.select(F.col("rowid").alias("vec_id"), "embedding")
     there = near_band.select(F.col("rowid").alias("vec_id"), "embedding").unionByName(asked)
     near = Stored(top_cosine(asked, there, k, earlier=True, over=high if judge is None else low).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score"))
-    old = near.rows.join(near_band.where(is_new).select(F.col("rowid").alias("b")), "b", "left_semi")
+    old = near.rows.join(near_band.where(is_new).select(F.col("rowid").alias("b")).hint("merge"), "b", "left_semi")
     hits.append(old.where(F.col("score") > high).select(F.col("a").alias("rowid"), F.lit(3).alias("layer")))
     if judge is not None:
         unsure = old.where((F.col("score") > low) & (F.col("score") <= high)).select("a", "b", "score")
         hits.append(judge(unsure).select(F.col("a").alias("rowid"), F.lit(4).alias("layer")))
-    inside = near.rows.join(batch.select(F.col("rowid").alias("b")), "b", "left_semi").select("a", "b", "score")
+    inside = near.rows.join(batch.select(F.col("rowid").alias("b")).hint("merge"), "b", "left_semi").select("a", "b", "score")
     out = resolve(batch, inside, over, high, low, judge, fixed=reduce(DataFrame.unionByName, hits))
     near.drop()
     return out
@@ -171,7 +172,7 @@ class Decisions:
         rows = Stored(batch.select(*own))
         known = Stored(self.ids.held(rows.rows, ["rowid"]))
         decided = resolve_batch(rows.rows, self.recent(now), known.rows, now, judge=judge, hours=self.hours, **levels)
-        out = Stored(rows.rows.join(decided, "rowid").withColumns({"created_at": F.lit(float(now)), "day": F.to_date(F.timestamp_seconds(F.lit(now)))}))
+        out = Stored(rows.rows.join(decided.hint("merge"), "rowid").withColumns({"created_at": F.lit(float(now)), "day": F.to_date(F.timestamp_seconds(F.lit(now)))}))
         self.ids.add(out.rows.where("status = 'new'").select("id_hash", "rowid"), ["rowid"])
         out.rows.select(*(f.name for f in form), "day").repartition("day").write.mode("append").partitionBy("day").parquet(self.items_path)
         for old in (rows, known):

@@ -1,4 +1,7 @@
-"""Set and vector similarity: token joins without a cap, exact nearest neighbours in blocks, rank fusion."""
+"""Set and vector similarity: token joins without a cap, exact nearest neighbours in blocks, rank fusion.
+
+Sets, words and keys meet in shuffles whatever their size (hint "merge"): they grow with the rows, and what Spark broadcasts goes through the driver, anew in each batch.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +29,7 @@ def _keyed(sets: DataFrame, over: float, sides: int) -> DataFrame:
     c, n = over / (1 + over), F.col("n")
     flat = sets.select("side", "class_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     common = flat.groupBy("token").agg(F.count("*").alias("df"), F.count_distinct("side").alias("sides") if sides > 1 else F.lit(1).alias("sides"))
-    ranked = flat.join(common, "token").groupBy("side", "class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", F.xxhash64("token").alias("word"), "token", "sides"))).alias("words"))
+    ranked = flat.join(common.hint("merge"), "token").groupBy("side", "class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", F.xxhash64("token").alias("word"), "token", "sides"))).alias("words"))
     # the least overlaps, by the same division that decides in the end
     low, low_short = F.floor(over * n), F.floor(2 * c * n)
     ends = [n - low - F.when(low / n > over, 0).otherwise(1) + 2, n - low_short - F.when(low_short / (2 * n - low_short) > over, 0).otherwise(1) + 2]
@@ -44,7 +47,7 @@ def _may_be_similar(a: DataFrame, b: DataFrame, over: float, tie: str) -> DataFr
     # nothing before the key's first word is shared in a pair's first key, nothing between its two; one word alone has its place behind the last
     most = F.greatest(F.lit(1), F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 2)
     fits = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & F.expr(tie))) & (F.col("na") / F.col("nb") > over) & (most / (F.col("na") + F.col("nb") - most) > over)
-    return a.join(b, "key").where(fits).select("a", "b").distinct()
+    return a.join(b.hint("merge"), "key").where(fits).select("a", "b").distinct()
 
 
 def _sides(keyed: DataFrame, side: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +61,7 @@ def similar_classes(classes: DataFrame, over: float) -> DataFrame:
     small, large = _sides(_keyed(classes.select("class_id", "tokens", F.lit(0).alias("side")), over, 1))
     pairs = _may_be_similar(small, large, over, "a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sets = classes.select("class_id", "tokens")
-    out = pairs.join(sets.selectExpr("class_id a", "tokens ta"), "a").join(sets.selectExpr("class_id b", "tokens tb"), "b")
+    out = pairs.join(sets.selectExpr("class_id a", "tokens ta").hint("merge"), "a").join(sets.selectExpr("class_id b", "tokens tb").hint("merge"), "b")
     return out.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") > over)
 
 
@@ -68,8 +71,8 @@ def similar_between(left: DataFrame, right: DataFrame, over: float) -> DataFrame
     keyed = _keyed(both, over, 2)
     (small, large), (other_small, other_large) = _sides(keyed), _sides(keyed, 1)
     pairs = _may_be_similar(small, other_large, over, "true").union(_may_be_similar(other_small, large, over, "false").select("b", "a"))
-    pairs = pairs.join(left.selectExpr("class_id a", "tokens ta"), "a").join(right.selectExpr("class_id b", "tokens tb"), "b")
-    empty = left.where(F.size("tokens") == 0).selectExpr("class_id a", "tokens").join(right.where(F.size("tokens") == 0).selectExpr("class_id b", "tokens"), "tokens").select("a", "b", F.lit(1.0).alias("score"))
+    pairs = pairs.join(left.selectExpr("class_id a", "tokens ta").hint("merge"), "a").join(right.selectExpr("class_id b", "tokens tb").hint("merge"), "b")
+    empty = left.where(F.size("tokens") == 0).selectExpr("class_id a", "tokens").join(right.where(F.size("tokens") == 0).selectExpr("class_id b", "tokens").hint("merge"), "tokens").select("a", "b", F.lit(1.0).alias("score"))
     return pairs.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") > over).union(empty)
 
 
@@ -78,9 +81,9 @@ def first_similar(items: DataFrame, over: float = 0.4, id_col: str = "rowid", te
     classes = title_classes(items, id_col, text_col)
     pairs = similar_classes(classes, over)
     links = pairs.select("a", "b").union(pairs.select("b", "a")).union(classes.select("class_id", "class_id")).toDF("own", "other")
-    earliest = links.join(classes.selectExpr("class_id other", "first"), "other").groupBy("own").agg(F.min("first").alias("match"))
-    rows = items.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("tokens")).join(classes.selectExpr("tokens", "class_id own"), "tokens")
-    return rows.join(earliest, "own").where("match < id").select("id", "match")
+    earliest = links.join(classes.selectExpr("class_id other", "first").hint("merge"), "other").groupBy("own").agg(F.min("first").alias("match"))
+    rows = items.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("tokens")).join(classes.selectExpr("tokens", "class_id own").hint("merge"), "tokens")
+    return rows.join(earliest.hint("merge"), "own").where("match < id").select("id", "match")
 
 
 def top_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 16_384, earlier: bool = False, over: float | None = None) -> DataFrame:

@@ -80,12 +80,12 @@ def dd2_run(spark, sf):
 def dd5_batches(spark, sf):
     """The items and their vectors through the cascade in four batches, with windows of two, one and two hours; held against a scan of one row after the other in the tests."""
     vectors = views.read(spark, sf, "embeddings").select(F.col("vec_id").alias("rowid"), "embedding")
-    items = views.items(spark, sf).drop("status", "summarized_at").join(vectors, "rowid", "left")
+    items = views.items(spark, sf).drop("status", "summarized_at")
     last = items.agg(F.max("rowid")).first()[0]
     decided = cascade.Decisions(spark, _new_folder(spark, "decisions"), (2, 1, 2), buckets=16)
     for batch in range(4):
         some = items.where(F.floor(F.col("rowid") * 4 / (last + 1)) == batch)
-        decided.feed(some, some.agg(F.max("created_at")).first()[0])
+        decided.feed(some.join(vectors.hint("merge"), "rowid", "left"), some.agg(F.max("created_at")).first()[0])
     return decided.items.select("rowid", "status", "layer")
 
 
